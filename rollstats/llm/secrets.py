@@ -142,7 +142,7 @@ def fit(scanned: DataFrame) -> np.ndarray:
 def find_secrets(
     docs: DataFrame,
     min_score: float = 12.0,
-    min_mean: float = 0.6,
+    min_mean: float = 0.4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:

@@ -193,7 +193,7 @@ def test_differencing_balances():
     sizes = rng.integers(100, 512, 400).tolist()
     window = packing.differencing(sizes, 60)
     sums = np.bincount(window, weights=sizes, minlength=60)
-    assert sums.max() - sums.min() < 20 and sums.sum() == sum(sizes)
+    assert sums.max() - sums.min() < 0.02 * sums.mean() and sums.sum() == sum(sizes)
     assert packing.pack_group([], 10).tolist() == []
     assert np.bincount(packing.pack_group([6, 6, 6], 10)).max() == 1
 
@@ -223,7 +223,7 @@ def test_language(spark, odd_docs):
     got = {r.doc_id: r for r in language.identify(odd_docs, model).collect()}
     assert all(got[k].lang_pred == "und" and got[k].lang_score == 0 for k in (0, 1, 2, 3, 27))
     assert got[4].lang_pred != "und" and got[None].lang_pred != "und"
-    assert language.predict(language.Model([], model.masks, model.noise), ["abc"]) == (["und"], [0.0])
+    assert language.predict(language.Model([], model.masks, np.zeros(0)), ["abc"]) == (["und"], [0.0])
 
 
 def test_language_learns_nothing_held_out(spark):
