@@ -59,7 +59,7 @@ def _usable(v: Column) -> Column:
     return F.coalesce(~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def principal_axes(rows: DataFrame, sample: int) -> dict[int, np.ndarray]:
+def principal_axes(rows: DataFrame, sample: int, kind: str) -> dict[int, np.ndarray]:
     """For each vector length, an orthonormal rotation by falling variance.
 
     Fitted on at most about ``sample`` rows, chosen by a hash of their row number;
@@ -70,19 +70,19 @@ def principal_axes(rows: DataFrame, sample: int) -> dict[int, np.ndarray]:
     got = rows.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < keep).select("vec").collect()
     out: dict[int, list] = {}
     for (raw,) in got:
-        v = np.frombuffer(raw, dtype=np.float64)
+        v = np.frombuffer(raw, dtype=kind).astype(np.float64)
         out.setdefault(len(v), []).append(v / np.linalg.norm(v))
     return {d: np.linalg.eigh(np.cov(np.array(vs).T.reshape(d, -1), bias=True).reshape(d, d))[1][:, ::-1] for d, vs in out.items()}
 
 
-def _keys(axes: dict[int, np.ndarray], eps: float):
+def _keys(axes: dict[int, np.ndarray], eps: float, kind: str):
     """Adds each vector's place in the epsilon grid order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = []
             for raw in b["vec"]:
-                v = np.frombuffer(raw, dtype=np.float64)
+                v = np.frombuffer(raw, dtype=kind).astype(np.float64)
                 p = (v / np.linalg.norm(v)) @ axes.get(len(v), np.eye(len(v)))[:, :AXES]
                 coarse = np.clip(np.floor(p / eps) + 128, 0, 255).astype(np.uint8)
                 fine = np.clip(np.floor(p * 4 / eps) + 128, 0, 255).astype(np.uint8)
@@ -95,11 +95,11 @@ def _keys(axes: dict[int, np.ndarray], eps: float):
 _BLOCK = "block long, level int, dim int, n long, rep long, lo array<double>, hi array<double>, mid array<double>, radius double"
 
 
-def _blocks(axes: dict[int, np.ndarray], block_rows: int):
+def _blocks(axes: dict[int, np.ndarray], block_rows: int, kind: str):
     """Cuts a sorted partition into intervals: one row each, with its vectors and bounds."""
 
     def head(rows: np.ndarray, raw: list[bytes], block: int) -> dict:
-        vecs = np.array([np.frombuffer(r, dtype=np.float64) for r in raw])
+        vecs = np.array([np.frombuffer(r, dtype=kind).astype(np.float64) for r in raw])
         unit = vecs / np.linalg.norm(vecs, axis=1)[:, None]
         p = unit @ axes.get(unit.shape[1], np.eye(unit.shape[1]))
         mid = p.mean(axis=0)
@@ -107,7 +107,7 @@ def _blocks(axes: dict[int, np.ndarray], block_rows: int):
             "block": block, "level": 0, "dim": p.shape[1], "n": len(rows), "rep": int(rows.min()),
             "lo": p[:, :AXES].min(axis=0), "hi": p[:, :AXES].max(axis=0), "mid": mid,
             "radius": float(np.sqrt(((p - mid) ** 2).sum(axis=1).max())),
-            "rows": rows.astype(np.int64).tobytes(), "vecs": vecs.tobytes(),
+            "rows": rows.astype(np.int64).tobytes(), "vecs": b"".join(raw),
         }
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,48 +166,40 @@ def _side(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.select(*(F.col(c).alias(f"{name}_{c}") for c in nodes.columns))
 
 
-def _compare(threshold: float):
-    """Streams (a, its own vectors first, then each partner's): counts and a spanning forest."""
+def _compare(threshold: float, kind: str):
+    """Streams tiles, the blocks of two tree nodes each: counts, and a spanning forest of each pair of blocks."""
+
+    def pair(rows_a, a, rows_b, b, itself: bool):
+        norm_a, norm_b = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+        near = (a @ b.T) / np.multiply.outer(norm_a, norm_b) >= threshold
+        if itself:
+            np.fill_diagonal(near, False)
+        i, j = np.nonzero(near)
+        if not len(i):
+            return
+        both = rows_a if itself else np.r_[rows_a, rows_b]
+        low = least_linked(i, j if itself else j + len(rows_a), len(both))
+        n = near.sum(axis=1) if itself else np.r_[near.sum(axis=1), near.sum(axis=0)]
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"row": both[at], "n": n[at], "to": both[low[at]]})
+
+    def tile(blocks: dict, partners: dict) -> Iterator[pd.DataFrame]:
+        for a, others in partners.items():
+            for b in others:
+                yield from pair(*blocks[a], *blocks[b], a == b)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_rows = own = own_norm = None
+        at, blocks, partners = None, {}, {}
         for batch in batches:
-            counts: list[tuple[np.ndarray, np.ndarray]] = []
-            links: list[tuple[np.ndarray, np.ndarray]] = []
-            for own_turn, itself, rows_raw, vecs_raw in zip(batch["own"], batch["itself"], batch["rows"], batch["vecs"]):
-                rows = np.frombuffer(rows_raw, dtype=np.int64)
-                vecs = np.frombuffer(vecs_raw, dtype=np.float64).reshape(len(rows), -1)
-                norm = np.sqrt((vecs * vecs).sum(axis=1))
-                if own_turn:
-                    own_rows, own, own_norm = rows, vecs, norm
-                    if not itself:
-                        continue
-                near = (own @ vecs.T) / np.multiply.outer(own_norm, norm) >= threshold
-                if own_turn:
-                    np.fill_diagonal(near, False)
-                if not near.any():
-                    continue
-                i, j = np.nonzero(near)
-                left = near.sum(axis=1)
-                at = np.flatnonzero(left)
-                counts.append((own_rows[at], left[at]))
-                if own_turn:
-                    both = own_rows
-                else:
-                    right = near.sum(axis=0)
-                    at = np.flatnonzero(right)
-                    counts.append((rows[at], right[at]))
-                    both, j = np.r_[own_rows, rows], j + len(own_rows)
-                low = least_linked(i, j, len(both))
-                moved = np.flatnonzero(low != np.arange(len(both)))
-                links.append((both[moved], both[low[moved]]))
-            if counts:
-                n = sum(len(r) for r, _ in counts)
-                yield pd.DataFrame({
-                    "row": np.concatenate([r for r, _ in counts] + [r for r, _ in links]),
-                    "n": np.concatenate([c for _, c in counts] + [np.zeros(len(r), dtype=np.int64) for r, _ in links]),
-                    "to": pd.array([None] * n + np.concatenate([t for _, t in links]).tolist(), dtype="Int64"),
-                })
+            for ta, tb, block, others, rows, vecs in zip(*(batch[c] for c in ("ta", "tb", "block", "partners", "rows", "vecs"))):
+                if at != (ta, tb):
+                    yield from tile(blocks, partners)
+                    at, blocks, partners = (ta, tb), {}, {}
+                ids = np.frombuffer(rows, dtype=np.int64)
+                blocks[block] = ids, np.frombuffer(vecs, dtype=kind).reshape(len(ids), -1).astype(np.float64)
+                if len(others):
+                    partners[block] = list(others)
+        yield from tile(blocks, partners)
 
     return run
 
@@ -233,6 +225,8 @@ def similarity_join(
     """
     spark = vectors.sparkSession
     eps = float(np.sqrt(2 - 2 * threshold)) + _SLACK
+    #: Vectors travel as they are stored; all arithmetic is in double precision.
+    kind = "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
     numbered = saved(
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
         .withColumn("row", F.monotonically_increasing_id())
@@ -240,17 +234,17 @@ def similarity_join(
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"row": b["row"], "vec": [np.asarray(v, dtype=np.float64).tobytes() for v in b["v"]]})
+            yield pd.DataFrame({"row": b["row"], "vec": [np.asarray(v, dtype=kind).tobytes() for v in b["v"]]})
 
     packed = numbered.where(_usable(F.col("v"))).select("row", "v").mapInPandas(pack, "row long, vec binary")
-    axes = principal_axes(packed, fit_rows)
+    axes = principal_axes(packed, fit_rows, kind)
     ordered = (
-        packed.mapInPandas(_keys(axes, eps), "row long, vec binary, key binary")
+        packed.mapInPandas(_keys(axes, eps, kind), "row long, vec binary, key binary")
         .repartitionByRange("key", "row")
         .sortWithinPartitions("key", "row")
         .drop("key")
     )
-    blocks = saved(ordered.mapInPandas(_blocks(axes, block_rows), f"{_BLOCK}, rows binary, vecs binary"))
+    blocks = saved(ordered.mapInPandas(_blocks(axes, block_rows, kind), f"{_BLOCK}, rows binary, vecs binary"))
 
     # The tree. Ids of parents follow from those of children, so no ranking is needed.
     tops = blocks.agg(
@@ -310,18 +304,19 @@ def similarity_join(
         )
         pairs = near.where(~F.col("whole")).select("a", "b", "dim")
 
-    # Pairs of intervals: each travels with the partner's vectors to where a's are.
-    body = blocks.select("block", "rows", "vecs")
-    selves = pairs.groupBy(F.col("a").alias("block")).agg(F.max((F.col("a") == F.col("b")).cast("int")).alias("itself"))
-    own = body.join(selves, "block").select(F.col("block").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(True).alias("own"), (F.col("itself") == 1).alias("itself"), "rows", "vecs")
-    partners = pairs.where(F.col("a") != F.col("b")).join(body, F.col("b") == F.col("block")).select("a", "b", F.lit(False).alias("own"), F.lit(False).alias("itself"), "rows", "vecs")
-    # A block with many partners is dealt over several tasks, its own vectors to each of them.
-    spread = 8
-    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("itself", F.col("itself") & (F.col("salt") == 0))
-    partners = partners.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(spread)).cast("int"))
+    # Pairs of intervals, by tiles: the pairs below the same two parents, at most FAN ** 2.
+    # An interval's vectors travel once to each tile, not once to each pair.
+    tiles = pairs.select("a", "b", parent(F.col("a"), 1).alias("ta"), parent(F.col("b"), 1).alias("tb"))
+    no_partner = F.array().cast("array<bigint>")
+    needed = (
+        tiles.select("ta", "tb", F.col("a").alias("block"), F.array("b").alias("p"))
+        .union(tiles.select("ta", "tb", F.col("b").alias("block"), no_partner.alias("p")))
+        .groupBy("ta", "tb", "block").agg(F.flatten(F.collect_list("p")).alias("partners"))
+    )
     compared = saved(
-        own.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("own").desc())
-        .select("own", "itself", "rows", "vecs").mapInPandas(_compare(threshold), "row long, n long, to long")
+        needed.join(blocks.select("block", "rows", "vecs"), "block")
+        .repartition("ta", "tb").sortWithinPartitions("ta", "tb", "block")
+        .mapInPandas(_compare(threshold, kind), "row long, n long, to long")
     )
 
     # What was settled whole goes from nodes to their intervals, then to vectors.
