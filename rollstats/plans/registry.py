@@ -1,9 +1,16 @@
 """All queries of the library and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from . import dice, groups
 
+_QUERIES = {**dice.QUERIES, **groups.QUERIES}
+_SQL = {**dice.SQL, **groups.SQL}
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
