@@ -182,12 +182,13 @@ PIP_LOW, PIP_HIGH = 600, 1500
 
 
 def otsu(grey: np.ndarray) -> int:
-    """The threshold that separates two classes of grey best."""
+    """The threshold that separates two classes of grey best; the middle one of several."""
     n = np.bincount(grey.ravel(), minlength=256).astype(float)
     w, s = np.cumsum(n), np.cumsum(n * np.arange(256))
     with np.errstate(all="ignore"):
         between = (s[-1] * w - s * w[-1]) ** 2 / (w * (w[-1] - w))
-    return int(np.nan_to_num(between, nan=-1.0, posinf=-1.0).argmax())
+    between = np.nan_to_num(between, nan=-1.0, posinf=-1.0)
+    return int(np.flatnonzero(between >= between.max() - 1e-9 * abs(between.max())).mean())
 
 
 def areas(mask: np.ndarray) -> list[int]:

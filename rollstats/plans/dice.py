@@ -218,13 +218,13 @@ def text_histogram(spark, sf_dir):
 
 
 @query(
-    _CHI + ", n AS (SELECT die_id, sum(n) AS n FROM c GROUP BY die_id) SELECT die_id, printf('N=%d x=%.4f dof=%d', CAST(n AS BIGINT), round(x, 6), dof) AS line FROM x JOIN n USING (die_id)",
+    _CHI + ", n AS (SELECT die_id, sum(n) AS n FROM c GROUP BY die_id) SELECT die_id, printf('N=%d x=%.4f dof=%d', CAST(n AS BIGINT), round(round(x, 8), 4), dof) AS line FROM x JOIN n USING (die_id)",
     "rolls_by_supplier",
 )
 def chi2_text(spark, sf_dir):
     r = rolls_by_supplier(spark, sf_dir)
     joined = stats.chi_square(r).join(r.groupBy("die_id").agg(F.count(F.lit(1)).alias("n")), "die_id")
-    return joined.select("die_id", F.format_string("N=%d x=%.4f dof=%d", "n", F.round("statistic", 6), "dof").alias("line"))
+    return joined.select("die_id", F.format_string("N=%d x=%.4f dof=%d", "n", F.round(F.round("statistic", 8), 4), "dof").alias("line"))
 
 
 # --- charts ----------------------------------------------------------------------

@@ -31,7 +31,8 @@ def labels_text(sequence: DataFrame, comment: str) -> DataFrame:
 
 
 def write_labels(sequence: DataFrame, path: str, comment: str) -> None:
-    labels_text(sequence, comment).write.partitionBy("die_id").option("lineSep", "").text(path)
+    """One file a die. Spark's writer ends each with a line feed, which the reader takes as no line."""
+    labels_text(sequence, comment).write.partitionBy("die_id").text(path)
 
 
 def groups_json(groups: DataFrame) -> DataFrame:
