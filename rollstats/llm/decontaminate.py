@@ -110,38 +110,47 @@ def contaminated(
         .select("row", "item", (F.col("n") / F.col("windows")).alias("coverage"))
     )
     held = saved(held)
-    return held.join(_inconsistent(hits, held, docs, benchmark, sizes, text_col, item_col, item_text_col), ["row", "item"], "left_anti")
+    items = _items(benchmark, item_col, item_text_col)
+    # Matched words are at least as many as matched places, so few slots in an item can't be a large share of them.
+    n = F.size("item_words")
+    least = F.greatest(F.least(n, F.lit(window)), F.ceil(coverage * F.greatest(n - window + 1, F.lit(1))))
+    slotted = saved(items.where(F.size(F.filter("item_words", is_slot)) >= SLOT_SHARE * least))
+    doubtful = saved(held.join(bounded(slotted.select("item")), "item", "left_semi").select("row", "item"))
+    if doubtful.isEmpty():
+        return held
+    return held.join(_inconsistent(hits, doubtful, docs, slotted, sizes, text_col), ["row", "item"], "left_anti")
 
 
-def _inconsistent(hits, held, docs, benchmark, sizes, text_col, item_col, item_text_col) -> DataFrame:
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    texts = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).dropDuplicates()
+    return texts.select("item", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("item_words"))
+
+
+def _inconsistent(hits: DataFrame, doubtful: DataFrame, docs: DataFrame, items: DataFrame, sizes: list[int], text_col: str) -> DataFrame:
     """``(row, item)`` of candidates whose slots contradict each other.
 
-    Only candidates' texts are read again, and only their slot tokens compared.
+    Only these candidates' texts are read again, once, and only matched words compared.
     """
-    rows = bounded(saved(held.select("row").distinct()))
+    rows = bounded(saved(doubtful.select("row").distinct()))
     words = docs.join(rows, "row", "left_semi").select("row", tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
     n = F.size("words")
     # at -> first word: places of the sizes before this one are taken off.
     before, start = F.lit(0), F.lit(None).cast("int")
     for s in sizes:
-        start = F.when(F.col("size") == s, F.col("at") - before).otherwise(start)
+        start = F.when(F.col("size") == s, F.col("at") - before + 1).otherwise(start)
         before = before + F.greatest(n - s + 1, F.lit(0))
-    items = (
-        benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).dropDuplicates()
-        .select("item", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("item_words"))
-    )
     aligned = (
-        hits.join(held.select("row", "item"), ["row", "item"], "left_semi").withColumn("at", F.col("shift") + F.col("place"))
-        .join(words, "row").join(bounded(saved(items)), "item")
+        hits.join(doubtful, ["row", "item"], "left_semi").withColumn("at", F.col("shift") + F.col("place"))
+        .join(words, "row").join(bounded(items), "item")
     )
     pairs = aligned.select(
         "row", "item",
         F.explode(F.arrays_zip(
-            F.slice("item_words", F.col("place") + 1, F.col("size")).alias("theirs"), F.slice("words", start + 1, F.col("size")).alias("ours"),
+            F.slice("item_words", F.col("place") + 1, F.col("size")).alias("theirs"), F.slice("words", start, F.col("size")).alias("ours"),
             F.sequence(F.col("place"), F.col("place") + F.col("size") - 1).alias("word"),
         )).alias("p"),
     ).select("row", "item", "p.*").distinct()
-    lower = pairs.select("row", "item", F.lower("theirs").alias("theirs"), F.lower("ours").alias("ours"), is_slot(F.col("theirs")).alias("slot"))
+    lower = saved(pairs.select("row", "item", F.lower("theirs").alias("theirs"), F.lower("ours").alias("ours"), is_slot(F.col("theirs")).alias("slot")))
     many = lower.groupBy("row", "item").agg(F.avg(F.col("slot").cast("double")).alias("share")).where(F.col("share") >= SLOT_SHARE)
     slots = lower.where("slot").select("row", "item", "theirs", "ours").distinct()
     one_way = slots.groupBy("row", "item", "theirs").count().where("count > 1").select("row", "item")
