@@ -286,6 +286,27 @@ def test_redundant_rows_keep_one_of_each_group(spark, stored):
     assert sorted(left, key=str) == sorted([(1, "a b c d"), (9, "other words are here now"), (7, "")], key=str)
 
 
+def test_near_copies_go_and_other_texts_stay(spark, stored):
+    rng = np.random.default_rng(7)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)])
+    texts, copies = [], set()
+    for k in range(30):
+        base = rng.choice(words, 200)
+        texts.append(" ".join(base))
+        for n in (1, 2, 3):  # words changed: similarity over 0.85
+            other = base.copy()
+            other[rng.choice(200, n, replace=False)] = "changed"
+            copies.add(len(texts))
+            texts.append(" ".join(other))
+        half = base.copy()
+        half[100:] = rng.choice(words, 100)  # similarity about a third
+        texts.append(" ".join(half))
+    docs = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).withColumn("_row", F.monotonically_increasing_id())
+    gone = docs.join(simhash.redundant_rows(docs, "_row"), "_row").select("doc_id").collect()
+    gone = {r.doc_id for r in gone}
+    assert gone <= copies and len(gone) >= 0.9 * len(copies)
+
+
 # --- embeddings ----------------------------------------------------------------------
 
 
