@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bounded, saved
 from .components import components
 
 #: Seed of the shingle hash.
@@ -330,6 +330,8 @@ def _all_but_first(placed: DataFrame, row_col: str) -> DataFrame:
     """Of each ``part``, every row but the one with the smallest id; ties and null ids by row number, null ids last."""
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col(row_col).alias("row"))
     kept = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
+    # As a table of its own, so that the join can split the rows of a large group.
+    kept = bounded(saved(kept.select("part", "first")))
     return placed.join(kept, "part").where(F.col(row_col) != F.col("first.row")).select(row_col)
 
 
