@@ -1,10 +1,11 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut where a full window fills; what is left over is cut
-into pieces of at most ``cut`` ids.  Full windows are sequences of their own.
-Pieces are dealt by a hash into groups of about ``group_windows`` windows, and
-each group is partitioned by largest differencing: every piece starts as a
-partial partition (its size, and zeros), the two partial partitions with the
+A document's ids are cut where a full window fills; what is left over is one
+long piece and a few short ones from its end, of falling sizes (``TRIMS``): long
+pieces alone can't be balanced to less than a few hundredths of a window, the
+short ones even it out.  Full windows are sequences of their own.  Pieces are
+dealt by a hash into groups of about ``group_windows`` windows, and each group is
+partitioned by largest differencing: every piece starts as a partial partition (its size, and zeros), the two partial partitions with the
 largest imbalance are merged with opposing orders, until one partition is left
 whose windows are nearly equal.  If one exceeds the capacity, the group gets a
 window more.  Only piece lengths and checksums are shuffled, never texts or ids.
@@ -27,6 +28,8 @@ from .common import saved, table
 
 CAPACITY = 2048
 END_ID = 1
+#: Sizes of the short pieces at a document's end; each is cut off what has four times its size left.
+TRIMS = (256, 64, 16, 4)
 #: Runs without white space beyond this length go to the library that merges them in n log n.
 _LONG_RUN = 4000
 _SPECIAL = "<|endoftext|>"
@@ -69,16 +72,19 @@ def encode(text: str | None, path: str) -> list[int]:
     return [*fast.encode_ordinary(text), END_ID]
 
 
-def cuts(n: int, capacity: int, cut: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: full windows, then near-equal pieces of at most ``cut``."""
-    full = n // capacity
-    out = [(k * capacity, capacity) for k in range(full)]
-    rest, at = n - full * capacity, full * capacity
-    parts = -(-rest // cut)
-    for k in range(parts):
-        size = rest // parts + (k < rest % parts)
-        out.append((at, size))
-        at += size
+def cuts(n: int, capacity: int, trims: tuple[int, ...] = TRIMS) -> list[tuple[int, int]]:
+    """(start, length) of a document's pieces: full windows, a long piece, short ones at the end."""
+    out = [(at, capacity) for at in range(0, n - n % capacity, capacity)]
+    left, short = n % capacity, []
+    for t in trims:
+        if left >= 4 * t:
+            short.append(t)
+            left -= t
+    at = n - n % capacity
+    for size in (left, *short):
+        if size:
+            out.append((at, size))
+            at += size
     return out
 
 
@@ -130,7 +136,7 @@ def pack_group(sizes: list[int], capacity: int) -> np.ndarray:
         windows += 1
 
 
-def tokenized(docs: DataFrame, capacity: int, cut: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, capacity: int, trims: tuple[int, ...], path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its piece boundaries and the checksum of each piece's ids; saved."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +144,7 @@ def tokenized(docs: DataFrame, capacity: int, cut: int, path: str, id_col: str =
             out = []
             for text in b["text"]:
                 ids = np.array(encode(text, path), dtype="<u4")
-                pieces = cuts(len(ids), capacity, cut)
+                pieces = cuts(len(ids), capacity, trims)
                 out.append((
                     len(ids), [s for s, _ in pieces], [n for _, n in pieces],
                     [zlib.crc32(ids[s : s + n].tobytes()) for s, n in pieces],
@@ -154,8 +160,8 @@ def tokenized(docs: DataFrame, capacity: int, cut: int, path: str, id_col: str =
 def pack(
     docs: DataFrame,
     capacity: int = CAPACITY,
-    cut: int = 512,
-    group_windows: int = 64,
+    trims: tuple[int, ...] = TRIMS,
+    group_windows: int = 128,
     path: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -169,7 +175,7 @@ def pack(
     gives no rows.
     """
     path = path or vocabulary_path()
-    pieces = tokenized(docs, capacity, cut, path, id_col, text_col).select(
+    pieces = tokenized(docs, capacity, trims, path, id_col, text_col).select(
         "doc_id", "row", "doc_tokens", F.explode(F.arrays_zip("starts", "lengths", "crcs")).alias("p")
     ).select(
         "doc_id", F.col("p.starts").alias("start"), F.col("p.lengths").alias("length"),
