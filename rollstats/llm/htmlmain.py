@@ -40,7 +40,6 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math".split())
 _BOILER_TAGS = frozenset("nav footer aside form head button select option menu dialog label input".split()) | _RAW
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BOILER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie"
     " cookies disqus footer masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted"
@@ -213,63 +212,90 @@ def _hash_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def _difference(before: dict[int, tuple], after: dict[int, tuple]):
-    """Pairs each page of a sorted partition with its neighbour. before, after: (host, hashes) next to each partition."""
+_PAIRED = "row long, n_shared int, shared array<int>, edge string, part int, host string, path string, hashes array<long>, open boolean, alone boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        last, held = before.get(part), None
+def _shared(page: dict, other: dict | None) -> dict:
+    """A page's result against its neighbour: places of shared lines only where they decide."""
+    places = shared_lines(page["hashes"], other["hashes"]) if other else []
+    return {"row": page["row"], "n_shared": len(places), "shared": places if page["open"] else []}
 
-        def row(page, other) -> dict:
-            same = other is not None and other[0] == page[0]
-            shared = shared_lines(page[1], other[1]) if same else []
-            return {"row": page[2], "n_shared": len(shared), "shared": shared if page[3] else []}
 
-        for b in batches:
-            out = []
-            for host, hashes, key, is_open in zip(b["host"], b["hashes"], b["row"], b["open"]):
-                page = (host, list(hashes), key, is_open)
-                if held is not None:  # the first of its host waits for the next page
-                    out.append(row(held, page))
-                    held = None
-                if last is not None and last[0] == host:
-                    out.append(row(page, last))
-                else:
-                    held = page
-                last = page
-            if out:
-                yield pd.DataFrame(out)
-        if held is not None:
-            yield pd.DataFrame([row(held, after.get(part))])
+def _pair_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Results of a sorted partition's pages; its first and last page also as edges, which other partitions need.
 
-    return run
+    An edge ``first`` holds the result against the page after it, in case none
+    precedes it; ``alone`` marks a page without a neighbour in this partition.
+    """
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    first = last = None
+    waiting = False  # the last page is the first of its host
+
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _PAIRED.split(", ")]).astype(object)
+        return out.where(out.notna(), None)
+
+    def edge(kind: str, page: dict, alone: bool, result: dict) -> dict:
+        return page | result | {"edge": kind, "part": part, "alone": alone}
+
+    for b in batches:
+        out = []
+        for row, host, path, hashes, is_open in zip(b["row"], b["host"], b["path"], b["hashes"], b["open"]):
+            page = {"row": row, "host": host, "path": path, "hashes": list(hashes), "open": is_open}
+            same = last is not None and last["host"] == host
+            if waiting and last is first:
+                out.append(edge("first", first, not same, _shared(first, page if same else None)))
+            elif waiting:
+                out.append(_shared(last, page if same else None))
+            if same:
+                out.append(_shared(page, last))
+            waiting, last = not same, page
+            first = first or page
+        if out:
+            yield frame(out)
+    if first is not None:
+        ends = [edge("first", first, True, _shared(first, None))] if first is last else []
+        yield frame([*ends, edge("last", last, waiting and last is not first, _shared(last, None))])
+
+
+def _at_edges(edges: list) -> list[dict]:
+    """Results of the pages whose neighbour may lie in another partition; ``edges`` are two rows a partition."""
+    place = lambda e: (e["host"], e["path"], e["row"])
+    firsts = sorted((e.asDict() for e in edges if e["edge"] == "first"), key=place)
+    lasts = {e["part"]: e.asDict() for e in edges if e["edge"] == "last"}
+    out = []
+    for k, page in enumerate(firsts):
+        before = lasts[firsts[k - 1]["part"]] if k else None
+        after = firsts[k + 1] if k + 1 < len(firsts) else None
+        last = lasts[page["part"]]
+        if before and before["host"] == page["host"]:
+            out.append(_shared(page, before))
+        elif page["alone"] and page["row"] == last["row"] and after and after["host"] == page["host"]:
+            out.append(_shared(page, after))
+        else:
+            out.append({c: page[c] for c in ("row", "n_shared", "shared")})
+        if last["alone"]:
+            out.append(_shared(last, after if after and after["host"] == last["host"] else None))
+    return out
 
 
 def shared_with_neighbour(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``(row, n_shared, shared)``: how many lines of each page its neighbour shares; places only where they decide.
 
-    ``pages`` holds ``row, host, path`` and the html.
+    ``pages`` holds ``row, host, path`` and the html.  The neighbour is the page
+    before it on its host by path, then row; for a host's first page the one after it.
+    Partitions of the sort are joined by their first and last page alone.
     """
     keys = pages.select("row", "host", "path", F.col(html_col).alias("html")).mapInPandas(_hash_lines, _KEYS)
-    # Line hashes are written once: sorting samples its input, and the neighbours across partitions are looked up.
-    ordered = saved(saved(keys).repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row"))
-    ordered = ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
-    edges = ordered.groupBy("part").agg(
-        F.min_by(F.struct("host", "path", "row", "hashes"), F.struct("host", "path", "row")).alias("first"),
-        F.max_by(F.struct("host", "path", "row", "hashes"), F.struct("host", "path", "row")).alias("last"),
-    ).collect()  # two rows a partition
-    edges = sorted(edges, key=lambda e: (e["first"]["host"], e["first"]["path"], e["first"]["row"]))
-    return _paired(ordered, edges)
-
-
-def _paired(ordered: DataFrame, edges: list) -> DataFrame:
-    before, after = {}, {}
-    for a, b in zip(edges, edges[1:]):
-        before[b["part"]] = (a["last"]["host"], a["last"]["hashes"])
-        after[a["part"]] = (b["first"]["host"], b["first"]["hashes"])
-    return ordered.drop("part", "place").mapInPandas(_difference(before, after), "row long, n_shared int, shared array<int>")
+    # Line hashes are written once: the range sort samples its input.
+    ordered = saved(keys).repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
+    paired = saved(ordered.mapInPandas(_pair_neighbours, _PAIRED))
+    edges = _at_edges(paired.where("edge is not null").collect())
+    columns = "row long, n_shared int, shared array<int>"
+    found = pages.sparkSession.createDataFrame([tuple(e[c] for c in ("row", "n_shared", "shared")) for e in edges], columns)
+    return paired.where("edge is null").select("row", "n_shared", "shared").union(found)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

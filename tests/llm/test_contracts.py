@@ -385,6 +385,34 @@ def test_differencing_deletes_what_neighbours_share(spark, stored):
     assert out[50] == "Site name\nsolo one\nRead more\nsolo two\nImprint" and out[51] == out[52] == ""
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8, 40])
+def test_neighbours_do_not_depend_on_partitions(spark, parts):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(90):
+        lines = rng.integers(0, 6, rng.integers(1, 6)).tolist()
+        rows.append((k, f"h{int(rng.integers(0, 5)) if k % 3 else 9}", f"/{int(rng.integers(0, 30)):02}", "".join(f"<p>line {x}</p>" for x in lines)))
+    rows.append((500, "lonely", "/", "<p>line 1</p>"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "row long, host string, path string, html string")
+        got = {r.row: (r.n_shared, r.shared) for r in htmlmain.shared_with_neighbour(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    want = {}
+    for k, r in enumerate(order):
+        near = [x for x in (order[k - 1] if k else None, order[k + 1] if k + 1 < len(order) else None) if x and x[1] == r[1]]
+        other = (order[k - 1] if k and order[k - 1][1] == r[1] else near[0]) if near else None
+        hashes = lambda x: [htmlmain.line_hash(t) for _, t in htmlmain.lines_of(x[3])]
+        places = htmlmain.shared_lines(hashes(r), hashes(other)) if other else []
+        want[r[0]] = (len(places), places)
+    assert got == want
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(0)
 
