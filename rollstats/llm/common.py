@@ -59,6 +59,19 @@ def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """All columns, or those named, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)]
+
+
 def any_of(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, terms)
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, saved, table
+from .common import bounded, columns_of, fresh, saved, table
 
 #: Words of a template window.
 WINDOW = 8
@@ -165,14 +165,16 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, a stored table, that hold no benchmark item; columns stay as they are."""
-    rows = numbered(docs)
-    bad = bounded(saved(contaminated(rows, benchmark, **options).select("row").distinct()))
-    return rows.join(bad, "row", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_row")
+    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    texts = rows.select(F.col(key).alias("row"), F.col(options.pop("text_col", "text")).alias("text"))
+    bad = contaminated(texts, benchmark, **options).select(F.col("row").alias(key)).distinct()
+    return rows.join(bounded(saved(bad)), key, "left_anti").select(*columns_of(docs))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items it holds."""
-    docs = numbered(table(spark, sf_dir, "documents"))
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
     each = found.groupBy("row").agg(
         F.array_sort(F.collect_set("item")).alias("items"), F.round(F.max("coverage"), 6).alias("max_coverage")

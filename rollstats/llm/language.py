@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 GRAM = 4
 HASHES = 2
@@ -69,27 +69,35 @@ def slots(codes: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """languages: by bit; masks: the bit-sliced filters; noise: each filter's false positive rate."""
+    """languages: by bit; masks: the bit-sliced filters, a row of slots for every WORD languages; noise: false positive rates."""
 
     languages: list[str]
     masks: np.ndarray
     noise: np.ndarray
 
+    def holds(self, grams: np.ndarray, bit: int) -> np.ndarray:
+        """1 where the filter of the language at ``bit`` holds an n-gram, given the looked-up masks."""
+        kind = grams.dtype.type
+        return grams[bit // WORD] >> kind(bit % WORD) & kind(1)
+
+
+#: Languages that one mask holds.
+WORD = 64
+
 
 def fit(rows: list[tuple[str, str]], min_texts: int = 2) -> Model:
     """Filters from (language, text) pairs: n-grams that at least ``min_texts`` texts of a language hold."""
     languages = sorted({lang for lang, _ in rows})
-    if len(languages) > 64:
-        raise ValueError("a mask has 64 bits; more languages need more filters")
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    masks = np.zeros(1 << SLOT_BITS, dtype=kind)
+    masks = np.zeros((-(-len(languages) // WORD), 1 << SLOT_BITS), dtype=kind)
     for bit, lang in enumerate(languages):
         own = [np.unique(gram_codes([t])[0]) for other, t in rows if other == lang]
         seen, times = np.unique(np.concatenate(own), return_counts=True)
         grams = seen[times >= min(min_texts, len(own))]
         for s in slots(grams):
-            masks[s] |= kind(1 << bit)
-    fill = np.array([((masks >> kind(b)) & kind(1)).mean() for b in range(len(languages))])
+            masks[bit // WORD, s] |= kind(1 << bit % WORD)
+    model = Model(languages, masks, np.zeros(len(languages)))
+    fill = np.array([model.holds(masks, b).mean() for b in range(len(languages))])
     return Model(languages, masks, fill**HASHES)
 
 
@@ -104,13 +112,12 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
             end += 1
         codes, begins = gram_codes(texts[at:end])
         a, b = slots(codes)
-        hit = model.masks[a] & model.masks[b]
+        hit = model.masks[:, a] & model.masks[:, b]
         counts = np.zeros((len(model.languages), end - at))
         some = np.flatnonzero(np.diff(begins))
         if len(some):
             for bit in range(len(model.languages)):
-                of = (hit >> hit.dtype.type(bit)) & hit.dtype.type(1)
-                counts[bit, some] = np.add.reduceat(of, begins[some], dtype=np.int64)
+                counts[bit, some] = np.add.reduceat(model.holds(hit, bit), begins[some], dtype=np.int64)
         total = np.diff(begins)
         share = np.divide(counts, total, out=np.zeros_like(counts), where=total > 0)
         noise = model.noise[:, None]
@@ -132,27 +139,30 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, fit_texts: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(
+    docs: DataFrame, fit_texts: int = 1500, fit_total: int = 12_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> Model:
     """A model from rows with a language outside the held-out third.
 
-    ``fit_texts`` bounds, in expectation, the texts of each language (a hash of
-    the id chooses them; a rare language is taken whole).
+    ``fit_texts`` bounds, in expectation, the texts of each language, and
+    ``fit_total`` those of all (a hash of the id chooses them; a rare language is
+    taken whole).  No labelled row gives a model that answers ``und``.
     """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.zeros(1 << SLOT_BITS, dtype=np.uint8), np.zeros(0))
+        return Model([], np.zeros((0, 1 << SLOT_BITS), dtype=np.uint8), np.zeros(0))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     chosen = F.lit(False)
     for lang, n in sorted(sizes.items()):
-        limit = int((1 << 30) * min(1.0, fit_texts / n))
+        limit = int((1 << 30) * min(1.0, min(fit_texts, fit_total / len(sizes)) / n))
         chosen = chosen | ((F.col("lang") == lang) & (place < limit))
     got = rows.where(chosen).orderBy("id").select("lang", "text").toPandas()
     return fit(list(zip(got["lang"], got["text"])))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", label_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score`` (which replace columns of those names).
 
     Null texts and texts without a letter get ``und`` and 0.  Ties go to the
@@ -166,11 +176,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             labels, scores = predict(shared.value, t.tolist())
             yield pd.DataFrame({"label": labels, "score": scores})
 
-    return (
-        docs.withColumn("_judged", judge(F.col(text_col)))
-        .withColumns({"lang_pred": F.col("_judged.label"), "lang_score": F.col("_judged.score")})
-        .drop("_judged")
-    )
+    judged = fresh(docs, "_judged")
+    out = docs.withColumn(judged, judge(F.col(text_col)))
+    return out.withColumns({label_col: F.col(f"{judged}.label"), score_col: F.col(f"{judged}.score")}).drop(judged)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

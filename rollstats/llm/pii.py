@@ -21,7 +21,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_of, span_string, table
+from .common import any_of, columns_of, span_string, table
 
 #: In the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -249,24 +249,30 @@ def score(model: dict[str, float], p: Column) -> Column:
     return out
 
 
-def find_pii(docs: DataFrame, min_probability: float = 0.8, text_col: str = "text") -> DataFrame:
+def find_pii(
+    docs: DataFrame, min_probability: float = 0.8, text_col: str = "text", rules_col: str = "pii_rules", spans_col: str = "pii_spans"
+) -> DataFrame:
     """``docs`` with ``pii_rules`` and ``pii_spans``: arrays of ``struct(rank, start, end, kind)`` by kind, then start.
 
     ``pii_rules`` are the rules' spans; ``pii_spans`` also hold the loose spans
     that the trained classifier gives ``min_probability``.  Offsets count code
     points, ends are exclusive.  Null and empty texts have no spans.  Rows and
-    other columns stay as they are (columns of these two names are replaced); an
+    all other columns stay as they are (columns of the two names are replaced); an
     empty table gives no rows.
     """
-    proposed = with_proposals(docs.drop("pii_rules", "pii_spans"), text_col)
+    others = [c for c in docs.columns if c.lower() not in (rules_col.lower(), spans_col.lower())]
+    # The row travels as one value: helper columns can't clash with its columns.
+    packed = docs.select(F.struct(*columns_of(docs, others)).alias("doc"), F.col(text_col).alias("text"))
+    proposed = with_proposals(packed)
     model = train(count_patterns(proposed))
     limit = math.log(min_probability / (1 - min_probability))
     plain = lambda p: F.struct(p["rank"].alias("rank"), p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"))
     added = F.filter("_loose", lambda p: score(model, p) >= limit)
-    return proposed.withColumns({
-        "pii_rules": F.array_sort(F.transform("_rules", plain)),
-        "pii_spans": F.array_sort(F.transform(F.concat("_rules", added), plain)),
-    }).drop("_rules", "_loose")
+    return proposed.select(
+        "doc.*",
+        F.array_sort(F.transform("_rules", plain)).alias(rules_col),
+        F.array_sort(F.transform(F.concat("_rules", added), plain)).alias(spans_col),
+    )
 
 
 def redacted(text: Column, spans: Column) -> Column:

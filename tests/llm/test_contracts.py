@@ -223,7 +223,18 @@ def test_language(spark, odd_docs):
     got = {r.doc_id: r for r in language.identify(odd_docs, model).collect()}
     assert all(got[k].lang_pred == "und" and got[k].lang_score == 0 for k in (0, 1, 2, 3, 27))
     assert got[4].lang_pred != "und" and got[None].lang_pred != "und"
-    assert language.predict(language.Model([], model.masks, np.zeros(0)), ["abc"]) == (["und"], [0.0])
+    assert language.predict(language.Model([], model.masks[:0], np.zeros(0)), ["abc"]) == (["und"], [0.0])
+
+
+def test_more_languages_than_bits():
+    rng = np.random.default_rng(0)
+    alphabet = [chr(0x4E00 + k) for k in range(2000)]
+    own = {f"l{k:03}": alphabet[k * 20 : k * 20 + 20] for k in range(90)}
+    text = lambda lang: "".join(rng.choice(own[lang], 300))
+    model = language.fit([(lang, text(lang)) for lang in own for _ in range(3)], min_texts=1)
+    assert model.masks.shape[0] == 2
+    labels, _ = language.predict(model, [x for lang in own for x in (text(lang)[:300],)] + [None])
+    assert labels[-1] == "und" and sum(a == b for a, b in zip(labels, own)) >= 45
 
 
 def test_language_learns_nothing_held_out(spark):

@@ -105,6 +105,19 @@ def test_pipeline_stages(spark, stored):
     assert packed.select("doc_id").distinct().count() == sizes[4]
 
 
+def test_clashing_columns_stay(spark, stored):
+    sf = "/root/testdata/sf0.001"
+    names = ["_row", "row", "_judged", "_rules", "_loose", "lang_pred", "lang_score", "pii_rules", "pii_spans", "_email_1", "_hashes", "fp", "a.b"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    at = stored(docs.select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, sf)
+        assert out.columns == docs.columns + names, name
+        at = stored(out)
+    rows = at.collect()
+    assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names)
+
+
 def test_run_on_an_empty_table(spark, stored, tmp_path):
     sf = "/root/testdata/sf0.001"
     for t in ("documents", "benchmark"):
