@@ -349,7 +349,8 @@ def redundant_rows(
     """
     fps = saved(fingerprints(docs, size, row_col, text_col, wide=True).withColumnRenamed("doc_id", row_col))
     ids = docs.select(F.col(row_col), F.col(id_col).alias("_id"))
-    grouped = _grouped(fps, radius, leaf_rows)
+    # A table of its own, so that the join can split the rows of a frequent fingerprint.
+    grouped = bounded(saved(_grouped(fps, radius, leaf_rows)))
     placed = saved(fps.select(row_col, "fp").join(grouped, "fp").join(ids, row_col).select(row_col, "part", "_id"))
     gone = saved(_all_but_first(placed, row_col))
     # Rows of one fingerprint are one group, so the fingerprints of the rows left are distinct.
