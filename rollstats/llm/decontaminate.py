@@ -6,6 +6,9 @@ Windows of placeholders and words are hashed next to the scan and hash-joined
 with the benchmark's windows, which are broadcast while their measured size allows
 it.  For each candidate the slots are checked: every parameter of the benchmark
 item must stand for one value in the document, and the other way round.
+
+Names are capitalised words inside a sentence.  A copy in one case is found by the
+words themselves; one With Every Word Capitalised is not.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ _UNITS = (
 ).split()
 _NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
 #: Tokens: a marked name, a word, or a number with its unit if it has one.
-_TOKEN = rf"{_NAME}?\p{{L}}[\p{{L}}\p{{M}}]*|[$€£]?{_NUMBER}(?:\x20?(?:(?:{'|'.join(_UNITS)})(?![\p{{L}}])|[%°$€£]))?"
+_TOKEN = rf"{_NAME}?\p{{L}}[\p{{L}}\p{{M}}]*|[$€£]?{_NUMBER}(?:\x20?(?:(?i:{'|'.join(_UNITS)})(?![\p{{L}}])|[%°$€£]))?"
 #: A name: a capitalised word inside a sentence.
 _INNER_CAPITAL = r"(?<=[\p{L}\p{N},;]\x20)(?=\p{Lu}\p{Ll})"
 
@@ -72,15 +75,22 @@ def _hashed(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(hash, size, item, place, windows)``: every window of every item, and how many the item has."""
+    """``(hash, size, item, place, windows)``: every window of every item, and how many the item has.
+
+    A window is there twice, with its names as placeholders and as words: a copy in
+    lower or upper case shows no names, and holds the second form.
+    """
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).dropDuplicates()
-    items = _hashed(items, "text").withColumn("size", F.least(F.size("_hashes"), F.lit(window))).where(F.col("size") >= LEAST)
+    words = tokens(F.coalesce(F.col("text"), F.lit("")))
+    forms = F.array(words, F.transform(words, lambda t: F.replace(t, F.lit(_NAME), F.lit(""))))
+    items = items.select("item", F.explode(forms).alias("_words")).select("item", F.transform("_words", lambda t: F.xxhash64(canonical(t))).alias("_hashes"))
+    items = items.withColumn("size", F.least(F.size("_hashes"), F.lit(window))).where(F.col("size") >= LEAST)
     sized = F.when(F.lit(False), F.array().cast("array<bigint>"))
     for size in range(LEAST, window + 1):
         sized = sized.when(F.col("size") == size, window_hashes(F.col("_hashes"), size))
     return items.select("item", "size", sized.alias("_w")).select(
         "item", "size", F.size("_w").alias("windows"), F.posexplode("_w").alias("place", "hash")
-    )
+    ).distinct()
 
 
 def contaminated(

@@ -26,9 +26,10 @@ def test_templates(spark, stored):
         f"Before it. {ITEM}. After it.", None, "", "The train from Paris was late and nobody minded that much at all today",
         "The train from London leaves at 9 o'clock and travels 300 km in 4 hours, how far does it go in 6 hours?",
         " ".join(ITEM.split()[:11]) + " but then stops for good", ITEM, ITEM.upper(),
+        f"so then {ITEM.lower()} and on it goes", "THE TRAIN FROM PARIS WAS LATE AND NOBODY MINDED THAT MUCH AT ALL TODAY",
     ]
     got = held(spark, stored, texts, ["short one", ITEM, None, ""])
-    assert got[:5] == [1, None, None, None, 1] and got[6] == 1
+    assert got == [1, None, None, None, 1, None, 1, 1, 1, None]
 
 
 def test_inconsistent_slots_are_no_copy(spark, stored):
