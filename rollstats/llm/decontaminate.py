@@ -4,8 +4,8 @@ Texts become word sequences in which numbers, numbers with units, and names are
 typed placeholders, so a question keeps its template when its parameters change.
 Windows of placeholders and words are hashed next to the scan and hash-joined
 with the benchmark's windows, which are broadcast while their measured size allows
-it.  For each candidate the slots are checked: every parameter of the benchmark
-item must stand for one value in the document, and the other way round.
+it.  For each candidate the slots are checked: within one copy every parameter of the
+benchmark item must stand for one value, and the other way round.
 
 Names are capitalised words inside a sentence.  A copy in one case is found by the
 words themselves; one With Every Word Capitalised is not.
@@ -100,7 +100,8 @@ def contaminated(
     """``(row, item, coverage)`` of every document row and benchmark item it holds.
 
     ``docs`` holds a stored ``row`` number.  A row holds an item if it has at least
-    ``coverage`` of the item's windows, wherever they stand, and its slots are consistent or less than ``SLOT_SHARE`` of the matched words.  Null and empty
+    ``coverage`` of the item's windows, in one alignment, in neighbouring ones or wherever they stand,
+    and the slots of these are consistent or less than ``SLOT_SHARE`` of the matched words.  Null and empty
     texts hold nothing; repeated rows and items count each by itself; an empty
     benchmark or table gives no rows.
     """
@@ -114,21 +115,38 @@ def contaminated(
     # Places run on from size to size; only differences within one alignment matter.
     seen = hashed.select("row", F.posexplode(runs).alias("at", "hash"))
     hits = saved(seen.join(bounded(keys), "hash").select("row", "item", "size", "windows", "place", (F.col("at") - F.col("place")).alias("shift")))
-    held = (
-        hits.groupBy("row", "item", "windows").agg(F.count_distinct("place").alias("n"))
+    groups = saved(
+        hits.select("row", "item", "windows", "place", _scopes())
+        .groupBy("row", "item", "windows", "scope").agg(F.count_distinct("place").alias("n"))
         .where(F.col("n") >= coverage * F.col("windows"))
-        .select("row", "item", (F.col("n") / F.col("windows")).alias("coverage"))
+        .select("row", "item", "windows", "scope", (F.col("n") / F.col("windows")).alias("coverage"))
     )
-    held = saved(held)
     items = _items(benchmark, item_col, item_text_col)
     # Matched words are at least as many as matched places, so few slots in an item can't be a large share of them.
     n = F.size("item_words")
     least = F.greatest(F.least(n, F.lit(window)), F.ceil(coverage * F.greatest(n - window + 1, F.lit(1))))
     slotted = saved(items.where(F.size(F.filter("item_words", is_slot)) >= SLOT_SHARE * least))
-    doubtful = saved(held.join(bounded(slotted.select("item")), "item", "left_semi").select("row", "item"))
-    if doubtful.isEmpty():
-        return held
-    return held.join(_inconsistent(hits, doubtful, docs, slotted, sizes, text_col), ["row", "item"], "left_anti")
+    which = bounded(saved(slotted.select("item").distinct()))
+    doubtful = saved(groups.join(which, "item", "left_semi"))
+    sound = groups
+    if not doubtful.isEmpty():
+        sound = groups.join(which, "item", "left_anti").unionByName(_consistent(hits, doubtful, docs, slotted, sizes, text_col))
+    return sound.groupBy("row", "item").agg(F.max("coverage").alias("coverage"))
+
+
+def _scopes() -> Column:
+    """The groups of alignments that are judged together, exploded as ``scope``.
+
+    Each alignment by itself; those whose shifts differ by less than the item's
+    length, which a copy with words put in or left out has (two rows of buckets, half
+    a bucket apart); and all of the row, which a copy in another order has.  Two whole
+    copies that do not overlap never share a bucket.
+    """
+    shift, n = F.col("shift"), F.col("windows") + F.col("size") - 1
+    scope = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("key"))
+    return F.explode(F.array(
+        scope("all", F.lit(0)), scope("one", shift), scope("near", F.floor(shift / n)), scope("next", F.floor((shift + n / 2) / n)),
+    )).alias("scope")
 
 
 def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
@@ -136,8 +154,8 @@ def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame
     return texts.select("item", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("item_words"))
 
 
-def _inconsistent(hits: DataFrame, doubtful: DataFrame, docs: DataFrame, items: DataFrame, sizes: list[int], text_col: str) -> DataFrame:
-    """``(row, item)`` of candidates whose slots contradict each other.
+def _consistent(hits: DataFrame, doubtful: DataFrame, docs: DataFrame, items: DataFrame, sizes: list[int], text_col: str) -> DataFrame:
+    """Those of the candidate groups whose slots do not contradict each other.
 
     Only these candidates' texts are read again, once, and only matched words compared.
     """
@@ -150,22 +168,26 @@ def _inconsistent(hits: DataFrame, doubtful: DataFrame, docs: DataFrame, items:
         start = F.when(F.col("size") == s, F.col("at") - before + 1).otherwise(start)
         before = before + F.greatest(n - s + 1, F.lit(0))
     aligned = (
-        hits.join(doubtful, ["row", "item"], "left_semi").withColumn("at", F.col("shift") + F.col("place"))
+        hits.join(doubtful.select("row", "item").distinct(), ["row", "item"], "left_semi").withColumn("at", F.col("shift") + F.col("place"))
         .join(words, "row").join(bounded(items), "item")
     )
     pairs = aligned.select(
-        "row", "item",
+        "row", "item", "windows", "size", "shift",
         F.explode(F.arrays_zip(
             F.slice("item_words", F.col("place") + 1, F.col("size")).alias("theirs"), F.slice("words", start, F.col("size")).alias("ours"),
             F.sequence(F.col("place"), F.col("place") + F.col("size") - 1).alias("word"),
         )).alias("p"),
-    ).select("row", "item", "p.*").distinct()
-    lower = saved(pairs.select("row", "item", F.lower("theirs").alias("theirs"), F.lower("ours").alias("ours"), is_slot(F.col("theirs")).alias("slot")))
-    many = lower.groupBy("row", "item").agg(F.avg(F.col("slot").cast("double")).alias("share")).where(F.col("share") >= SLOT_SHARE)
-    slots = lower.where("slot").select("row", "item", "theirs", "ours").distinct()
-    one_way = slots.groupBy("row", "item", "theirs").count().where("count > 1").select("row", "item")
-    other = slots.groupBy("row", "item", "ours").count().where("count > 1").select("row", "item")
-    return one_way.union(other).distinct().join(many.select("row", "item"), ["row", "item"], "left_semi")
+    ).select("row", "item", "windows", "size", "shift", "p.*").distinct()
+    plain = lambda c: F.lower(F.replace(F.col(c), F.lit(_NAME), F.lit("")))
+    scoped = pairs.select("row", "item", "windows", _scopes(), "word", plain("theirs").alias("theirs"), plain("ours").alias("ours"), is_slot(F.col("theirs")).alias("slot"))
+    keys = ["row", "item", "windows", "scope"]
+    lower = saved(scoped.join(doubtful.select(keys), keys, "left_semi").distinct())
+    many = lower.groupBy(keys).agg(F.avg(F.col("slot").cast("double")).alias("share")).where(F.col("share") >= SLOT_SHARE)
+    slots = lower.where("slot").select(*keys, "theirs", "ours").distinct()
+    one_way = slots.groupBy(*keys, "theirs").count().where("count > 1").select(keys)
+    other = slots.groupBy(*keys, "ours").count().where("count > 1").select(keys)
+    bad = one_way.union(other).distinct().join(many.select(keys), keys, "left_semi")
+    return doubtful.join(bad, keys, "left_anti")
 
 
 def numbered(docs: DataFrame) -> DataFrame:

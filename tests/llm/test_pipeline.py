@@ -37,6 +37,15 @@ def test_inconsistent_slots_are_no_copy(spark, stored):
     assert held(spark, stored, [item.replace("3", "8").replace("4", "5"), "take 1 add 2 take 3 add 4 take 5 add 6 take 7 add 8"], [item]) == [0, None]
 
 
+def test_slots_are_checked_copy_by_copy(spark, stored):
+    item = "take 3 add 4 then take 3 add 4 then take 3 add 4 then take 3 add 4"
+    other = item.replace("3", "8").replace("4", "5")
+    third = item.replace("3", "7").replace("4", "9")
+    run = ", ".join(map(str, range(1, 13)))
+    texts = [f"{item}. Some words. {other}", f"{third} or else {other}", f"see {run} here", "take 1 add 2 then take 3 add 4 then take 5 add 6 then take 7 add 8"]
+    assert held(spark, stored, texts, [item, run]) == [0, 0, 1, None]
+
+
 def test_short_items_are_matched_whole(spark, stored):
     assert held(spark, stored, ["well, who wrote the moby dick novel then", "who wrote the other one"], ["Who wrote the moby dick novel", "a b"]) == [0, None]
 
