@@ -22,8 +22,14 @@ from .common import bounded, columns_of, fresh, saved, table
 WINDOW = 8
 #: Items with fewer words are matched whole, down to this many words; still shorter ones are not matched.
 LEAST = 4
-#: Share of an item's windows that a document must hold.
+#: Items of more than WINDOW and fewer than three times as many words have windows of this length, as one changed word breaks most of their longer ones.
+SHORT_WINDOW = 5
+#: Share of an item's windows of WINDOW words that a document must hold.
 COVERAGE = 0.5
+#: Or the share of its words that matched windows of one copy must cover.
+WORDS = 0.6
+#: Or the words of an unbroken passage of an item.
+RUN = 13
 #: Above this share of slots among the matched words, the slots must be consistent.
 SLOT_SHARE = 0.2
 
@@ -74,6 +80,11 @@ def _hashed(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("_hashes", F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.xxhash64(canonical(t))))
 
 
+def _window_size(n: Column, window: int) -> Column:
+    """Words of the windows of an item of ``n`` words."""
+    return F.when((n > window) & (n < 3 * window), F.lit(min(window, SHORT_WINDOW))).otherwise(F.least(n, F.lit(window)))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``(hash, size, item, place, windows)``: every window of every item, and how many the item has.
 
@@ -84,9 +95,9 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     words = tokens(F.coalesce(F.col("text"), F.lit("")))
     forms = F.array(words, F.transform(words, lambda t: F.replace(t, F.lit(_NAME), F.lit(""))))
     items = items.select("item", F.explode(forms).alias("_words")).select("item", F.transform("_words", lambda t: F.xxhash64(canonical(t))).alias("_hashes"))
-    items = items.withColumn("size", F.least(F.size("_hashes"), F.lit(window))).where(F.col("size") >= LEAST)
+    items = items.withColumn("size", _window_size(F.size("_hashes"), window)).where(F.col("size") >= LEAST)
     sized = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for size in range(LEAST, window + 1):
+    for size in range(min(LEAST, SHORT_WINDOW), max(window, SHORT_WINDOW) + 1):
         sized = sized.when(F.col("size") == size, window_hashes(F.col("_hashes"), size))
     return items.select("item", "size", sized.alias("_w")).select(
         "item", "size", F.size("_w").alias("windows"), F.posexplode("_w").alias("place", "hash")
@@ -99,9 +110,12 @@ def contaminated(
 ) -> DataFrame:
     """``(row, item, coverage)`` of every document row and benchmark item it holds.
 
+    ``coverage`` is the share of the item's windows, or of its words where too few windows are whole.
+
     ``docs`` holds a stored ``row`` number.  A row holds an item if it has at least
     ``coverage`` of the item's windows, in one alignment, in neighbouring ones or wherever they stand,
-    and the slots of these are consistent or less than ``SLOT_SHARE`` of the matched words.  Null and empty
+    or if windows of one alignment or neighbouring ones cover ``WORDS`` of its words, or one of its
+    passages of ``RUN`` words, and the slots of these are consistent or less than ``SLOT_SHARE`` of the matched words.  Null and empty
     texts hold nothing; repeated rows and items count each by itself; an empty
     benchmark or table gives no rows.
     """
@@ -115,16 +129,12 @@ def contaminated(
     # Places run on from size to size; only differences within one alignment matter.
     seen = hashed.select("row", F.posexplode(runs).alias("at", "hash"))
     hits = saved(seen.join(bounded(keys), "hash").select("row", "item", "size", "windows", "place", (F.col("at") - F.col("place")).alias("shift")))
-    groups = saved(
-        hits.select("row", "item", "windows", "place", _scopes())
-        .groupBy("row", "item", "windows", "scope").agg(F.count_distinct("place").alias("n"))
-        .where(F.col("n") >= coverage * F.col("windows"))
-        .select("row", "item", "windows", "scope", (F.col("n") / F.col("windows")).alias("coverage"))
-    )
+    groups = saved(_held_groups(hits, window, coverage))
     items = _items(benchmark, item_col, item_text_col)
     # Matched words are at least as many as matched places, so few slots in an item can't be a large share of them.
     n = F.size("item_words")
     least = F.greatest(F.least(n, F.lit(window)), F.ceil(coverage * F.greatest(n - window + 1, F.lit(1))))
+    least = F.least(least, F.ceil(WORDS * n), F.lit(RUN))
     slotted = saved(items.where(F.size(F.filter("item_words", is_slot)) >= SLOT_SHARE * least))
     which = bounded(saved(slotted.select("item").distinct()))
     doubtful = saved(groups.join(which, "item", "left_semi"))
@@ -134,6 +144,42 @@ def contaminated(
     return sound.groupBy("row", "item").agg(F.max("coverage").alias("coverage"))
 
 
+def _held_groups(hits: DataFrame, window: int, coverage: float) -> DataFrame:
+    """``(row, item, windows, scope, coverage, passage)`` of the groups of alignments that hold enough of an item.
+
+    ``passage`` marks those that only an unbroken passage makes candidates.
+    """
+    size, n = F.col("size"), F.col("windows") + F.col("size") - 1
+    long = F.least(n, F.lit(window))
+    more = F.greatest(long - size, F.lit(0))
+    # An alignment's places are at most an item's windows.
+    lines = hits.groupBy("row", "item", "windows", "size", "shift").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    # Places at which an unbroken run of so many windows ends: the run up to each place, in order.
+    runs = F.aggregate(
+        "places", F.array().cast("array<struct<place:int,run:int>>"),
+        lambda out, p: F.concat(out, F.array(F.struct(
+            p.alias("place"),
+            F.when((F.size(out) > 0) & (F.element_at(out, -1)["place"] == p - 1), F.element_at(out, -1)["run"] + 1).otherwise(F.lit(1)).alias("run"),
+        ))),
+    )
+    lines = lines.withColumn("runs", runs).withColumn("run", F.array_max(F.transform("runs", lambda r: r["run"])) + size - 1)
+    # Each window covers its words; the last one of a run of enough windows is the end of a long one.
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + size - 1))))
+    ends = F.transform(F.filter("runs", lambda r: r["run"] > more), lambda r: r["place"])
+    each = lines.select(
+        "row", "item", "windows", "size", "run", "shift", F.explode(F.transform(covered, lambda w: F.struct(w.alias("word"), F.array_contains(ends, w).alias("long")))).alias("c")
+    )
+    found = each.select("row", "item", "windows", "size", "run", _scopes(), "c.*").groupBy("row", "item", "windows", "size", "scope").agg(
+        F.count_distinct("word").alias("words"), F.count_distinct(F.when(F.col("long"), F.col("word"))).alias("n"), F.max("run").alias("run"),
+    )
+    share, words = F.col("n") / (n - long + 1), F.col("words") / n
+    whole = F.col("scope.kind") == "all"
+    enough = (share >= coverage) | (~whole & (n > window) & (words >= WORDS))
+    return found.where(enough | (F.col("scope.kind") == "one") & (F.col("run") >= RUN)).select(
+        "row", "item", "windows", "scope", F.when(share >= coverage, share).otherwise(words).alias("coverage"), (~enough).alias("passage")
+    )
+
+
 def _scopes() -> Column:
     """The groups of alignments that are judged together, exploded as ``scope``.
 
@@ -157,7 +203,8 @@ def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame
 def _consistent(hits: DataFrame, doubtful: DataFrame, docs: DataFrame, items: DataFrame, sizes: list[int], text_col: str) -> DataFrame:
     """Those of the candidate groups whose slots do not contradict each other.
 
-    Only these candidates' texts are read again, once, and only matched words compared.
+    A passage alone must also have as many plain words as slots, or the item's own
+    values: thirteen numbers in a row are the template of any others.  Only these candidates' texts are read again, once, and only matched words compared.
     """
     rows = bounded(saved(doubtful.select("row").distinct()))
     words = docs.join(rows, "row", "left_semi").select("row", tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
@@ -187,7 +234,9 @@ def _consistent(hits: DataFrame, doubtful: DataFrame, docs: DataFrame, items: Da
     one_way = slots.groupBy(*keys, "theirs").count().where("count > 1").select(keys)
     other = slots.groupBy(*keys, "ours").count().where("count > 1").select(keys)
     bad = one_way.union(other).distinct().join(many.select(keys), keys, "left_semi")
-    return doubtful.join(bad, keys, "left_anti")
+    strange = lower.groupBy(keys).agg(F.avg(F.col("slot").cast("double")).alias("share"), F.bool_or(F.col("slot") & (F.col("theirs") != F.col("ours"))).alias("other"))
+    strange = doubtful.where("passage").join(strange.where("share > 0.5 and other"), keys, "left_semi").select(keys)
+    return doubtful.join(bad.union(strange).distinct(), keys, "left_anti")
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -46,6 +46,18 @@ def test_slots_are_checked_copy_by_copy(spark, stored):
     assert held(spark, stored, texts, [item, run]) == [0, 0, 1, None]
 
 
+def test_changed_words_and_passages_are_found(spark, stored):
+    words = [f"w{'abcdefghijklmnopqrstuvwxyz'[k // 26]}{'abcdefghijklmnopqrstuvwxyz'[k % 26]}" for k in range(150)]
+    items = [words[:15], words[20:42], words[50:109], words[110:121]]
+    changed = lambda x, k: " ".join([*x[:k], "changed", *x[k + 1 :]])
+    added = lambda x, k: " ".join([*x[:k], "added", *x[k:]])
+    texts = [f(x, len(x) // 2) for x in (items[0], items[1], items[3]) for f in (changed, added)]
+    texts += [f"before {' '.join(items[2][9:38])} after", " ".join(items[2][9:21]), " ".join(items[0][:7]), "1 2 3 4 5 6 7 8 9 10 11 12 13"]
+    numbers = " ".join(map(str, range(100, 130)))
+    want = [0, 0, 1, 1, 3, 3, 2, None, None, None]
+    assert held(spark, stored, texts, [" ".join(x) for x in items] + [numbers]) == want
+
+
 def test_short_items_are_matched_whole(spark, stored):
     assert held(spark, stored, ["well, who wrote the moby dick novel then", "who wrote the other one"], ["Who wrote the moby dick novel", "a b"]) == [0, None]
 
