@@ -13,10 +13,10 @@ capped.  Below a node, fingerprints lie in Gray order, cut into a binary tree
 whose groups carry the bits all their members share: two groups whose shared
 bits already differ in more than ``r`` places are skipped whole.
 
-:func:`redundant_rows`, which the pipeline uses, searches twice.  The first round
-merges what the contract links (2 bits); that also collapses large groups of near
-copies.  The second round searches the documents left in a wider radius and checks
-each pair by a 256-bit SimHash of five-word shingles, for a similarity of about 0.8.
+:func:`redundant_rows`, which the pipeline uses, searches twice: for what the contract
+links (2 bits), and in a wider radius, where each pair is checked by a 256-bit SimHash
+of five-word shingles, for a similarity of about 0.8.  Both searches see all documents,
+and the components are those of both searches' links.
 """
 
 from __future__ import annotations
@@ -211,12 +211,15 @@ def links_in_runs(
         active = active[left[active] >= step]
     for at, size in zip(starts[sizes > small], sizes[sizes > small]):
         part = codes[at : at + size]
-        low = np.arange(size)
+        # Equal codes are one node, and lie side by side.
+        low = np.maximum.accumulate(np.where(np.r_[True, part[1:] != part[:-1]], np.arange(size), 0))
         for i, j in _Tree(part).pairs(radius):
+            new = low[i] != low[j]  # what is joined already needs no further link
+            i, j = i[new], j[new]
             near = close(i + at, j + at)
             if near.any():
                 low = _forest(np.r_[i[near], np.arange(size)], np.r_[j[near], low], size)
-        moved = np.flatnonzero(low != np.arange(size))
+        moved = np.flatnonzero(part != part[low])
         out_a.append(part[moved])
         out_b.append(part[low[moved]])
     join = lambda xs: np.concatenate(xs) if xs else np.array([], dtype=np.uint64)
@@ -273,15 +276,17 @@ def similar(fps: DataFrame, radius: int = 2, leaf_rows: int = 4096, max_wide: in
 
     ``fps`` holds distinct non-null ``fp``.  Every link lies within the radius
     or joins two fingerprints that such links connect.  With ``max_wide``, ``fps``
-    also holds ``wide``, and only pairs within that many bits of it count.
+    also holds ``wide``, and only pairs within that many bits of it count; then an ``fp``
+    may have several ``wide``, and ``first`` is 1 for one of them and 0 for the others.
     """
-    kept = ["fp"] if max_wide is None else ["fp", "wide"]
-    schema = "mask long, pattern long, fp long" + ", wide binary" * (max_wide is not None)
+    kept = ["fp"] if max_wide is None else ["fp", "wide", "first"]
+    schema = "mask long, pattern long, fp long" + ", wide binary, first int" * (max_wide is not None)
+    members = F.count(F.lit(1)) if max_wide is None else F.sum("first")
     first = F.explode(F.array(*(F.lit(_signed(m)) for m in child_masks(0, radius)))).alias("mask")
     nodes = fps.select(*kept, first).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("pattern"), *kept)
     out = []
     while True:
-        sizes = nodes.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows)
+        sizes = nodes.groupBy("mask", "pattern").agg(members.alias("n")).where(F.col("n") > leaf_rows)
         crowded = saved(sizes.select("mask", "pattern"))
         more = not crowded.isEmpty()
         leaves = nodes.join(crowded, ["mask", "pattern"], "left_anti") if more else nodes
@@ -343,21 +348,19 @@ def redundant_rows(
 
     ``docs`` is a stored table with distinct row numbers.  The row with the
     smallest id stays, ties and null ids by row number; null ids come last.
-    Groups are joined by links of ``radius`` bits first; among the rows that stay,
-    by links of ``wider`` bits whose wide fingerprints differ in ``max_wide`` bits at
-    most.  Null and empty texts form one group.  An empty table gives no rows.
+    Groups are joined by links of ``radius`` bits, and by links of ``wider`` bits whose
+    wide fingerprints differ in ``max_wide`` bits at most, among all rows alike: a row
+    that goes still links others.  Null and empty texts form one group.  An empty table gives no rows.
     """
     fps = saved(fingerprints(docs, size, row_col, text_col, wide=True).withColumnRenamed("doc_id", row_col))
     ids = docs.select(F.col(row_col), F.col(id_col).alias("_id"))
+    reps = saved(fps.groupBy("fp").agg(F.min("wide").alias("least")))
+    each = saved(fps.select("fp", "wide").distinct().join(bounded(reps), "fp").select("fp", "wide", (F.col("wide") == F.col("least")).cast("int").alias("first")))
+    links = similar(reps.select("fp"), radius, leaf_rows).union(similar(each, wider, leaf_rows, max_wide))
+    parts = components(links)
     # A table of its own, so that the join can split the rows of a frequent fingerprint.
-    grouped = bounded(saved(_grouped(fps, radius, leaf_rows)))
-    placed = saved(fps.select(row_col, "fp").join(grouped, "fp").join(ids, row_col).select(row_col, "part", "_id"))
-    gone = saved(_all_but_first(placed, row_col))
-    # Rows of one fingerprint are one group, so the fingerprints of the rows left are distinct.
-    left = saved(fps.join(gone, row_col, "left_anti").join(ids, row_col))
-    parts = components(similar(left.select("fp", "wide"), wider, leaf_rows, max_wide))
-    again = _all_but_first(saved(left.join(parts, F.col("fp") == F.col("node")).select(row_col, F.col("component").alias("part"), "_id")), row_col)
-    return gone.union(again)
+    grouped = bounded(saved(reps.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part"))))
+    return _all_but_first(saved(fps.select(row_col, "fp").join(grouped, "fp").join(ids, row_col).select(row_col, "part", "_id")), row_col)
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -318,6 +318,39 @@ def test_near_copies_go_and_other_texts_stay(spark, stored):
     assert gone <= copies and len(gone) >= 0.9 * len(copies)
 
 
+def test_removed_rows_still_link_others(spark, stored):
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)])
+    bits = lambda f, a, b: (int.from_bytes(f(a)) ^ int.from_bytes(f(b))).bit_count()
+    narrow = lambda t: simhash.fingerprint(t).to_bytes(8)
+
+    def edited(base, n):
+        out = base.copy()
+        out[rng.choice(len(base), n, replace=False)] = rng.choice(words, n)
+        return " ".join(out)
+
+    rows = []
+    while len(rows) < 12:
+        base = rng.choice(words, 200)
+        o, a, c = " ".join(base), edited(base, 2), edited(base, 5)
+        linked = lambda x, y: bits(narrow, x, y) <= 8 and bits(simhash.wide_fingerprint, x, y) <= simhash.MAX_WIDE
+        if bits(narrow, o, a) <= 2 and linked(o, c) and not linked(a, c):
+            rows += [(len(rows) + 1, a), (len(rows) + 2, o), (len(rows) + 3, c)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).withColumn("_row", F.monotonically_increasing_id())
+    for leaf_rows in (4, 4096):
+        gone = docs.join(simhash.redundant_rows(docs, "_row", leaf_rows=leaf_rows), "_row").select("doc_id").collect()
+        assert sorted(r.doc_id for r in gone) == [2, 3, 5, 6, 8, 9, 11, 12]
+
+
+def test_long_runs_join_every_wide_fingerprint_of_a_code():
+    codes = np.array([0] * 90 + [1], dtype=np.uint64)
+    wide = np.zeros((91, 4), dtype=np.uint64)
+    wide[:89, 0] = wide[90, 1] = (1 << 64) - 1
+    wide[89, 1] = (1 << 64) - 1
+    a, b = simhash.links_in_runs(np.zeros(91, dtype=int), codes, 8, wide=wide, max_wide=44)
+    assert {frozenset(x) for x in zip(a.tolist(), b.tolist())} == {frozenset((0, 1))}
+
+
 # --- embeddings ----------------------------------------------------------------------
 
 
