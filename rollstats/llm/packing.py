@@ -4,7 +4,7 @@ A document's ids are cut where a full window fills; what is left over is one
 long piece and a few short ones from its end, of falling sizes (``TRIMS``): long
 pieces alone can't be balanced to less than a few hundredths of a window, the
 short ones even it out.  Full windows are sequences of their own.  Pieces are
-dealt by a hash into groups of about ``group_windows`` windows, and each group is
+dealt by a hash into groups of about ``group_windows`` windows, or ``group_pieces`` pieces if that is less, and each group is
 partitioned by largest differencing: every piece starts as a partial partition (its size, and zeros), the two partial partitions with the
 largest imbalance are merged with opposing orders, until one partition is left
 whose windows are nearly equal.  If one exceeds the capacity, the group gets a
@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,6 @@ CAPACITY = 2048
 END_ID = 1
 #: Sizes of the short pieces at a document's end; each is cut off what has four times its size left.
 TRIMS = (256, 64, 16, 4)
-#: Runs without white space beyond this length go to the library that merges them in n log n.
-_LONG_RUN = 4000
-_SPECIAL = "<|endoftext|>"
 
 
 def vocabulary_path() -> str:
@@ -41,35 +39,33 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
-def _encoders(path: str):
-    """The vocabulary in two libraries: the one that names the ids, and a faster one for plain text.
+@lru_cache(maxsize=1)
+def _encoder(path: str):
+    """The vocabulary file in a library that encodes in near-linear time, special strings included.
 
     Ids of a byte-level BPE are its merge ranks, so the file's vocabulary,
-    with its printable stand-ins turned back into bytes, is a rank table.
+    with its printable stand-ins turned back into bytes, is a rank table.  The ids
+    are those of the library that the file is made for (tests compare both).
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items()}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(path), fast
+        file = json.load(f)
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in word): i for word, i in file["model"]["vocab"].items() if word not in special}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def encode(text: str | None, path: str) -> list[int]:
+def encode(text: str | None, path: str) -> np.ndarray:
     """Ids of the whole text, then the end id."""
-    if not text:
-        return [END_ID]
-    slow, fast = _encoders(path)
-    if _SPECIAL in text or (len(text) > _LONG_RUN and max(map(len, text.split()), default=0) > _LONG_RUN):
-        return [*slow.encode(text, add_special_tokens=False).ids, END_ID]
-    return [*fast.encode_ordinary(text), END_ID]
+    ids = _encoder(path).encode_to_numpy(text, allowed_special="all") if text else []
+    out = np.empty(len(ids) + 1, dtype="<u4")
+    out[:-1], out[-1] = ids, END_ID
+    return out
 
 
 def cuts(n: int, capacity: int, trims: tuple[int, ...] = TRIMS) -> list[tuple[int, int]]:
@@ -138,23 +134,25 @@ def pack_group(sizes: list[int], capacity: int) -> np.ndarray:
 
 def tokenized(docs: DataFrame, capacity: int, trims: tuple[int, ...], path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its piece boundaries and the checksum of each piece's ids; saved."""
+    schema = "doc_id long, doc_tokens long, starts array<long>, lengths array<long>, crcs array<long>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")][1:]
+        kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3]
         for b in batches:
             out = []
-            for text in b["text"]:
-                ids = np.array(encode(text, path), dtype="<u4")
+            for text in b.column("text"):
+                ids = encode(text.as_py(), path)
                 pieces = cuts(len(ids), capacity, trims)
                 out.append((
                     len(ids), [s for s, _ in pieces], [n for _, n in pieces],
                     [zlib.crc32(ids[s : s + n].tobytes()) for s, n in pieces],
                 ))
-            frame = pd.DataFrame(out, columns=["doc_tokens", "starts", "lengths", "crcs"], index=b.index)
-            yield pd.concat([b[["doc_id"]].astype("Int64"), frame], axis=1)
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, doc_tokens long, starts array<long>, lengths array<long>, crcs array<long>"
-    return saved(rows.mapInPandas(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    return saved(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
 def pack(
@@ -162,6 +160,7 @@ def pack(
     capacity: int = CAPACITY,
     trims: tuple[int, ...] = TRIMS,
     group_windows: int = 128,
+    group_pieces: int = 4096,
     path: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -187,10 +186,12 @@ def pack(
         .withColumn("offset", F.lit(0).cast("long"))
     )
     rest = pieces.where(F.col("length") < capacity)
-    size = rest.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, size // (capacity * group_windows))
+    size, count = rest.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    # Differencing keeps a row of sums a piece, so a group is bounded by its windows and by its pieces.
+    groups = max(1, size // (capacity * group_windows), count // group_pieces)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        _encoder.cache_clear()  # the worker may have tokenised before
         g = g.sort_values(["row", "start"], ignore_index=True)
         window = pack_group(g["length"].tolist(), capacity)
         g["sequence_id"] = -1 - (g["bucket"].to_numpy() * (1 << 24) + window)
