@@ -9,14 +9,19 @@ on one part at least, so they meet below one node at least.  A node that holds
 more than ``leaf_rows`` fingerprints is factored again, over the bits its mask
 leaves free; after ``ceil(log)`` levels so few bits are free that a node is small
 by necessity.  So no group is unbounded, no pair is lost and no candidate is
-capped.  Below a node, fingerprints lie in Gray order, cut into a binary tree
-whose groups carry the bits all their members share: two groups whose shared
-bits already differ in more than ``r`` places are skipped whole.
-
-:func:`redundant_rows`, which the pipeline uses, searches twice: for what the contract
-links (2 bits), and in a wider radius, where each pair is checked by a 256-bit SimHash
-of five-word shingles, for a similarity of about 0.8.  Both searches see all documents,
-and the components are those of both searches' links.
+capped.
+
+What a task gets is sorted by node, then by Gray rank, and is one tree: leaves of
+``LEAF`` fingerprints, ``FAN`` children a node, each with the bits that all below it
+share.  Pairs of tree nodes are followed from the root; a pair goes, with all
+below it, if it has no upper node in common, if its shared bits differ in more than
+``r`` places already, or if all below it is joined.
+
+:func:`first_of_each_group`, which the pipeline uses, searches twice: for what the
+contract links (2 bits), and by 256-bit fingerprints of five-word shingles for a
+similarity of about 0.8.  There upper nodes are 20 masks of 12 bits, which two such texts
+share with a high probability (see ``BANDS``).  Both searches see all documents, and
+the components are those of both searches' links.
 """
 
 from __future__ import annotations
@@ -25,20 +30,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, saved
+from .common import bounded, columns_of, fresh, saved
 from .components import components
 
 #: Seed of the shingle hash.
 SEED = 42
 #: Words of a shingle of the wide fingerprint.
 WIDE_SIZE = 5
-#: Differing bits of 256 up to which two documents count as similar. At a similarity of 0.8 the median is 35,
-#: at 0.75 to 0.8 it is 39, below 0.7 over 43 in 99 of 100 pairs (measured on the smaller check tables).
-MAX_WIDE = 44
+#: Differing bits of 256 up to which two documents count as similar; the median is 35 at a similarity of 0.8
+#: and 39 at 0.75 to 0.8 (measured on the smaller check tables).
+MAX_WIDE = 47
+#: Upper nodes of the wide index: masks of so many bits, so many in each 64-bit word. At a similarity of 0.8 a bit differs with
+#: probability 0.15, so a mask agrees with 0.139 and one of 20 with 0.95; at 0.85 it is 0.986, at 0.9 0.999.
+BANDS, BAND_BITS = 5, 12
+#: A crowded node of the wide index is factored by so many masks of so many further bits (0.9 of its pairs at 0.8 stay together).
+SUB_BANDS, SUB_BITS = 5, 6
+#: Fingerprints of a leaf, children of a tree node, and pairs of nodes that are looked at together.
+LEAF, FAN, _PAIRS = 16, 4, 2048
 _MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _SLICE = 1 << 16
 
@@ -77,7 +90,10 @@ def majority(hashes: np.ndarray) -> int:
 
 def wide_fingerprint(text: str | None, size: int = WIDE_SIZE) -> bytes:
     """256 bits: the majorities over four remixed hashes of every ``size``-word shingle."""
-    hashes = shingle_hashes(words_of(text), size)
+    return _wide(shingle_hashes(words_of(text), size))
+
+
+def _wide(hashes: np.ndarray) -> bytes:
     return b"".join(majority(_remixed(hashes, m)).to_bytes(8, "little") for m in _MIXERS)
 
 
@@ -88,20 +104,37 @@ def _remixed(hashes: np.ndarray, mixer: int) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of every row's whole text, as a signed long; with ``wide`` also the 256-bit one.
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fp)``: the fingerprint of every row's whole text, as a signed long.
 
-    Null and empty texts have fingerprint 0.  Repeated rows stay.
+    Null and empty texts have fingerprint 0.  Repeated rows stay; an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t, size) for t in b["text"]), dtype=np.uint64, count=len(b))
-            out = pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
-            yield out.assign(wide=[wide_fingerprint(t) for t in b["text"]]) if wide else out
+            fps = np.fromiter((fingerprint(t.as_py(), size) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long" + ", wide binary" * wide)
+    return rows.mapInArrow(run, "doc_id long, fp long")
+
+
+WIDE = ("w0", "w1", "w2", "w3")
+
+
+def both_fingerprints(text: Column, size: int = 3) -> Column:
+    """``struct(fp, w0, w1, w2, w3)``: the fingerprint, and the 256-bit one in four longs."""
+
+    @F.pandas_udf("struct<fp:long,w0:long,w1:long,w2:long,w3:long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = np.empty((len(texts), 5), dtype=np.uint64)
+        for k, t in enumerate(texts):
+            words = words_of(t)
+            out[k, 0] = majority(shingle_hashes(words, size))
+            out[k, 1:] = np.frombuffer(_wide(shingle_hashes(words, WIDE_SIZE)), dtype=np.uint64)
+        return pd.DataFrame(out.view(np.int64), columns=["fp", *WIDE])
+
+    return run(text)
 
 
 # --- the index -------------------------------------------------------------
@@ -126,46 +159,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-class _Tree:
-    """Binary tree over a Gray-ordered run: each group knows the bits its members share."""
-
-    LEAF = 64
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.shared: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def node(self, lo: int, hi: int) -> tuple[int, int]:
-        """(mask of the bits on which all agree, their pattern)."""
-        if (lo, hi) not in self.shared:
-            part = self.codes[lo:hi]
-            low, high = int(np.bitwise_and.reduce(part)), int(np.bitwise_or.reduce(part))
-            self.shared[lo, hi] = (~(low ^ high) & (1 << 64) - 1, low)
-        return self.shared[lo, hi]
-
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index arrays of all pairs within ``radius`` bits, each pair once."""
-        todo = [((0, len(self.codes)), (0, len(self.codes)))]
-        while todo:
-            a, b = todo.pop()
-            if a != b:
-                (mask_a, bits_a), (mask_b, bits_b) = self.node(*a), self.node(*b)
-                if ((bits_a ^ bits_b) & mask_a & mask_b).bit_count() > radius:
-                    continue
-            if max(a[1] - a[0], b[1] - b[0]) <= self.LEAF:
-                x = np.bitwise_count(self.codes[a[0] : a[1], None] ^ self.codes[None, b[0] : b[1]])
-                i, j = np.nonzero(x <= radius)
-                i, j = i + a[0], j + b[0]
-                yield (i[i < j], j[i < j]) if a == b else (i, j)
-                continue
-            halves = lambda r: [(r[0], sum(r) // 2), (sum(r) // 2, r[1])] if r[1] - r[0] > self.LEAF else [r]
-            if a == b:
-                left, right = halves(a)
-                todo += [(left, left), (left, right), (right, right)]
-            else:
-                todo += [(x, y) for x in halves(a) for y in halves(b)]
-
-
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """For each of n places, the least place it is linked to through the pairs (i, j)."""
     low = np.arange(n)
@@ -180,78 +173,108 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return low
 
 
-def links_in_runs(
-    group: np.ndarray, codes: np.ndarray, radius: int, small: int = 64, wide: np.ndarray | None = None, max_wide: int = 0
-) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what lies within ``radius`` bits inside each run of equal ``group``.
+def joined_rows(group: np.ndarray, codes: np.ndarray, radius: int, stats: dict | None = None) -> np.ndarray:
+    """For each row, the least row that links of at most ``radius`` bits join it to, inside its group.
 
-    Codes lie in Gray order inside a run.  Runs of up to ``small`` members are
-    compared all at once, by their distance in the run; longer ones by the tree,
-    whose links are reduced to a spanning forest.  ``wide`` (rows of 64-bit
-    words) further keeps only pairs within ``max_wide`` bits of those.
+    ``codes`` holds a row of 64-bit words a fingerprint; rows are sorted by group,
+    then by Gray rank.  ``stats`` gets the numbers of node pairs pruned and of
+    leaf pairs compared.
     """
-    out_a, out_b = [], []
-
-    def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        if wide is None or not len(i):
-            return np.ones(len(i), dtype=bool)
-        return np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= max_wide
-
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.array([], dtype=int)
-    sizes = np.diff(np.r_[starts, len(group)])
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(group)) - 1  # members after this one
-    active = np.flatnonzero((left > 0) & (np.repeat(sizes, sizes) <= small))
-    step = 1
-    while len(active):
-        near = active[np.bitwise_count(codes[active] ^ codes[active + step]) <= radius]
-        near = near[close(near, near + step)]
-        out_a.append(codes[near])
-        out_b.append(codes[near + step])
-        step += 1
-        active = active[left[active] >= step]
-    for at, size in zip(starts[sizes > small], sizes[sizes > small]):
-        part = codes[at : at + size]
-        # Equal codes are one node, and lie side by side.
-        low = np.maximum.accumulate(np.where(np.r_[True, part[1:] != part[:-1]], np.arange(size), 0))
-        for i, j in _Tree(part).pairs(radius):
-            new = low[i] != low[j]  # what is joined already needs no further link
-            i, j = i[new], j[new]
-            near = close(i + at, j + at)
-            if near.any():
-                low = _forest(np.r_[i[near], np.arange(size)], np.r_[j[near], low], size)
-        moved = np.flatnonzero(part != part[low])
-        out_a.append(part[moved])
-        out_b.append(part[low[moved]])
-    join = lambda xs: np.concatenate(xs) if xs else np.array([], dtype=np.uint64)
-    return join(out_a), join(out_b)
-
-
-def _leaf_links(radius: int, max_wide: int | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-
-        def links(rows: pd.DataFrame) -> pd.DataFrame:
-            mask, pattern = rows["mask"].to_numpy(), rows["pattern"].to_numpy()
-            new = np.r_[True, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])]
-            codes = rows["fp"].to_numpy().astype(np.int64).view(np.uint64)
-            group = np.cumsum(new)
-            order = np.lexsort((gray_rank(codes), group))
-            wide = None
-            if max_wide is not None:
-                wide = np.frombuffer(b"".join(rows["wide"]), dtype=np.uint64).reshape(len(rows), -1)[order]
-            a, b = links_in_runs(group[order], codes[order], radius, wide=wide, max_wide=max_wide or 0)
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    n, low = len(group), np.arange(len(group))
+    if not n:
+        return low
+    levels, width = [], LEAF
+    while True:  # the tree, from the leaves up
+        at = np.arange(0, n, width)
+        ones, some = np.bitwise_and.reduceat(codes, at), np.bitwise_or.reduceat(codes, at)
+        levels.append((at, group[at], group[np.minimum(at + width, n) - 1], ones, ~(ones ^ some)))
+        if len(at) == 1:
+            break
+        width *= FAN
+    stack = [(len(levels) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
+    roots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    while stack:
+        level, i, j = stack.pop()
+        if len(i) > _PAIRS:
+            stack.append((level, i[_PAIRS:], j[_PAIRS:]))
+            i, j = i[:_PAIRS], j[:_PAIRS]
+        at, first, last, ones, same = levels[level]
+        if level not in roots:
+            roots[level] = np.minimum.reduceat(low, at), np.maximum.reduceat(low, at)
+        least, most = roots[level]
+        apart = np.bitwise_count((ones[i] ^ ones[j]) & same[i] & same[j]).sum(axis=1, dtype=np.int64) > radius
+        keep = (last[i] >= first[j]) & ~apart & ~((least[i] == most[i]) & (least[j] == most[j]) & (least[i] == least[j]))
+        if stats is not None:
+            stats["pruned"] = stats.get("pruned", 0) + int((~keep).sum())
+        i, j = i[keep], j[keep]
+        if level:
+            children = levels[level - 1][0].shape[0]
+            steps = np.arange(FAN)
+            i, j = (x.ravel() for x in np.broadcast_arrays((i[:, None] * FAN + steps)[:, :, None], (j[:, None] * FAN + steps)[:, None, :]))
+            inside = (i <= j) & (j < children)
+            i, j = i[inside], j[inside]
+            # What lies close together comes first: it joins most, and joined nodes are not followed.
+            for part in (i != j, i == j):
+                if part.any():
+                    stack.append((level - 1, i[part], j[part]))
+            continue
+        if stats is not None:
+            stats["compared"] = stats.get("compared", 0) + len(i)
+        place = np.arange(LEAF)
+        a, b = i[:, None] * LEAF + place, j[:, None] * LEAF + place
+        in_a, in_b = np.minimum(a, n - 1), np.minimum(b, n - 1)
+        near = np.zeros((len(i), LEAF, LEAF), dtype=np.int64)
+        for w in range(codes.shape[1]):
+            near += np.bitwise_count(codes[in_a, w][:, :, None] ^ codes[in_b, w][:, None, :])
+        hit = (near <= radius) & (group[in_a][:, :, None] == group[in_b][:, None, :]) & (a[:, :, None] < b[:, None, :]) & (b < n)[:, None, :]
+        k, x, y = np.nonzero(hit)
+        if len(k):
+            low = _forest(np.r_[a[k, x], np.arange(n)], np.r_[b[k, y], low], n)
+            roots.clear()
+    return low
+
+
+#: Rows that a task looks at together, unless one node has more.
+_CHUNK = 1 << 16
+
+
+def _leaf_links(radius: int, keys: tuple[str, ...], words: tuple[str, ...]):
+    """Streams rows sorted by ``keys``: links between the ``fp`` of rows whose ``words`` are close."""
+
+    def links(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        codes = np.stack([rows[w].view(np.uint64) for w in words], axis=1)
+        group = np.zeros(len(codes), dtype=np.int64)
+        for k in keys:
+            group[1:] |= rows[k][1:] != rows[k][:-1]
+        group = np.cumsum(group)
+        order = np.lexsort((gray_rank(codes[:, 0]), group))
+        fp = rows["fp"][order]
+        low = joined_rows(group[order], codes[order], radius)
+        moved = np.flatnonzero(fp != fp[low])
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[low[moved]])], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = tuple(dict.fromkeys((*keys, "fp", *words)))
+        held: list[dict[str, np.ndarray]] = []
+        count, limit = 0, _CHUNK
         for b in batches:
-            rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            if not len(rows):
+            if not b.num_rows:
                 continue
-            last = (rows["mask"] == rows["mask"].iloc[-1]) & (rows["pattern"] == rows["pattern"].iloc[-1])
-            rest = rows[last]
-            if not last.all():
-                yield links(rows[~last])
-        if rest is not None and len(rest):
-            yield links(rest)
+            held.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in names})
+            count += b.num_rows
+            if count < limit:
+                continue
+            rows = {c: np.concatenate([h[c] for h in held]) for c in names}
+            last = np.ones(count, dtype=bool)
+            for k in keys:
+                last &= rows[k] == rows[k][-1]
+            cut = int(last.argmax())  # the last node's rows are together, at the end
+            if cut:
+                yield links({c: v[:cut] for c, v in rows.items()})
+            held, count = [{c: v[cut:].copy() for c, v in rows.items()}], count - cut
+            limit = max(_CHUNK, 2 * count)
+        if count:
+            yield links({c: np.concatenate([h[c] for h in held]) for c in names})
 
     return run
 
@@ -259,52 +282,84 @@ def _leaf_links(radius: int, max_wide: int | None):
 def _children(radius: int):
     """Each row once below each of its node's children."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks: dict[int, list[int]] = {}
         for b in batches:
-            for mask, rows in b.groupby("mask"):
-                if mask not in masks:
-                    masks[mask] = [_signed(m) for m in child_masks(int(mask) & (1 << 64) - 1, radius)]
-                for child in masks[mask]:
-                    yield rows.assign(mask=child, pattern=rows["fp"] & child)
+            mask, fp = b.column("mask").to_numpy(), b.column("fp").to_numpy()
+            for m in np.unique(mask).tolist():
+                if m not in masks:
+                    masks[m] = [_signed(c) for c in child_masks(m & (1 << 64) - 1, radius)]
+                own = fp[mask == m]
+                for child in masks[m]:
+                    columns = np.full(len(own), child, dtype=np.int64), own & np.int64(child), own
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["mask", "pattern", "fp"])
 
     return run
 
 
-def similar(fps: DataFrame, radius: int = 2, leaf_rows: int = 4096, max_wide: int | None = None) -> DataFrame:
+def similar(fps: DataFrame, radius: int = 2, leaf_rows: int = 4096) -> DataFrame:
     """``(a, b)``: links whose components are those of all pairs of ``fp`` within ``radius`` bits.
 
-    ``fps`` holds distinct non-null ``fp``.  Every link lies within the radius
-    or joins two fingerprints that such links connect.  With ``max_wide``, ``fps``
-    also holds ``wide``, and only pairs within that many bits of it count; then an ``fp``
-    may have several ``wide``, and ``first`` is 1 for one of them and 0 for the others.
+    ``fps`` holds distinct non-null ``fp``.  Every link joins two fingerprints that
+    pairs within the radius connect.
     """
-    kept = ["fp"] if max_wide is None else ["fp", "wide", "first"]
-    schema = "mask long, pattern long, fp long" + ", wide binary, first int" * (max_wide is not None)
-    members = F.count(F.lit(1)) if max_wide is None else F.sum("first")
     first = F.explode(F.array(*(F.lit(_signed(m)) for m in child_masks(0, radius)))).alias("mask")
-    nodes = fps.select(*kept, first).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("pattern"), *kept)
+    nodes = fps.select("fp", first).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("pattern"), "fp")
     out = []
     while True:
-        sizes = nodes.groupBy("mask", "pattern").agg(members.alias("n")).where(F.col("n") > leaf_rows)
+        sizes = nodes.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows)
         crowded = saved(sizes.select("mask", "pattern"))
         more = not crowded.isEmpty()
         leaves = nodes.join(crowded, ["mask", "pattern"], "left_anti") if more else nodes
         out.append(
-            leaves.select("mask", "pattern", *kept).repartition("mask", "pattern")
-            .sortWithinPartitions("mask", "pattern").mapInPandas(_leaf_links(radius, max_wide), "a long, b long")
+            leaves.select("mask", "pattern", "fp").repartition("mask", "pattern")
+            .sortWithinPartitions("mask", "pattern").mapInArrow(_leaf_links(radius, ("mask", "pattern"), ("fp",)), "a long, b long")
         )
         if not more:
             break
         # Every level takes its share of the free bits, so a node ends below leaf_rows: 2 ** free bits bound it.
-        inside = nodes.join(crowded, ["mask", "pattern"], "left_semi").select("mask", "pattern", *kept)
-        nodes = saved(inside.mapInPandas(_children(radius), schema))
+        inside = nodes.join(crowded, ["mask", "pattern"], "left_semi").select("mask", "pattern", "fp")
+        nodes = saved(inside.mapInArrow(_children(radius), "mask long, pattern long, fp long"))
     links = out[0]
     for more_links in out[1:]:
         links = links.union(more_links)
     return links
 
 
+def _bits(word: int, shift: int, bits: int) -> Column:
+    return F.shiftrightunsigned(F.col(WIDE[word]), shift).bitwiseAND((1 << bits) - 1)
+
+
+def similar_wide(fps: DataFrame, max_wide: int = MAX_WIDE, leaf_rows: int = 4096) -> DataFrame:
+    """``(a, b)``: links between the ``fp`` of rows whose 256 bits differ in ``max_wide`` places at most.
+
+    ``fps`` holds distinct ``(fp, w0, w1, w2, w3)``.  Rows meet below the upper nodes of
+    ``4 * BANDS`` masks; a node of more than ``leaf_rows`` is factored once more, and
+    what is below a factored node is compared whatever its size.
+    """
+    places = [(w, k) for w in range(4) for k in range(BANDS)]
+    band = lambda w, k: F.struct(F.lit(w * BANDS + k).cast("long").alias("mask"), _bits(w, BAND_BITS * k, BAND_BITS).alias("pattern"))
+    nodes = fps.select(F.explode(F.array(*(band(w, k) for w, k in places))).alias("at"), "fp", *WIDE).select("at.*", "fp", *WIDE)
+    crowded = saved(nodes.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows).select("mask", "pattern"))
+
+    def links(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
+        return ordered.mapInArrow(_leaf_links(max_wide, ("mask", "pattern"), WIDE), "a long, b long")
+
+    if crowded.isEmpty():
+        return links(nodes)
+    inside = nodes.join(F.broadcast(crowded), ["mask", "pattern"], "left_semi")  # at most 4 * BANDS << BAND_BITS rows
+    # Further bits come from other words than the node's own.
+    sub = lambda w, k, c: F.struct(F.lit(c + 1).alias("c"), _bits((w + 1 + c % 3) % 4, SUB_BITS * (2 * k + c // 3), SUB_BITS).alias("more"))
+    more = F.array().cast("array<struct<c:int,more:bigint>>")
+    for w, k in places:
+        more = F.when(F.col("mask") == w * BANDS + k, F.array(*(sub(w, k, c) for c in range(SUB_BANDS)))).otherwise(more)
+    finer = inside.select("mask", "pattern", F.explode(more).alias("m"), "fp", *WIDE).select(
+        (F.col("mask") + 4 * BANDS * F.col("m.c")).alias("mask"), (F.col("pattern") * (1 << SUB_BITS) + F.col("m.more")).alias("pattern"), "fp", *WIDE
+    )
+    return links(nodes.join(F.broadcast(crowded), ["mask", "pattern"], "left_anti").select("mask", "pattern", "fp", *WIDE).union(finer))
+
+
 def _grouped(fps: DataFrame, radius: int, leaf_rows: int) -> DataFrame:
     """``(fp, part)``: a key of the component of each distinct fingerprint of a saved table."""
     reps = saved(fps.select("fp").distinct())
@@ -340,27 +395,45 @@ def _all_but_first(placed: DataFrame, row_col: str) -> DataFrame:
     return placed.join(kept, "part").where(F.col(row_col) != F.col("first.row")).select(row_col)
 
 
+def _redundant(fps: DataFrame, row_col: str, radius: int, max_wide: int, leaf_rows: int) -> DataFrame:
+    """One column ``row_col`` of a saved table ``(row_col, _id, fp, w0, w1, w2, w3)``: every row but one of each group."""
+    each = saved(fps.select("fp", *WIDE).distinct())
+    reps = saved(each.select("fp").distinct())
+    parts = components(similar(reps, radius, leaf_rows).union(similar_wide(each, max_wide, leaf_rows)))
+    # A table of its own, so that the join can split the rows of a frequent fingerprint.
+    grouped = bounded(saved(reps.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part"))))
+    return _all_but_first(saved(fps.select(row_col, "fp", "_id").join(grouped, "fp").select(row_col, "part", "_id")), row_col)
+
+
 def redundant_rows(
-    docs: DataFrame, row_col: str, radius: int = 2, size: int = 3, wider: int = 8, max_wide: int = MAX_WIDE, leaf_rows: int = 4096,
+    docs: DataFrame, row_col: str, radius: int = 2, size: int = 3, max_wide: int = MAX_WIDE, leaf_rows: int = 4096,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One column ``row_col``: every row but one of each near-duplicate group.
 
-    ``docs`` is a stored table with distinct row numbers.  The row with the
+    ``row_col`` holds distinct numbers that do not change from scan to scan.  The row with the
     smallest id stays, ties and null ids by row number; null ids come last.
-    Groups are joined by links of ``radius`` bits, and by links of ``wider`` bits whose
-    wide fingerprints differ in ``max_wide`` bits at most, among all rows alike: a row
+    Groups are joined by links of ``radius`` bits, and by links of 256-bit fingerprints
+    that differ in ``max_wide`` bits at most, among all rows alike: a row
     that goes still links others.  Null and empty texts form one group.  An empty table gives no rows.
     """
-    fps = saved(fingerprints(docs, size, row_col, text_col, wide=True).withColumnRenamed("doc_id", row_col))
-    ids = docs.select(F.col(row_col), F.col(id_col).alias("_id"))
-    reps = saved(fps.groupBy("fp").agg(F.min("wide").alias("least")))
-    each = saved(fps.select("fp", "wide").distinct().join(bounded(reps), "fp").select("fp", "wide", (F.col("wide") == F.col("least")).cast("int").alias("first")))
-    links = similar(reps.select("fp"), radius, leaf_rows).union(similar(each, wider, leaf_rows, max_wide))
-    parts = components(links)
-    # A table of its own, so that the join can split the rows of a frequent fingerprint.
-    grouped = bounded(saved(reps.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part"))))
-    return _all_but_first(saved(fps.select(row_col, "fp").join(grouped, "fp").join(ids, row_col).select(row_col, "part", "_id")), row_col)
+    fps = saved(docs.select(F.col(row_col), F.col(id_col).alias("_id"), both_fingerprints(F.col(text_col), size).alias("_f")).select(row_col, "_id", "_f.*"))
+    return _redundant(fps, row_col, radius, max_wide, leaf_rows)
+
+
+def first_of_each_group(
+    docs: DataFrame, radius: int = 2, size: int = 3, max_wide: int = MAX_WIDE, leaf_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` but the :func:`redundant_rows`; columns stay as they are.
+
+    Rows are numbered once, in a stored copy that holds their fingerprints too, so the
+    numbers are the same for every later job.
+    """
+    row, found = fresh(docs, "_row"), fresh(docs, "_found")
+    rows = saved(docs.withColumns({row: F.monotonically_increasing_id(), found: both_fingerprints(F.col(text_col), size)}))
+    fps = rows.select(F.col(row).alias("_row"), F.col(id_col).alias("_id"), *(F.col(f"{found}.{c}").alias(c) for c in ("fp", *WIDE)))
+    dropped = saved(_redundant(fps, "_row", radius, max_wide, leaf_rows).select(F.col("_row").alias(row)))
+    return rows.join(bounded(dropped), row, "left_anti").select(*columns_of(docs))
 
 
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
