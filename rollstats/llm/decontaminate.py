@@ -20,7 +20,7 @@ from .common import bounded, columns_of, fresh, saved, table
 
 #: Words of a template window.
 WINDOW = 8
-#: Items with fewer words are matched whole, down to this many words; still shorter ones are not matched.
+#: Items of fewer words are matched whole and word for word: so few words are no template.
 LEAST = 4
 #: Items of more than WINDOW and fewer than three times as many words have windows of this length, as one changed word breaks most of their longer ones.
 SHORT_WINDOW = 5
@@ -30,8 +30,6 @@ COVERAGE = 0.5
 WORDS = 0.6
 #: Or the words of an unbroken passage of an item.
 RUN = 13
-#: Above this share of slots among the matched words, the slots must be consistent.
-SLOT_SHARE = 0.2
 
 _NAME = "\u0002"
 _UNITS = (
@@ -76,8 +74,13 @@ def window_hashes(hashes: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _hashed(df: DataFrame, text_col: str) -> DataFrame:
-    return df.withColumn("_hashes", F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.xxhash64(canonical(t))))
+def as_written(token: Column) -> Column:
+    """The token itself in lower case, names as words."""
+    return F.lower(F.replace(token, F.lit(_NAME), F.lit("")))
+
+
+def _hashed(words: Column, form) -> Column:
+    return F.transform(words, lambda t: F.xxhash64(form(t)))
 
 
 def _window_size(n: Column, window: int) -> Column:
@@ -88,16 +91,21 @@ def _window_size(n: Column, window: int) -> Column:
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``(hash, size, item, place, windows)``: every window of every item, and how many the item has.
 
-    A window is there twice, with its names as placeholders and as words: a copy in
-    lower or upper case shows no names, and holds the second form.
+    A window is there with its names as placeholders and as words (a copy in lower or upper
+    case shows no names, and holds the second form), and with a capitalised first word as a
+    name, which it looks like in the middle of a sentence.  Items under ``LEAST`` words are one window, as written.
     """
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).dropDuplicates()
     words = tokens(F.coalesce(F.col("text"), F.lit("")))
-    forms = F.array(words, F.transform(words, lambda t: F.replace(t, F.lit(_NAME), F.lit(""))))
-    items = items.select("item", F.explode(forms).alias("_words")).select("item", F.transform("_words", lambda t: F.xxhash64(canonical(t))).alias("_hashes"))
-    items = items.withColumn("size", _window_size(F.size("_hashes"), window)).where(F.col("size") >= LEAST)
+    items = items.select("item", words.alias("_words")).where(F.size("_words") > 0)
+    named = F.when(F.get("_words", F.lit(0)).rlike(r"^\p{Lu}\p{Ll}"), F.concat(F.array(F.concat(F.lit(_NAME), F.get("_words", F.lit(0)))), F.slice("_words", 2, F.size("_words")))).otherwise(F.col("_words"))
+    forms = F.array(F.col("_words"), F.transform("_words", lambda t: F.replace(t, F.lit(_NAME), F.lit(""))), named)
+    short = F.size("_words") < LEAST
+    items = items.select("item", F.explode(F.when(short, F.array(F.col("_words"))).otherwise(forms)).alias("_words"))
+    items = items.select("item", F.when(short, _hashed(F.col("_words"), as_written)).otherwise(_hashed(F.col("_words"), canonical)).alias("_hashes"))
+    items = items.withColumn("size", _window_size(F.size("_hashes"), window))
     sized = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for size in range(min(LEAST, SHORT_WINDOW), max(window, SHORT_WINDOW) + 1):
+    for size in range(1, max(window, SHORT_WINDOW) + 1):
         sized = sized.when(F.col("size") == size, window_hashes(F.col("_hashes"), size))
     return items.select("item", "size", sized.alias("_w")).select(
         "item", "size", F.size("_w").alias("windows"), F.posexplode("_w").alias("place", "hash")
@@ -108,40 +116,39 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """``(row, item, coverage)`` of every document row and benchmark item it holds.
+    """``(text_key, item, coverage)`` of every text and benchmark item it holds; see :func:`text_key`.
 
     ``coverage`` is the share of the item's windows, or of its words where too few windows are whole.
 
-    ``docs`` holds a stored ``row`` number.  A row holds an item if it has at least
+    A text holds an item if it has at least
     ``coverage`` of the item's windows, in one alignment, in neighbouring ones or wherever they stand,
     or if windows of one alignment or neighbouring ones cover ``WORDS`` of its words, or one of its
-    passages of ``RUN`` words, and the slots of these are consistent or less than ``SLOT_SHARE`` of the matched words.  Null and empty
-    texts hold nothing; repeated rows and items count each by itself; an empty
-    benchmark or table gives no rows.
+    passages of ``RUN`` words, and the slots of these are consistent.  Items of fewer than ``LEAST`` words must
+    be there word for word.  Null and empty texts and items hold nothing; equal texts are one, repeated items
+    count once; null ids of items are left out; an empty benchmark or table gives no rows.
     """
     bench = saved(benchmark_windows(benchmark, window, item_col, item_text_col))
-    sizes = [r[0] for r in bench.select("size").distinct().collect()]  # at most window - LEAST + 1
+    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most window
+    texts = docs.select(text_key(F.col(text_col)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not sizes:
-        return docs.select("row", F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("coverage")).where(F.lit(False))
+        return texts.select(F.col("row").alias("text_key"), F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("coverage")).where(F.lit(False))
     keys = bench.select("hash", "size", "item", "place", "windows")
-    hashed = _hashed(docs.select("row", F.col(text_col).alias("text")), "text")
-    runs = F.concat(*(window_hashes(F.col("_hashes"), s) for s in sizes)) if len(sizes) > 1 else window_hashes(F.col("_hashes"), sizes[0])
+    hashed = texts.withColumn("_words", tokens(F.col("text"))).withColumn("_hashes", _hashed(F.col("_words"), canonical))
+    exact = hashed.withColumn("_exact", _hashed(F.col("_words"), as_written)) if sizes[0] < LEAST else hashed
+    runs = [window_hashes(F.col("_exact" if s < LEAST else "_hashes"), s) for s in sizes]
     # Places run on from size to size; only differences within one alignment matter.
-    seen = hashed.select("row", F.posexplode(runs).alias("at", "hash"))
-    hits = saved(seen.join(bounded(keys), "hash").select("row", "item", "size", "windows", "place", (F.col("at") - F.col("place")).alias("shift")))
+    seen = exact.select("row", F.posexplode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("at", "hash"))
+    hits = seen.join(bounded(keys), "hash").select("row", "item", "size", "windows", "place", (F.col("at") - F.col("place")).alias("shift"))
+    hits = saved(hits.distinct())  # equal texts have equal hits
     groups = saved(_held_groups(hits, window, coverage))
     items = _items(benchmark, item_col, item_text_col)
-    # Matched words are at least as many as matched places, so few slots in an item can't be a large share of them.
-    n = F.size("item_words")
-    least = F.greatest(F.least(n, F.lit(window)), F.ceil(coverage * F.greatest(n - window + 1, F.lit(1))))
-    least = F.least(least, F.ceil(WORDS * n), F.lit(RUN))
-    slotted = saved(items.where(F.size(F.filter("item_words", is_slot)) >= SLOT_SHARE * least))
+    slotted = saved(items.where((F.size("item_words") >= LEAST) & F.exists("item_words", is_slot)))
     which = bounded(saved(slotted.select("item").distinct()))
     doubtful = saved(groups.join(which, "item", "left_semi"))
     sound = groups
     if not doubtful.isEmpty():
-        sound = groups.join(which, "item", "left_anti").unionByName(_consistent(hits, doubtful, docs, slotted, sizes, text_col))
-    return sound.groupBy("row", "item").agg(F.max("coverage").alias("coverage"))
+        sound = groups.join(which, "item", "left_anti").unionByName(_consistent(hits, doubtful, texts, slotted, sizes))
+    return sound.groupBy(F.col("row").alias("text_key"), "item").agg(F.max("coverage").alias("coverage"))
 
 
 def _held_groups(hits: DataFrame, window: int, coverage: float) -> DataFrame:
@@ -200,14 +207,18 @@ def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame
     return texts.select("item", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("item_words"))
 
 
-def _consistent(hits: DataFrame, doubtful: DataFrame, docs: DataFrame, items: DataFrame, sizes: list[int], text_col: str) -> DataFrame:
+def _consistent(hits: DataFrame, doubtful: DataFrame, texts: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
     """Those of the candidate groups whose slots do not contradict each other.
 
+    Every parameter of the item must stand for one value, and every value for one
+    parameter, so a copy of the item's own words is always consistent.
     A passage alone must also have as many plain words as slots, or the item's own
     values: thirteen numbers in a row are the template of any others.  Only these candidates' texts are read again, once, and only matched words compared.
     """
     rows = bounded(saved(doubtful.select("row").distinct()))
-    words = docs.join(rows, "row", "left_semi").select("row", tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    # Equal texts are read as one: the first of each is as good as any.
+    once = texts.join(rows, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    words = saved(once.select("row", tokens(F.col("text")).alias("words")))
     n = F.size("words")
     # at -> first word: places of the sizes before this one are taken off.
     before, start = F.lit(0), F.lit(None).cast("int")
@@ -225,42 +236,41 @@ def _consistent(hits: DataFrame, doubtful: DataFrame, docs: DataFrame, items: Da
             F.sequence(F.col("place"), F.col("place") + F.col("size") - 1).alias("word"),
         )).alias("p"),
     ).select("row", "item", "windows", "size", "shift", "p.*").distinct()
-    plain = lambda c: F.lower(F.replace(F.col(c), F.lit(_NAME), F.lit("")))
-    scoped = pairs.select("row", "item", "windows", _scopes(), "word", plain("theirs").alias("theirs"), plain("ours").alias("ours"), is_slot(F.col("theirs")).alias("slot"))
+    scoped = pairs.select("row", "item", "windows", _scopes(), "word", as_written(F.col("theirs")).alias("theirs"), as_written(F.col("ours")).alias("ours"), is_slot(F.col("theirs")).alias("slot"))
     keys = ["row", "item", "windows", "scope"]
     lower = saved(scoped.join(doubtful.select(keys), keys, "left_semi").distinct())
-    many = lower.groupBy(keys).agg(F.avg(F.col("slot").cast("double")).alias("share")).where(F.col("share") >= SLOT_SHARE)
     slots = lower.where("slot").select(*keys, "theirs", "ours").distinct()
     one_way = slots.groupBy(*keys, "theirs").count().where("count > 1").select(keys)
     other = slots.groupBy(*keys, "ours").count().where("count > 1").select(keys)
-    bad = one_way.union(other).distinct().join(many.select(keys), keys, "left_semi")
     strange = lower.groupBy(keys).agg(F.avg(F.col("slot").cast("double")).alias("share"), F.bool_or(F.col("slot") & (F.col("theirs") != F.col("ours"))).alias("other"))
     strange = doubtful.where("passage").join(strange.where("share > 0.5 and other"), keys, "left_semi").select(keys)
-    return doubtful.join(bad.union(strange).distinct(), keys, "left_anti")
+    return doubtful.join(one_way.union(other).union(strange).distinct(), keys, "left_anti")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``row`` number. ``docs`` is a stored table: its scans number alike each time."""
-    return docs.withColumn("row", F.monotonically_increasing_id())
+def text_key(text: Column) -> Column:
+    """128 bits of a text's content; null counts as empty.  A key that is the same in every scan, which a row number is not."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
-def clean_of(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, a stored table, that hold no benchmark item; columns stay as they are."""
-    key = fresh(docs, "_row")
-    rows = docs.withColumn(key, F.monotonically_increasing_id())
-    texts = rows.select(F.col(key).alias("row"), F.col(options.pop("text_col", "text")).alias("text"))
-    bad = contaminated(texts, benchmark, **options).select(F.col("row").alias(key)).distinct()
-    return rows.join(bounded(saved(bad)), key, "left_anti").select(*columns_of(docs))
+def clean_of(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; columns stay as they are.
+
+    Rows with a null or empty text stay; equal texts stay or go together; an empty
+    benchmark keeps all rows.
+    """
+    key = fresh(docs, "_key")
+    bad = contaminated(docs, benchmark, text_col=text_col, **options).select(F.col("text_key").alias(key)).distinct()
+    return docs.withColumn(key, text_key(F.col(text_col))).join(bounded(saved(bad)), key, "left_anti").select(*columns_of(docs))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items it holds."""
-    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    each = found.groupBy("row").agg(
+    each = found.groupBy("text_key").agg(
         F.array_sort(F.collect_set("item")).alias("items"), F.round(F.max("coverage"), 6).alias("max_coverage")
     )
-    return docs.select("row", "doc_id").join(bounded(saved(each)), "row", "left").select(
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key")).join(bounded(saved(each)), "text_key", "left").select(
         "doc_id", F.col("items").isNotNull().alias("contaminated"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"),
         F.coalesce("max_coverage", F.lit(0.0)).alias("coverage"),

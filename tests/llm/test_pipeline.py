@@ -1,7 +1,9 @@
 """Decontamination, URL filtering and the pipeline."""
 
 import glob
+import hashlib
 import os
+import random
 import re
 
 import duckdb
@@ -15,10 +17,10 @@ ITEM = "The train from Paris leaves at 7 o'clock and travels 120 km in 2 hours,
 
 
 def held(spark, stored, texts, items):
-    docs = decontaminate.numbered(stored(spark.createDataFrame([(t, 1) for t in texts], "text string, size int").coalesce(1)))
+    docs = stored(spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "k int, text string, size int"))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    found = {r.row: r.item for r in decontaminate.contaminated(docs, bench).collect()}
-    return [found.get(r.row) for r in docs.orderBy("row").collect()]
+    found = {r.text_key: r.item for r in decontaminate.contaminated(docs, bench).collect()}
+    return [found.get(r[0]) for r in docs.orderBy("k").select(decontaminate.text_key(F.col("text"))).collect()]
 
 
 def test_templates(spark, stored):
@@ -59,7 +61,70 @@ def test_changed_words_and_passages_are_found(spark, stored):
 
 
 def test_short_items_are_matched_whole(spark, stored):
-    assert held(spark, stored, ["well, who wrote the moby dick novel then", "who wrote the other one"], ["Who wrote the moby dick novel", "a b"]) == [0, None]
+    texts = ["well, who wrote the moby dick novel then", "who wrote the other one", "He asked Who wrote the moby dick novel again", "so Alpha, beta! it is", "alpha and beta", "it is 42 now", "it is 43 now"]
+    assert held(spark, stored, texts, ["Who wrote the moby dick novel", "alpha beta", "42", ""]) == [0, None, 0, 1, None, 2, None]
+
+
+def test_slots_of_every_item_are_checked(spark, stored):
+    item = "A farmer keeps 12 hens and 12 ducks near the old mill and sells the eggs in town"
+    texts = [item, item.replace("12", "30"), item.replace("12 hens", "9 hens"), item.replace("12 hens", "9 hens").replace("12 ducks", "7 ducks")]
+    assert held(spark, stored, texts, [item]) == [0, 0, None, None]
+
+
+def plain_templates(text, item):
+    """Coverage of the item's template windows by the text, over consistent whole alignments, word by word."""
+    cut = lambda t: [m.group(0) for m in re.finditer(r"[a-z]+|[0-9]+", t)]
+    a, b = cut(text), cut(item)
+    best = 0.0
+    for shift in range(-len(b) + 1, len(a)):
+        same = [0 <= shift + k < len(a) and (a[shift + k] == b[k] or a[shift + k].isdigit() and b[k].isdigit()) for k in range(len(b))]
+        size = 5 if 8 < len(b) < 24 else min(8, len(b))
+        at = sorted({w for k in range(len(b) - size + 1) if all(same[k : k + size]) for w in range(k, k + size)})
+        pairs = {(b[k], a[shift + k]) for k in at if b[k].isdigit()}
+        if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+            best = max(best, len(at) / len(b))
+    return best
+
+
+def test_templates_against_brute_force(spark, stored):
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    items = [" ".join(rng.choice(words) if rng.random() < 0.8 else str(rng.randrange(10, 60)) for _ in range(rng.choice((12, 16, 20, 30)))) for _ in range(12)]
+    texts = []
+    for k in range(160):
+        w = rng.choice(items).split()
+        cut = w[: rng.choice((len(w), len(w) // 2, len(w) // 3))]
+        values = {x: str(rng.randrange(100, 999)) for x in cut if x.isdigit()}
+        how = rng.random()
+        cut = [x if not x.isdigit() else values[x] if how < 0.4 else x if how < 0.7 else str(rng.randrange(100, 999)) for x in cut]
+        pad = lambda: [rng.choice(words) for _ in range(rng.randrange(12))]
+        texts.append(" ".join([*pad(), *cut, *pad()]))
+    docs = stored(spark.createDataFrame([(t,) for t in texts], "text string"))
+    found = {(r.text_key, r.item) for r in decontaminate.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    hit = 0
+    for t in texts:
+        key = hashlib.md5(t.encode()).hexdigest()
+        for k, item in enumerate(items):
+            x = plain_templates(t, item)
+            if x >= 0.65:
+                assert (key, k) in found, (t, item)
+                hit += 1
+            elif x < 0.3:
+                assert (key, k) not in found, (t, item)
+    assert hit > 40
+
+
+def test_clean_of_does_not_depend_on_the_parallelism(spark, tmp_path):
+    sf, key = "/root/testdata/sf0.01", "spark.sql.leafNodeDefaultParallelism"
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(12).write.parquet(f"{tmp_path}/d")
+    results = []
+    for later in ("2", "48"):
+        spark.conf.set(key, "2")
+        out = decontaminate.clean_of(spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+        spark.conf.set(key, later)
+        results.append(sorted(r.doc_id for r in out.collect()))
+    spark.conf.unset(key)
+    assert results[0] == results[1] and len(results[0]) < 1000
 
 
 def test_no_items_or_no_documents(spark, stored):
