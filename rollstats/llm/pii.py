@@ -10,7 +10,7 @@ labels that train the final classifier over votes and length.  Loose spans that
 it accepts are added.
 
 Only counts leave the executors: at most ``kinds * 3 ** labelers * lengths`` rows,
-whatever the input.  Texts are read once to count and once to mark, never shuffled.
+whatever the input.  Texts are searched once, and never shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_of, columns_of, span_string, table
+from .common import any_of, columns_of, saved, span_string, table
 
 #: In the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -36,12 +36,14 @@ RULES = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser patterns, whose spans the classifier judges.
+#: Looser patterns, whose spans the classifier judges: mail addresses spelt out, IPv6, cards of 15 digits or with a wrong digit, and
+#: numbers without a country code.  They also meet dates, versions and other numbers, which teach what is not personal.
+_HEX = "[0-9A-Fa-f]{1,4}"
 LOOSE = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++\x20?[\[(]\x20?at\x20?[\])]\x20?{_HOST}++(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?){_HOST}++)++",
-    "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{3,4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++(?:\x20?[\[({{]\x20?(?i:at)\x20?[\])}}]\x20?|\x20(?:at|AT|@)\x20){_HOST}++(?:(?:\.|\x20?[\[({{]\x20?(?i:dot)\x20?[\])}}]\x20?|\x20(?:dot|DOT|\.)\x20){_HOST}++)++",
+    "ip": rf"(?<![0-9A-Za-z:.])(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{3,4}|[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+.,/:-])(?:00[1-9][0-9]{0,2}[\x20-]|\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/.-]|[0-9]{3}[\x20.-])[0-9]{2,8}(?:[\x20.-][0-9]{2,4}){0,4}(?![0-9])",
 }
 _DOMAINS = "com net org edu gov mil int info biz io co ai dev app de fr es it uk us ca eu ch at nl be pl pt se br mx in jp cn au".split()
 _DIAL_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 61 62 63 64 65 66 81 82 84 86 90 91".split()
@@ -52,7 +54,9 @@ _CUES = {
     "card": r"(?i)(?:card|visa|mastercard|amex|karte|carte|tarjeta|credit)",
     "phone": r"(?i)(?:phone|\btel|call|mobile|fax|whatsapp|t[ée]l[ée]fono|telefon|\bcell)",
 }
-_COUNTER_CUES = r"(?i)(?:version|\bisbn|\bissn|order (?:no|id)|invoice|\bsku|\bdoi|serial|build)"
+#: Dates and years look like numbers without a country code.
+_DATE = r"^\(?[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{2}|[0-9]{4})$|^0?[0-9]{3}[ ][0-9]{2,3}$"
+_COUNTER_CUES = r"(?i)(?:version|\bdate|\bdatum|\bfecha|\bsince\b|\bpage\b|\bmeet\b|\blook\b|\bisbn|\bissn|order (?:no|id)|invoice|\bsku|\bdoi|serial|build)"
 #: Characters before a span in which cue words count.
 CONTEXT = 32
 LABELERS = ("regex", "checksum", "gazetteer", "context", "shape")
@@ -129,16 +133,16 @@ def votes(kind: str, strict: bool, text: Column, s: Column) -> Column:
     after = F.substring(text, s["end"] + 1, F.lit(1))
     checksum = {
         "email": _vote(m.rlike("[A-Za-z]"), ~m.rlike("[A-Za-z]")),
-        "ip": F.lit(1) if not strict else _vote(_octets(m), ~_octets(m)),
+        "ip": _vote(_octets(m), ~_octets(m)) if strict else _vote(m.rlike("[0-9]"), ~m.rlike("[0-9]")),
         "card": _vote(luhn(number), ~luhn(number)),
-        "phone": _vote(n.between(10, 13), (n < 8) | (n > 15)),
+        "phone": _vote(n.between(9, 13), (n < 9) | (n > 15)),
     }[kind]
     top = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)[^A-Za-z0-9-]*$", 1))
     gazetteer = {
         "email": _vote(top.isin(_DOMAINS), top.rlike("^[0-9]+$")),
-        "ip": _vote(~m.rlike(r"^(?:0|127|255)\."), m.rlike(r"^0\.")) if strict else F.lit(0),
+        "ip": _vote(~m.rlike(r"^(?:0|127|255)\."), m.rlike(r"^0\.")) if strict else _vote(m.rlike(r"(?i)^(?:2[0-9a-f]{3}|fe[89ab][0-9a-f]|f[cd][0-9a-f]{2}):"), ~m.rlike("::") & m.rlike("^[0-9]{1,2}:")),
         "card": _vote(number.rlike(_ISSUERS), ~number.rlike(_ISSUERS)),
-        "phone": _vote(any_of([number.startswith(c) for c in _DIAL_CODES]), number.startswith("0")) if strict else _vote(number.rlike("^[2-9]"), number.rlike("^[01]")),
+        "phone": _vote(any_of([number.startswith(c) for c in _DIAL_CODES]), number.startswith("0")) if strict else _vote(~m.rlike(_DATE) & number.rlike("^(?:0[1-9]|00|[2-9])"), m.rlike(_DATE) | number.rlike("^1")),
     }[kind]
     touches = "[\\p{L}\\p{N}_]"
     return F.struct(
@@ -157,7 +161,7 @@ def with_proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     number = text.rlike("[0-9]")
     needs = {
         ("email", True): text.contains("@"), ("ip", True): number, ("card", True): number, ("phone", True): text.contains("+"),
-        ("email", False): text.rlike(r"[\[(]\x20?at\x20?[\])]"), ("ip", False): text.contains(":"), ("card", False): number, ("phone", False): number,
+        ("email", False): text.rlike(r"(?i)[\[({]\x20?at\x20?[\])}]|\x20dot\x20|\x20@\x20"), ("ip", False): text.contains(":"), ("card", False): number, ("phone", False): number,
     }
     empty = F.array().cast("array<struct<start:int,end:int,m:string>>")
 
@@ -189,24 +193,27 @@ def estimate(patterns: dict[tuple, float], rounds: int = 30) -> tuple[dict[tuple
     """EM on counted vote patterns ``(kind, vote, ..., length)``.
 
     A proposal is personal data with a probability of its kind; given that,
-    labelers vote independently.  Returns each pattern's probability, and the
-    reliabilities: (kind, labeler, truth) to the probabilities of votes -1, 0, 1.
+    labelers vote independently.  A labeler that abstains (0) says nothing: no
+    proposal counts as less likely because a labeler does not know its form.  Returns each pattern's probability, and the
+    reliabilities: (kind, labeler, truth) to the probabilities of votes -1 and 1.
     """
     chance = {p: min(0.95, max(0.05, 0.5 + 0.15 * sum(p[1 : 1 + len(LABELERS)]))) for p in patterns}
     tables: dict = {}
     for _ in range(rounds):
         prior: dict = defaultdict(lambda: [1.0, 1.0])
-        tables = defaultdict(lambda: {-1: 0.5, 0: 0.5, 1: 0.5})
+        tables = defaultdict(lambda: {-1: 0.5, 1: 0.5})
         for p, n in patterns.items():
             for truth, share in ((1, chance[p]), (0, 1 - chance[p])):
                 prior[p[0]][truth] += n * share
                 for name, vote in zip(LABELERS, p[1:]):
-                    tables[p[0], name, truth][vote] += n * share
+                    if vote:
+                        tables[p[0], name, truth][vote] += n * share
         tables = {k: {v: c / sum(t.values()) for v, c in t.items()} for k, t in tables.items()}
         for p in patterns:
             odds = math.log(prior[p[0]][1] / prior[p[0]][0])
             for name, vote in zip(LABELERS, p[1:]):
-                odds += math.log(tables[p[0], name, 1][vote] / tables[p[0], name, 0][vote])
+                if vote:
+                    odds += math.log(tables[p[0], name, 1][vote] / tables[p[0], name, 0][vote])
             chance[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return chance, tables
 
@@ -220,7 +227,8 @@ def train(patterns: dict[tuple, float]) -> dict[str, float]:
         for truth, share in ((1, chance[p]), (0, 1 - chance[p])):
             mass[p[0],][truth] += n * share
             for name, value in zip(names, p[1:]):
-                mass[p[0], name, value][truth] += n * share
+                if value or name == "length":
+                    mass[p[0], name, value][truth] += n * share
     out = {}
     for key, (no, yes) in mass.items():
         prior = mass[key[0],]
@@ -250,20 +258,21 @@ def score(model: dict[str, float], p: Column) -> Column:
 
 
 def find_pii(
-    docs: DataFrame, min_probability: float = 0.8, text_col: str = "text", rules_col: str = "pii_rules", spans_col: str = "pii_spans"
+    docs: DataFrame, min_probability: float = 0.8, text_col: str = "text", rules_col: str = "pii_rules", spans_col: str = "pii_spans",
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with ``pii_rules`` and ``pii_spans``: arrays of ``struct(rank, start, end, kind)`` by kind, then start.
 
     ``pii_rules`` are the rules' spans; ``pii_spans`` also hold the loose spans
     that the trained classifier gives ``min_probability``.  Offsets count code
     points, ends are exclusive.  Null and empty texts have no spans.  Rows and
-    all other columns stay as they are (columns of the two names are replaced); an
-    empty table gives no rows.
+    all other columns, or those of ``columns``, stay as they are (columns of the two names are replaced);
+    an empty table gives no rows.  The texts are searched once: proposals are stored with the columns that stay.
     """
-    others = [c for c in docs.columns if c.lower() not in (rules_col.lower(), spans_col.lower())]
+    others = [c for c in (docs.columns if columns is None else columns) if c.lower() not in (rules_col.lower(), spans_col.lower())]
     # The row travels as one value: helper columns can't clash with its columns.
     packed = docs.select(F.struct(*columns_of(docs, others)).alias("doc"), F.col(text_col).alias("text"))
-    proposed = with_proposals(packed)
+    proposed = saved(with_proposals(packed).select("doc", "_rules", "_loose"))
     model = train(count_patterns(proposed))
     limit = math.log(min_probability / (1 - min_probability))
     plain = lambda p: F.struct(p["rank"].alias("rank"), p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"))
@@ -292,7 +301,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     """Personal data in every document, with digests of the rules' spans."""
-    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
     count = lambda k: F.size(F.filter("pii_rules", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id", *(count(k) for k in KINDS), F.sha2(span_string(F.col("pii_rules")), 256).alias("base_sha256"),

@@ -3,8 +3,8 @@
 Labelled page outcomes (bad or not) are counted by host, registered domain and
 suffix.  Each level's bad rate is shrunk towards its parent's by a beta-binomial
 prior whose strength is estimated from all counts of the level by moments.  A
-host is blocked where a lower bound of its posterior bad rate exceeds a limit;
-rules come before that.
+host is blocked where a lower bound of its posterior bad rate exceeds the overall
+rate by a factor: it is credibly worse than the web at large.  Rules come before that.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from .common import bounded, saved, table
 # The rules of the contract, (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Width of the posterior bound in standard deviations, and the bad rate beyond which a host is blocked.
-BOUND, LIMIT = 1.645, 0.5
+#: Width of the posterior bound in standard deviations, and how many times the overall bad rate it must exceed for a block.
+BOUND, LIMIT = 1.645, 1.1
+#: Second labels under which countries register domains.
+_SECOND = "ac co com edu go gob gov ne net or org".split()
 
 
 def with_host(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -32,13 +34,27 @@ def with_host(df: DataFrame, url_col: str = "url") -> DataFrame:
     }).drop("_rest")
 
 
-def domain(host: Column) -> Column:
-    """The registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+def name_of(host: Column) -> Column:
+    """The host without its port."""
+    return F.regexp_replace(host, ":[0-9]*$", "")
+
+
+def _is_address(name: Column) -> Column:
+    return name.rlike(r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$")
 
 
 def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The public suffix: the last label, or two where countries register below a second one; of an address, itself."""
+    name = name_of(host)
+    two = name.rlike(rf"\.(?:{'|'.join(_SECOND)})\.[a-z]{{2}}$")
+    return F.when(_is_address(name), name).when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain(host: Column) -> Column:
+    """The registered domain: the suffix and one label more; of an address, itself."""
+    name = name_of(host)
+    two = name.rlike(rf"\.(?:{'|'.join(_SECOND)})\.[a-z]{{2}}$")
+    return F.when(_is_address(name), name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def matching_rule(rules=RULES) -> Column:
@@ -77,7 +93,7 @@ def prior_strength(level: DataFrame, p: float) -> float:
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``(host, n, mean, low)`` for every distinct ``hosts.host``.
+    """``(host, n, mean, low, overall)`` for every distinct ``hosts.host``.
 
     ``outcomes`` holds ``host`` and ``bad`` (0 or 1; null rows don't count).
     ``mean`` is the posterior bad rate, ``low`` its lower bound.  Hosts without
@@ -106,7 +122,7 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     return joined.select("host", n.cast("long").alias("n"), a.alias("a"), b.alias("b")).select(
         "host", "n", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"),
         F.sqrt(F.col("a") * F.col("b") / (F.pow(F.col("a") + F.col("b"), 2) * (F.col("a") + F.col("b") + 1))).alias("deviation"),
-    ).withColumn("low", F.col("mean") - BOUND * F.col("deviation"))
+    ).withColumns({"low": F.col("mean") - BOUND * F.col("deviation"), "overall": p})
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -115,7 +131,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float
     ``outcomes`` holds ``page_id`` and ``bad``; a page's outcome counts once, as
     bad if any of its rows says so.  The longest fitting rule decides; without
     one a host is blocked where the lower posterior bound of its bad rate
-    exceeds ``limit``.  Null urls have an empty host, judged like any other.
+    exceeds ``limit`` times the overall rate.  Null urls have an empty host, judged like any other.
     Repeated rows are repeated; ids without an outcome, and null ids, are
     unlabelled; an empty table gives no rows.
     """
@@ -126,7 +142,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float
     rule = matching_rule(rules)
     return at.join(known, "host", "left").select(
         "page_id", "host", "path", rule["rule"].alias("rule"),
-        F.coalesce(rule["verdict"], F.when(F.col("low") > limit, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(rule["verdict"], F.when(F.col("low") > limit * F.col("overall"), "block").otherwise("allow")).alias("verdict"),
         F.round("mean", 9).alias("reputation"),
     )
 
@@ -139,7 +155,7 @@ def op10_url_reputation(spark, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), labels)
 
 
-OP10_SQL = """
+OP10_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), located AS (
@@ -147,10 +163,20 @@ WITH cut AS (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
 ), outcome AS (
   SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), named AS (
+  SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name FROM (SELECT DISTINCT host FROM located)
+), placed AS (
+  SELECT host, CASE WHEN regexp_matches(name, '^([0-9]+(\.[0-9]+){3}|\[.*\])$') THEN name
+      WHEN regexp_matches(name, '\.(ac|co|com|edu|go|gob|gov|ne|net|or|org)\.[a-z]{2}$') THEN array_to_string(list_slice(string_split(name, '.'), -3, -1), '.')
+      ELSE array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') END AS domain,
+    CASE WHEN regexp_matches(name, '^([0-9]+(\.[0-9]+){3}|\[.*\])$') THEN name
+      WHEN regexp_matches(name, '\.(ac|co|com|edu|go|gob|gov|ne|net|or|org)\.[a-z]{2}$') THEN array_to_string(list_slice(string_split(name, '.'), -2, -1), '.')
+      ELSE list_extract(string_split(name, '.'), -1) END AS suffix
+  FROM named
 ), counts AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix,
+  SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix,
     count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
-  FROM (SELECT DISTINCT page_id, host FROM located WHERE page_id IS NOT NULL) JOIN outcome USING (page_id) GROUP BY host
+  FROM (SELECT DISTINCT page_id, host FROM located WHERE page_id IS NOT NULL) JOIN outcome USING (page_id) JOIN placed USING (host) GROUP BY host
 ), by_domain AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM counts GROUP BY domain),
 by_suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM counts GROUP BY suffix),
 overall AS (SELECT coalesce(sum(bad) / sum(n), 0.5) AS p FROM counts),
@@ -165,12 +191,10 @@ moments AS (
   SELECT suffix, (bad + m * p) / (n + m) AS rate FROM by_suffix, overall, strength WHERE lv = 'suffix'
 ), dr AS (
   SELECT domain, (bad + m * rate) / (n + m) AS rate FROM by_domain JOIN sr USING (suffix), strength WHERE lv = 'domain'
-), known AS (
-  SELECT DISTINCT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix FROM located
 ), posterior AS (
   SELECT known.host, coalesce(counts.bad, 0) + m * coalesce(dr.rate, sr.rate, p) AS a,
     coalesce(counts.n, 0) - coalesce(counts.bad, 0) + m * (1 - coalesce(dr.rate, sr.rate, p)) AS b
-  FROM known LEFT JOIN counts ON known.host = counts.host LEFT JOIN dr ON known.domain = dr.domain LEFT JOIN sr ON known.suffix = sr.suffix,
+  FROM placed AS known LEFT JOIN counts ON known.host = counts.host LEFT JOIN dr ON known.domain = dr.domain LEFT JOIN sr ON known.suffix = sr.suffix,
     overall, strength WHERE lv = 'host'
 ), judged AS (
   SELECT host, a / (a + b) AS mean, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) AS low FROM posterior
@@ -182,7 +206,7 @@ moments AS (
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM located
 )
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN low > 1.1 * (SELECT p FROM overall) THEN 'block' ELSE 'allow' END AS verdict,
   round(mean, 9) AS reputation
 FROM ruled LEFT JOIN judged USING (host)
 """

@@ -172,10 +172,49 @@ def test_label_model_finds_reliabilities():
     assert model["phone|regex|1"] > model["phone|shape|1"] > 0 > model["phone|regex|-1"]
 
 
+def test_classifier_decides_planted_variants(spark, sf_dir):
+    """Variants that no rule finds, among look-alikes: the trained classifier adds the one and leaves the other."""
+    rng = np.random.default_rng(8)
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def amex():
+        head = "37" + d(12)
+        return next(head + str(c) for c in range(10) if plain_luhn(head + str(c)))
+
+    good = {
+        "email": [lambda: f"mail bob{d(2)} [at] example [dot] com", lambda: f"contact: ann.lee{d(2)} at mail dot example dot org please", lambda: f"e-mail tom{d(2)} (at) site.net"],
+        "ip": [lambda: f"host 2001:db8::{d(3)}", lambda: f"login from fe80::{d(2)}:a{d(1)}f", lambda: "address 2a02:8070:1:2:3:4:5:6"],
+        "card": [lambda: f"card {amex()}", lambda: f"amex {(x := amex())[:4]} {x[4:10]} {x[10:]}"],
+        "phone": [lambda: f"call 212-555-{rng.integers(1000, 9999)}", lambda: f"phone (0{rng.integers(30, 99)}) {rng.integers(100, 999)} {rng.integers(1000, 9999)}", lambda: f"tel. 030 {rng.integers(100, 999)} {rng.integers(10, 99)} {rng.integers(10, 99)}"],
+    }
+    bad = [
+        lambda: f"on the date 0{rng.integers(1, 9)}.1{rng.integers(0, 2)}.20{d(2)} it", lambda: f"version 100.20.{rng.integers(10, 99)} build", lambda: f"order no 1{d(3)} {d(4)} {d(4)} {d(4)} of",
+        lambda: f"at 12:{rng.integers(10, 59)}:{rng.integers(10, 59)} on", lambda: f"serial {d(4)}-{d(4)}-{d(4)}-{d(4)} x", lambda: f"page {rng.integers(100, 999)} {rng.integers(10, 99)} to",
+    ]
+    rows, kind_of = [], {}
+    for kind, forms in good.items():
+        for k in range(120):
+            kind_of[len(rows)] = kind
+            rows.append(f"so {forms[k % len(forms)]()} ok")
+    rows += [f"so {bad[k % len(bad)]()} then" for k in range(480)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(rows)], "doc_id long, text string"))
+    out = {r.doc_id - 10**6: {s.kind for s in r.pii_spans} - {s.kind for s in r.pii_rules} for r in pii.find_pii(docs).collect() if r.doc_id >= 10**6}
+    base = sum(bool(plain_pii(rows[k])) for k in kind_of)
+    true = sum(kind in out[k] for k, kind in kind_of.items())
+    false = sum(bool(out[k]) and not plain_pii(rows[k]) for k in range(len(kind_of), len(rows)))
+    by = {kind: sum(kind in out[k] for k, x in kind_of.items() if x == kind) / 120 for kind in good}
+    assert base < 0.1 * len(kind_of) and true >= 0.9 * len(kind_of) and true >= 0.9 * (true + false), (by, true, false, base)
+
+
+def plain_luhn(s):
+    d = [int(c) for c in reversed(s)]
+    return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(d)) % 10 == 0
+
+
 def test_redaction(spark):
     text = "😀 write a@b.co or +1 555 123 4567, host 9.9.9.9."
     row = pii.find_pii(spark.createDataFrame([(text,), (None,), ("clean",)], "text string")).select(pii.redacted(F.col("text"), F.col("pii_spans"))).collect()
-    assert [r[0] for r in row] == ["😀 write <EMAIL> or <PHONE>, host <IP>.", None, "clean"]
+    assert {r[0] for r in row} == {"😀 write <EMAIL> or <PHONE>, host <IP>.", None, "clean"} and len(row) == 3  # rows have no order
 
 
 # --- packing ----------------------------------------------------------------------

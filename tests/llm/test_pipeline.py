@@ -160,6 +160,29 @@ def test_reputation_shrinks(spark):
     assert reputation.judge_urls(pages.limit(0), outcomes).collect() == []
 
 
+def test_reputation_blocks_planted_hosts_among_the_given(spark):
+    """Pages of a bad host and of one as good as the rest, in the given table: precision and recall of the method's blocks."""
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    urls = [(10**6 + 1000 * h + k, f"http://h{h}.{'farm' if h < 5 else 'fine'}{h}.com/{k}") for h in range(10) for k in range(200)]
+    outcomes = [(i, int(k % 10 < 9) if i < 10**6 + 5000 else int(k % 10 < 2)) for k, (i, _) in enumerate(urls)]
+    out = reputation.judge_urls(pages.union(spark.createDataFrame(urls, pages.schema)), labels.union(spark.createDataFrame(outcomes, "page_id long, bad int"))).where("rule is null")
+    planted = {r.host: r.verdict for r in out.where(F.col("page_id") >= 10**6).select("host", "verdict").distinct().collect()}
+    assert [planted[f"h{h}.{'farm' if h < 5 else 'fine'}{h}.com"] for h in range(10)] == ["block"] * 5 + ["allow"] * 5
+    given = out.where(F.col("page_id") < 10**6)
+    assert given.where("verdict = 'block'").count() <= 0.1 * given.count()
+
+
+def test_domains_and_suffixes(spark):
+    hosts = ["news.bbc.co.uk", "10.0.0.7", "a.com:8080", "www.a.com", "com", "", "x.co.uk", "[::1]:80", "1.2.3.4:5"]
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", reputation.domain(F.col("h")), reputation.suffix(F.col("h"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {
+        "news.bbc.co.uk": ("bbc.co.uk", "co.uk"), "10.0.0.7": ("10.0.0.7", "10.0.0.7"), "a.com:8080": ("a.com", "com"), "www.a.com": ("a.com", "com"),
+        "com": ("com", "com"), "": ("", ""), "x.co.uk": ("x.co.uk", "co.uk"), "[::1]:80": ("[::1]", "[::1]"), "1.2.3.4:5": ("1.2.3.4", "1.2.3.4"),
+    }
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.01"
