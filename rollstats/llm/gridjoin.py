@@ -8,8 +8,8 @@ intervals of ``block_rows`` vectors, and intervals into a tree of ``FAN`` childr
 node.  Pairs of nodes are joined recursively from the root, as DataFrame joins
 on the parent's id, under two bounds:
 
-* boxes on the leading axes lie further apart than eps: no vector of one links
-  to any of the other, the pair is dropped;
+* boxes on the leading axes, or balls around both, lie further apart than eps: no vector
+  of one links to any of the other, the pair is dropped;
 * balls around both lie so close that every vector of one is within eps of every
   vector of the other: the pair is settled whole, by adding sizes, without
   looking at vectors.  A group of near copies costs its nodes, not its pairs.
@@ -36,6 +36,8 @@ FAN_BITS = 4
 #: Leading axes that carry the grid.
 AXES = 8
 _SLACK = 1e-9
+#: Bytes of an interval's vectors as stored: long vectors make intervals of fewer rows, so a tile's memory is bounded.
+BLOCK_BYTES = 1 << 18
 _PART_BITS = 32
 
 
@@ -118,7 +120,7 @@ def _blocks(axes: dict[int, np.ndarray], block_rows: int, kind: str):
         raw: list[bytes] = []
         for b in batches:
             for r, v in zip(b["row"].tolist(), b["vec"]):
-                if raw and (len(raw) == block_rows or len(raw[-1]) != len(v)):
+                if raw and (len(raw) >= max(1, min(block_rows, BLOCK_BYTES // len(v))) or len(raw[-1]) != len(v)):
                     yield pd.DataFrame([head(np.array(rows), raw, part << _PART_BITS | index)])
                     rows, raw, index = [], [], index + 1
                 rows.append(r)
@@ -162,6 +164,14 @@ def _reach(a: str, b: str) -> Column:
     return F.sqrt(square) + F.col(f"{a}_radius") + F.col(f"{b}_radius")
 
 
+def _ball_gap(a: str, b: str) -> Column:
+    """A lower bound of the distance between a vector of one ball and one of the other."""
+    square = F.aggregate(
+        F.zip_with(f"{a}_mid", f"{b}_mid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x
+    )
+    return F.sqrt(square) - F.col(f"{a}_radius") - F.col(f"{b}_radius")
+
+
 def _side(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.select(*(F.col(c).alias(f"{name}_{c}") for c in nodes.columns))
 
@@ -234,7 +244,11 @@ def similarity_join(
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"row": b["row"], "vec": [np.asarray(v, dtype=kind).tobytes() for v in b["v"]]})
+            yield pd.DataFrame({"row": b["row"], "vec": [scaled(np.asarray(v, dtype=np.float64)).astype(kind).tobytes() for v in b["v"]]})
+
+    def scaled(v: np.ndarray) -> np.ndarray:
+        """By a power of two, which is exact, so that squares of huge and tiny components are finite and not zero."""
+        return np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
 
     packed = numbered.where(_usable(F.col("v"))).select("row", "v").mapInPandas(pack, "row long, vec binary")
     axes = principal_axes(packed, fit_rows, kind)
@@ -289,7 +303,7 @@ def similarity_join(
             near = pairs.join(left, (F.col("a") == F.col("l_block")) & (F.col("dim") == F.col("l_dim"))).join(
                 right, (F.col("b") == F.col("r_block")) & (F.col("dim") == F.col("r_dim"))
             )
-        near = near.where(_gap("l", "r") <= eps * eps).select(
+        near = near.where((_gap("l", "r") <= eps * eps) & (_ball_gap("l", "r") <= eps + _SLACK)).select(
             F.col("l_block").alias("a"), F.col("r_block").alias("b"), "dim",
             (_reach("l", "r") <= eps - 2 * _SLACK).alias("whole"), "l_n", "r_n", "l_rep", "r_rep",
         )

@@ -504,6 +504,20 @@ def check_join(rows, vectors, t=0.9):
     assert {tuple(r) for r in rows} == {(i, n[i], want[i], want[i] == i) for i, _ in vectors}
 
 
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [-1.0, 2.0]), (4, [5e-324, 1e-323]), (5, [1.7e308, 0.0])]
+    got = gridjoin.similarity_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1), (5, 0, 5)}
+
+
+def test_long_vectors_make_short_intervals(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4, 700))
+    rows = [(k, (base[k % 4] + rng.normal(size=700) * 0.1).tolist()) for k in range(240)]
+    got = gridjoin.similarity_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(k, 59, k % 4) for k in range(240)}
+
+
 @pytest.mark.parametrize("block_rows", [3, 16, 512])
 def test_grid_join(spark, block_rows):
     rng = np.random.default_rng(2)
@@ -571,28 +585,68 @@ def test_neighbours_do_not_depend_on_partitions(spark, parts):
     rows = []
     for k in range(90):
         lines = rng.integers(0, 6, rng.integers(1, 6)).tolist()
-        rows.append((k, f"h{int(rng.integers(0, 5)) if k % 3 else 9}", f"/{int(rng.integers(0, 30)):02}", "".join(f"<p>line {x}</p>" for x in lines)))
-    rows.append((500, "lonely", "/", "<p>line 1</p>"))
+        rows.append((k, f"http://h{int(rng.integers(0, 5)) if k % 3 else 9}/{int(rng.integers(0, 30)):02}", "".join(f"<p>line {x}</p>" for x in lines) + f"<!--{k}-->"))
+    rows.append((500, "http://lonely/", "<p>line 1</p>"))
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        df = spark.createDataFrame(rows, "row long, host string, path string, html string")
-        got = {r.row: (r.n_shared, r.shared) for r in htmlmain.shared_with_neighbour(df).collect()}
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {(r.host, r.key): r.shared for r in htmlmain.shared_with_neighbour(htmlmain.parsed_pages(df)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    pages = sorted((u.split("/")[2], "/" + u.split("/")[3], hashlib.md5(h.encode()).hexdigest(), [t for _, t in htmlmain.lines_of(h)]) for _, u, h in rows)
     want = {}
-    for k, r in enumerate(order):
-        near = [x for x in (order[k - 1] if k else None, order[k + 1] if k + 1 < len(order) else None) if x and x[1] == r[1]]
-        other = (order[k - 1] if k and order[k - 1][1] == r[1] else near[0]) if near else None
-        hashes = lambda x: [htmlmain.line_hash(t) for _, t in htmlmain.lines_of(x[3])]
-        places = htmlmain.shared_lines(hashes(r), hashes(other)) if other else []
-        want[r[0]] = (len(places), places)
+    for k, p in enumerate(pages):
+        near = [x for x in (pages[k - 1] if k else None, pages[k + 1] if k + 1 < len(pages) else None) if x and x[0] == p[0]]
+        places = htmlmain.shared_lines(p[3], near[0][3]) if near else []
+        want[p[0], p[2]] = [] if near and len(places) >= htmlmain.COPY * max(len(p[3]), len(near[0][3])) else places
     assert got == want
 
 
+def test_copies_keep_their_text(spark):
+    page = "<body><p>Site</p><p>a story that is told twice</p><p>and its end</p></body>"
+    rows = [(k, f"http://h.org/a?{k}", page) for k in range(5)] + [(9, "http://h.org/b", page.replace("end", "ending"))]
+    out = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == "Site\na story that is told twice\nand its end" or out[k] == "and its end" for k in range(5)) and len(set(out[k] for k in range(5))) == 1
+    alone = {r.text for r in htmlmain.extract(spark.createDataFrame(rows[:5], "page_id long, url string, html string")).collect()}
+    assert alone == {"Site\na story that is told twice\nand its end"}
+
+
+def test_template_places_are_learned(spark):
+    """Shared lines teach a host's template, which goes in every page, inside articles too: the method decides."""
+    own = lambda k: f"<div class='share-bar'><p>Send to a friend</p><p>{'Print' if k % 7 else 'Unlike any other'}</p></div>"
+    page = lambda k: f"<body><div class='top'><p>The Daily {'News' if k % 20 else k}</p></div><article><h1>t{k}</h1>{own(k)}<p>story {k}</p><p>more {k}</p></article></body>"
+    rows = [(k, f"http://h.org/{k:03}", page(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in htmlmain.extract(df).collect()}
+    assert all(out[k] == f"t{k}\nstory {k}\nmore {k}" for k in range(60))
+    plain = {r.page_id: r.text for r in htmlmain.extract(df, differencing=False).collect()}
+    assert all("Send to a friend" in plain[k] for k in range(60))
+
+
+def test_class_words_alone_cut_no_article():
+    main = lambda page: [t for r, t in htmlmain.lines_of(page) if r == htmlmain.MAIN]
+    assert main("<article class='post related'><p>a</p><div class='share-price'>12</div><div class='share'>x</div></article>") == ["a", "12"]
+    assert main("<main><p>a</p><article class='comment'>no</article></main>") == ["a"]
+    assert main("<article><section id=x/><p>a</article>") == ["a"]
+
+
+def test_a_short_teaser_does_not_hide_the_story(spark):
+    rows = [(1, "http://a.b/1", "<body><article><p>Teaser</p></article><div><p>" + "The long story itself. " * 20 + "</p></div></body>")]
+    assert "long story" in htmlmain.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()[0].text
+
+
+def test_many_equal_lines():
+    import time
+
+    began = time.time()
+    a, b = [1, *[7] * 50_000, 2], [3, *[7] * 50_000, 4]
+    assert htmlmain.shared_lines(a, b) == list(range(1, 50_001))
+    assert time.time() - began < 60
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(0)
 
