@@ -300,6 +300,40 @@ def test_language(spark, odd_docs):
     assert language.predict(language.Model([], model.masks[:0], np.zeros(0)), ["abc"]) == (["und"], [0.0])
 
 
+def test_look_ups_against_plain_sets(spark):
+    """Bit-sliced counts against sets of n-grams, word by word; a filter may only add false positives."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.lang, r.text) for r in docs.where("lang is not null and text is not null").orderBy("doc_id").limit(300).collect()]
+    model = language.fit(rows, min_texts=1)
+
+    def grams(text):
+        s = "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0\0"
+        return [s[k : k + 3] if s[k + 2] == "\0" else s[k : k + 4] for k in range(len(s) - 3) if s[k + 1] != "\0" and (s[k + 2] != "\0" or s[k] == "\0")]
+
+    known = {lang: {g for other, t in rows if other == lang for g in grams(t)} for lang in model.languages}
+    some = [t for _, t in rows[::10]]
+    codes, begins = language.gram_codes(some)
+    counts = language._hits(model, codes, begins)
+    for k, t in enumerate(some):
+        own = grams(t)
+        assert len(own) == begins[k + 1] - begins[k]
+        for bit, lang in enumerate(model.languages):
+            want = sum(g in known[lang] for g in own)
+            assert want <= counts[bit, k] <= want + 5 + 3 * model.noise[bit] * len(own)
+    best = [max(model.languages, key=lambda x: sum(g in known[x] for g in grams(t))) for t in some]
+    assert sum(a == b for a, b in zip(best, language.predict(model, some)[0])) >= 0.97 * len(some)
+
+
+def test_long_texts_are_read_whole_in_slices():
+    rows = [("a", "abra kadabra "), ("b", "zyx wvu tsr ")] * 3
+    model = language.fit(rows, min_texts=1)
+    long = "zyx wvu tsr " * 30_000 + "abra kadabra " * 60_000
+    assert len(long) > 4 * language._CHUNK
+    got = language.predict(model, ["abra kadabra", long, "zyx wvu"])
+    assert got[0] == ["a", "a", "b"]
+    assert np.array_equal(np.concatenate(list(language._slices(long))), language.gram_codes([long])[0])
+
+
 def test_more_languages_than_bits():
     rng = np.random.default_rng(0)
     alphabet = [chr(0x4E00 + k) for k in range(2000)]
