@@ -24,7 +24,7 @@ def summarize(spark, args) -> None:
     lines = histogram.withColumn("line", scalars.histogram_line(*(F.col(c) for c in ("side", "p", "ci_low", "ci_high", "fair"))))
     bars = lines.groupBy("die_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "line"))), lambda x: x["line"]), "\n").alias("bars"))
     for r in chi.join(bars, "die_id").orderBy("die_id").toLocalIterator():
-        print(f"{r.die_id}: N={r.n} p={r.p:f} ({int(100 * r.p)}%) stddev={r.stddev:.3f} min={r.min_p:.3f} max={r.max_p:.3f} fair={r.fair:.3f} expected={r.expected:.2f}\n{r.bars}")
+        print(f"{r.die_id}: N={r.n} p={r.p:f} ({int(100 * r.p)}% chance the data is from a random source) stddev={r.stddev:.3f} min={r.min_p:.3f} max={r.max_p:.3f} fair={r.fair:.3f} expected={r.expected:.2f}\n{r.bars}")
     if args.csv:
         sinks.write_histograms(histogram.drop("fair"), args.csv)
     if args.sequence_graph:

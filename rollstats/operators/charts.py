@@ -60,12 +60,58 @@ def name_mismatches(charts: DataFrame) -> DataFrame:
     return charts.where(F.col("names").isNotNull() & (F.size("names") != F.size("data_ids"))).select("chart_id")
 
 
+# The published charts' measures in pixels.
+HEIGHT, LEGEND_X, LEGEND_Y, LEGEND_STEP = 220, 30, 30, 20
+
+
 def geometry(n_series: Column) -> Column:
-    """Bar width and margins by the number of series: one, a few, many."""
-    return F.when(n_series == 1, "wide").when(n_series <= 4, "medium").otherwise("narrow")
+    """``struct(bar_width, bar_margin, group_width)`` in pixels by the number of series."""
+    width, margin = F.when(n_series > 4, 6).otherwise(12), F.when(n_series > 1, 1).otherwise(3)
+    group = F.when(n_series > 1, (n_series + 2) * (width + margin)).otherwise(width + margin)
+    return F.struct(width.alias("bar_width"), margin.alias("bar_margin"), group.cast("int").alias("group_width"))
+
+
+def bars(charts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(chart_id, pos, side, x, y, width, height, whisker_x, low_y, high_y, fair_y, verdict)``: what is drawn of each bar.
+
+    Bars stand side by side in a group a side, from the fair line up or down; y grows downwards.
+    """
+    sizes = charts.select("chart_id", geometry(F.size("data_ids")).alias("g"))
+    scale = chart_max(rows).join(fair_values(charts, rows), "chart_id").join(sizes, "chart_id")
+    place = F.row_number().over(Window.partitionBy("chart_id", "pos").orderBy("side")) - 1
+    at = rows.withColumn("place", place).join(scale, "chart_id")
+    y = lambda v: HEIGHT * (1 - v / F.col("max_y"))
+    width, margin = F.col("g.bar_width"), F.col("g.bar_margin")
+    x = F.col("place") * F.col("g.group_width") + 2 * margin + width * F.col("pos") + (F.col("pos") + 1) * margin
+    off = 100 * (F.col("p") - F.col("fair")) / F.col("fair")
+    text = (
+        F.when(F.abs(F.col("p") - F.col("fair")) < 0.001, F.format_string("%d is within %.1f%% of.", "side", F.abs(off)))
+        .when(off > 0, F.format_string("%d is %.1f%% more frequent than fair.", "side", off))
+        .otherwise(F.format_string("%d is %.1f%% less frequent than fair.", "side", -off))
+    )
+    return at.select(
+        "chart_id", "pos", "side", x.alias("x"), y(F.greatest("p", "fair")).alias("y"), width.alias("width"),
+        F.abs(y(F.col("fair")) - y(F.col("p"))).alias("height"), (x + width / 2).alias("whisker_x"),
+        y(F.col("ci_low")).alias("low_y"), y(F.col("ci_high")).alias("high_y"), y(F.col("fair")).alias("fair_y"), text.alias("verdict"),
+    )
+
+
+def legends(charts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(chart_id, pos, name, x, y)`` of the charts with names: beside the bars, one below the other."""
+    sides = rows.where("pos = 0").groupBy("chart_id").agg(F.count(F.lit(1)).alias("sides"))
+    named = charts.where("names is not null").join(sides, "chart_id")
+    x = F.col("sides") * geometry(F.size("data_ids"))["group_width"] + LEGEND_X
+    each = named.select("chart_id", x.alias("x"), F.posexplode("names").alias("pos", "name"))
+    return each.select("chart_id", "pos", "name", "x", (LEGEND_Y + LEGEND_STEP * F.col("pos")).alias("y"))
 
 
 def records(histogram: DataFrame) -> DataFrame:
     """``(die_id, json)``: each die's rows as a JSON array of records, by side."""
     row = F.struct("side", "p", "ci_low", "ci_high")
     return histogram.groupBy("die_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("json"))
+
+
+def from_records(json: DataFrame) -> DataFrame:
+    """The rows of :func:`records`, with their ``place`` in the array."""
+    rows = F.posexplode(F.from_json("json", "array<struct<side:int,p:double,ci_low:double,ci_high:double>>")).alias("place", "r")
+    return json.select("die_id", rows).select("die_id", "place", "r.*")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import INF, feature_proportion
@@ -22,8 +22,10 @@ def nearest_two(queries: DataFrame, others: DataFrame) -> DataFrame:
     o = others.select("pair", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"))
     distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2")))
     joined = queries.join(o, "pair").select("pair", "desc_id", distance.alias("d"))
-    two = joined.groupBy("pair", "desc_id").agg(F.slice(F.array_sort(F.collect_list("d")), 1, 2).alias("two"))
-    return two.where(F.size("two") == 2).select("pair", "desc_id", F.col("two")[0].alias("d1"), F.col("two")[1].alias("d2"))
+    # Distances are at most 128, so their counts say what the two smallest are, in a few numbers a descriptor.
+    seen = joined.groupBy("pair", "desc_id", "d").agg(F.count(F.lit(1)).alias("n")).groupBy("pair", "desc_id")
+    two = seen.agg(F.min("d").alias("d1"), F.min_by("n", "d").alias("n"), F.sum("n").alias("all"), F.sort_array(F.collect_set("d")).alias("ds"))
+    return two.where(F.col("all") >= 2).select("pair", "desc_id", "d1", F.when(F.col("n") > 1, F.col("d1")).otherwise(F.get("ds", F.lit(1))).alias("d2"))
 
 
 def ratio_matches(nearest: DataFrame, ratio: float = 0.75) -> DataFrame:
@@ -71,14 +73,30 @@ def scale_distortion(h: np.ndarray | None) -> float:
     return INF if s == 0 else max(s, 1 / s)
 
 
+def scale_column(h: Column) -> Column:
+    """:func:`scale_distortion` of a map given as an array of nine numbers, row by row; infinite for null."""
+    at = lambda x, y: [(h[3 * k] * x + h[3 * k + 1] * y + h[3 * k + 2]) / (h[6] * x + h[7] * y + h[8]) for k in (0, 1)]
+    origin = at(0, 0)
+    lengths = [F.sqrt(sum(F.pow(u - v, 2) for u, v in zip(at(*d), origin))) for d in ((1, 0), (0, 1))]
+    s = F.abs(1 - lengths[0]) + F.abs(1 - lengths[1])
+    return F.when(h.isNull() | (s == 0), F.lit(INF)).otherwise(F.greatest(s, F.try_divide(F.lit(1.0), s)))
+
+
 def verify_matches(matches: DataFrame) -> DataFrame:
-    """``(pair, inliers, scale)`` from ``matches(pair, x, y, x2, y2)``: one small group a pair."""
+    """``(pair, inliers, scale, error)`` from ``matches(pair, x, y, x2, y2)``: one small group a pair.
+
+    A pair that can't be verified is a row with its error and no inliers, never an exception.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        h, mask = homography(g[["x", "y"]].to_numpy(float), g[["x2", "y2"]].to_numpy(float))
-        return pd.DataFrame({"pair": [g["pair"].iloc[0]], "inliers": [int(mask.sum())], "scale": [scale_distortion(h)]})
+        try:
+            h, mask = homography(g[["x", "y"]].to_numpy(float), g[["x2", "y2"]].to_numpy(float))
+            inliers, scale, error = int(mask.sum()), scale_distortion(h), None
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+            inliers, scale, error = 0, INF, f"{type(e).__name__}: {e}"
+        return pd.DataFrame({"pair": [g["pair"].iloc[0]], "inliers": [inliers], "scale": [scale], "error": [error]})
 
-    return matches.groupBy("pair").applyInPandas(run, "pair string, inliers long, scale double")
+    return matches.groupBy("pair").applyInPandas(run, "pair string, inliers long, scale double, error string")
 
 
 def complete_matches(candidates: DataFrame, matches: int = 32, scale: float = INF, proportion: float = 1.2) -> DataFrame:
@@ -212,15 +230,18 @@ def areas(mask: np.ndarray) -> list[int]:
 
 
 def count_pips(images: DataFrame) -> DataFrame:
-    """``(file, num_pips)`` of ``images(file, width, height, grey)``: dark areas of a pip's size."""
+    """``(file, num_pips)`` of ``images(file, width, height, grey)``: dark areas of a pip's size; null for data that is no image."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n = []
             for w, h, raw in zip(b["width"], b["height"], b["grey"]):
-                g = np.frombuffer(raw, dtype=np.uint8).reshape(h, w)
-                n.append(sum(PIP_LOW < a < PIP_HIGH for a in areas(g <= otsu(g) - 10)))
-            yield pd.DataFrame({"file": b["file"], "num_pips": n})
+                try:
+                    g = np.frombuffer(raw, dtype=np.uint8).reshape(h, w)
+                    n.append(sum(PIP_LOW < a < PIP_HIGH for a in areas(g <= otsu(g) - 10)))
+                except (TypeError, ValueError):
+                    n.append(None)
+            yield pd.DataFrame({"file": b["file"], "num_pips": pd.array(n, dtype="Int32")})
 
     return images.select("file", "width", "height", "grey").mapInPandas(run, "file string, num_pips int")
 

@@ -52,6 +52,11 @@ def skip_existing(files: DataFrame, done: DataFrame, force: bool = False, number
     return left.orderBy("file").limit(number) if number else left
 
 
+def not_found_files(results: DataFrame) -> DataFrame:
+    """``(file, not_found)``: the files without a result, and why; what a run lists at its end."""
+    return results.where(~F.col("skipped") & F.col("not_found").isNotNull()).select("file", "not_found")
+
+
 def run_tallies(results: DataFrame) -> DataFrame:
     """Files by outcome: processed, skipped or not found (``results(file, skipped, not_found)``)."""
     status = F.when(F.col("skipped"), "skipped").when(F.col("not_found").isNotNull(), "not found").otherwise("processed")

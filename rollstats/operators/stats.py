@@ -13,6 +13,10 @@ from ..functions.scalars import chi2_survival
 from .rolls import label_counts, normalized, relative
 
 
+#: Sides of a die whose histogram is sent to every task: 40 bytes each.
+MAX_SIDES = 100_000
+
+
 def summary_stats(rolls: DataFrame) -> DataFrame:
     """Per die: rolls, sides seen, spread and range of p, the fair share, and the expected value."""
     return relative(label_counts(rolls)).groupBy("die_id").agg(
@@ -108,8 +112,10 @@ def subsample_histogram(rolls: DataFrame, sizes: list[int], seed: str = "7") ->
 def combine(a: DataFrame, b: DataFrame) -> DataFrame:
     """Histogram of the sum of two dice: every product of p, and of the bounds, summed by the sum of sides.
 
-    Histograms are as long as a die has sides.
+    Histograms are as long as a die has sides; one of over ``MAX_SIDES`` is refused, as it is sent to every task.
     """
+    if b.limit(MAX_SIDES + 1).count() > MAX_SIDES:
+        raise ValueError(f"a histogram of over {MAX_SIDES} sides can't be combined")
     other = b.select(F.col("side").alias("side2"), F.col("p").alias("p2"), F.col("ci_low").alias("low2"), F.col("ci_high").alias("high2"))
     one = other.agg(F.collect_list(F.struct("*")).alias("all"))
     pairs = a.join(F.broadcast(one)).select("*", F.explode("all").alias("o"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import charts, rolls, stats
+from ..sources import files
 from .views import rolls_by_flag, rolls_by_supplier, rolls_by_user, with_views
 
 QUERIES: dict = {}
@@ -218,13 +219,15 @@ def text_histogram(spark, sf_dir):
 
 
 @query(
-    _CHI + ", n AS (SELECT die_id, sum(n) AS n FROM c GROUP BY die_id) SELECT die_id, printf('N=%d x=%.4f dof=%d', CAST(n AS BIGINT), round(round(x, 8), 4), dof) AS line FROM x JOIN n USING (die_id)",
+    _CHI + """, n AS (SELECT die_id, sum(n) AS n FROM c GROUP BY die_id), p AS (SELECT die_id, CASE WHEN dof <= 0 OR x <= 0 THEN 1.0 ELSE round(greatest(0, 1 - list_sum(list_transform(range(0, 400),
+    lambda k: exp((dof / 2 + k) * ln(x / 2) - x / 2 - lgamma(dof / 2 + k + 1))))), 9) END AS p FROM x)
+    SELECT die_id, printf('N=%d p=%f (%d%% chance the data is from a random source)', CAST(n AS BIGINT), p, CAST(trunc(100 * p) AS INTEGER)) AS line FROM p JOIN n USING (die_id)""",
     "rolls_by_supplier",
 )
 def chi2_text(spark, sf_dir):
     r = rolls_by_supplier(spark, sf_dir)
     joined = stats.chi_square(r).join(r.groupBy("die_id").agg(F.count(F.lit(1)).alias("n")), "die_id")
-    return joined.select("die_id", F.format_string("N=%d x=%.4f dof=%d", "n", F.round(F.round("statistic", 8), 4), "dof").alias("line"))
+    return joined.select("die_id", scalars.chi2_line(F.col("n"), F.round("p", 9)).alias("line"))
 
 
 # --- charts ----------------------------------------------------------------------
@@ -296,26 +299,88 @@ def chart_name_check(spark, sf_dir):
     return charts.name_mismatches(_charts(spark))
 
 
-@query(_CI + _CHARTS + "SELECT chart_id, CASE WHEN len(data_ids) = 1 THEN 'wide' WHEN len(data_ids) <= 4 THEN 'medium' ELSE 'narrow' END AS bars FROM charts", "rolls_by_flag")
+_GEOMETRY = """, g AS (SELECT *, len(data_ids) AS k, CASE WHEN len(data_ids) > 4 THEN 6 ELSE 12 END AS w, CASE WHEN len(data_ids) > 1 THEN 1 ELSE 3 END AS m FROM charts),
+geo AS (SELECT *, CAST(CASE WHEN k > 1 THEN (k + 2) * (w + m) ELSE w + m END AS INTEGER) AS gw FROM g) """
+
+
+@query(_CI + _CHARTS + _GEOMETRY + "SELECT chart_id, w AS bar_width, m AS bar_margin, gw AS group_width FROM geo", "rolls_by_flag")
 def bar_geometry(spark, sf_dir):
-    return _charts(spark).select("chart_id", charts.geometry(F.size("data_ids")).alias("bars"))
+    return _charts(spark).select("chart_id", charts.geometry(F.size("data_ids")).alias("g")).select("chart_id", "g.*")
 
 
-@query()
+@query(
+    _CI + _CHARTS + _GEOMETRY + """, top AS (SELECT chart_id, max(ci_high) AS top FROM rows_ GROUP BY chart_id),
+    fv AS (SELECT chart_id, coalesce(nullif(any_value(fair_value), 0), 1 / count(*)) AS fair FROM rows_ JOIN charts USING (chart_id) WHERE pos = 0 GROUP BY chart_id),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY chart_id, pos ORDER BY side) - 1 AS place FROM rows_),
+    a AS (SELECT pl.*, geo.w, geo.m, geo.gw, top, fair FROM pl JOIN geo USING (chart_id) JOIN top USING (chart_id) JOIN fv USING (chart_id))
+    SELECT chart_id, pos, side, CAST(place * gw + 2 * m + w * pos + (pos + 1) * m AS INTEGER) AS x, round(220 * (1 - greatest(p, fair) / top), 6) AS y, w AS width,
+      round(220 * abs(p - fair) / top, 6) AS height, place * gw + 2 * m + w * pos + (pos + 1) * m + w / 2 AS whisker_x, round(220 * (1 - ci_low / top), 6) AS low_y,
+      round(220 * (1 - ci_high / top), 6) AS high_y, round(220 * (1 - fair / top), 6) AS fair_y,
+      CASE WHEN abs(p - fair) < 0.001 THEN 'within' WHEN p > fair THEN 'more' ELSE 'less' END AS verdict FROM a""",
+    "rolls_by_flag",
+)
+def chart_bars(spark, sf_dir):
+    c = _charts(spark)
+    out = charts.bars(c, charts.lookup(c, _data(spark, sf_dir)))
+    word = F.regexp_extract("verdict", r"is (?:.*% )?(within|more|less)", 1)
+    return out.withColumns({k: F.round(k, 6) for k in ("y", "height", "low_y", "high_y", "fair_y")}).withColumns({"verdict": word, "x": F.col("x").cast("int")})
+
+
+@query(
+    _CI + _CHARTS + _GEOMETRY + """, n AS (SELECT chart_id, count(*) AS sides FROM rows_ WHERE pos = 0 GROUP BY chart_id),
+    names(chart_id, pos, name) AS (VALUES ('flags', 0, 'a'), ('flags', 1, 'n'), ('flags', 2, 'r'), ('zero', 0, 'only one'))
+    SELECT chart_id, pos, name, CAST(sides * gw + 30 AS BIGINT) AS x, 30 + 20 * pos AS y FROM names JOIN n USING (chart_id) JOIN geo USING (chart_id)""",
+    "rolls_by_flag",
+)
+def chart_legends(spark, sf_dir):
+    c = _charts(spark)
+    return charts.legends(c, charts.lookup(c, _data(spark, sf_dir)))
+
+
+@query(
+    _CI + """SELECT die_id, CAST(row_number() OVER (PARTITION BY die_id ORDER BY side) - 1 AS INTEGER) AS place, side, round(p, 9) AS p, round(ci_low, 9) AS ci_low,
+    round(ci_high, 9) AS ci_high FROM hist""",
+    "rolls_by_flag",
+)
 def histogram_json(spark, sf_dir):
-    return charts.records(_histogram(spark, sf_dir))
+    """Written as JSON records, and read back from them."""
+    return rounded(charts.from_records(charts.records(_histogram(spark, sf_dir))), "p", "ci_low", "ci_high")
+
+
+# Measured diameters of a die, as published.
+_DIAMETERS = """side\t1\t2\t3\t4\t5\t6\t7\t8\t9\t10
+opp\t20\t19\t18\t17\t16\t15\t14\t13\t12\t11
+mm\t19.53\t19.60\t19.87\t19.83\t19.36\t19.39\t19.53\t19.33\t19.50\t19.36
+dd\t0.0\t0.07\t0.34\t0.3\t-.17\t-.14\t0.0\t-.2\t-.03\t-.17
+pside\t1.15\t1.19\t0.71\t1.05\t0.88\t1.14\t1.34\t1.10\t0.92\t0.70
+popp\t1.27\t1.14\t1.13\t0.66\t0.79\t1.01\t1.17\t0.96\t0.97\t0.73
+
+free text"""
+_MEASURED = ", d AS (SELECT {} FROM (SELECT {})) ".format(
+    "unnest(side) AS side, unnest(opp) AS opp, unnest(mm) AS mm, unnest(dd) AS dd, unnest(pside) AS pside, unnest(popp) AS popp",
+    ", ".join(f"[{', '.join(x.split(chr(9))[1:])}]::{'INTEGER' if k < 2 else 'DOUBLE'}[] AS {x.split(chr(9))[0]}" for k, x in enumerate(_DIAMETERS.split("\n")[:6])),
+)
+
+
+def _diameters(spark) -> DataFrame:
+    return files.parse_diameters(spark.createDataFrame([("d20", _DIAMETERS)], "die_id string, value string"))
+
+
+@query("WITH " + _MEASURED[2:] + "SELECT 'd20' AS die_id, * FROM d")
+def diameters(spark, sf_dir):
+    return _diameters(spark)
 
 
 @query(
-    _FLAG + """, f AS (SELECT die_id, side, n / avg(n) OVER (PARTITION BY die_id) AS freq, 51 - side AS opp FROM c),
-    m AS (SELECT a.*, b.freq AS ofreq, 10 + sin(a.side) AS mm FROM f a JOIN f b ON a.die_id = b.die_id AND a.opp = b.side)
+    _FLAG + _MEASURED + """, f AS (SELECT die_id, side, n / avg(n) OVER (PARTITION BY die_id) AS freq FROM c),
+    m AS (SELECT a.die_id, a.freq, b.freq AS ofreq, mm FROM d JOIN f a ON a.side = d.side JOIN f b ON b.die_id = a.die_id AND b.side = d.opp)
     SELECT die_id, count(*) AS n, round(corr(dd, freq + ofreq), 8) AS r FROM (SELECT *, mm - avg(mm) OVER (PARTITION BY die_id) AS dd FROM m) GROUP BY die_id""",
     "rolls_by_flag",
 )
 def opposite_face_corr(spark, sf_dir):
-    """Deviation of a diameter against the frequency of the faces at its ends."""
+    """Deviation of a measured diameter against the frequency of the faces at its ends."""
     f = rolls.normalized(rolls.label_counts(rolls_by_flag(spark, sf_dir)))
-    other = f.select("die_id", (51 - F.col("side")).alias("side"), F.col("freq").alias("ofreq"))
-    m = f.join(other, ["die_id", "side"]).withColumn("mm", 10 + F.sin("side"))
+    other = f.select("die_id", F.col("side").alias("opp"), F.col("freq").alias("ofreq"))
+    m = f.join(_diameters(spark).select("side", "opp", "mm"), "side").join(other, ["die_id", "opp"])
     m = m.withColumn("dd", F.col("mm") - F.avg("mm").over(rolls.by_die()))
     return m.groupBy("die_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("dd", F.col("freq") + F.col("ofreq")), 8).alias("r"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import dice, groups
+from . import dice, files, groups
 
-_QUERIES = {**dice.QUERIES, **groups.QUERIES}
-_SQL = {**dice.SQL, **groups.SQL}
+_QUERIES = {**dice.QUERIES, **groups.QUERIES, **files.QUERIES}
+_SQL = {**dice.SQL, **groups.SQL, **files.SQL}
 
 
 def queries() -> dict:

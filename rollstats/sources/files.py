@@ -46,7 +46,10 @@ def read_labels(spark: SparkSession, pattern: str, num_labels: int | None = None
 def read_histograms(spark: SparkSession, pattern: str) -> DataFrame:
     """``(name, side, p, ci_low, ci_high)`` by position, whatever the header; of repeated sides the last counts."""
     rows = spark.read.schema(HISTOGRAM).option("enforceSchema", True).csv(pattern, header=True)
-    named = rows.select(F.regexp_extract("_metadata.file_path", r"([^/]*)\.csv$", 1).alias("name"), "*", F.monotonically_increasing_id().alias("at"))
+    path = F.col("_metadata.file_path")
+    # A folder a die, as the writer makes them, names the die; else the file does.
+    name = F.coalesce(F.nullif(F.regexp_extract(path, r"/die_id=([^/]*)/[^/]*$", 1), F.lit("")), F.regexp_extract(path, r"([^/]*)\.csv$", 1))
+    named = rows.select(name.alias("name"), "*", F.monotonically_increasing_id().alias("at"))
     last = named.groupBy("name", "side").agg(F.max_by(F.struct("p", "ci_low", "ci_high"), "at").alias("v"))
     return last.select("name", "side", "v.*")
 
@@ -59,21 +62,34 @@ def read_histogram_by_name(spark: SparkSession, path: str) -> DataFrame:
 
 def read_groups(spark: SparkSession, pattern: str) -> DataFrame:
     """``(die_id, group_idx, member_idx, file)`` from JSON lists of lists; member 0 stands for its group."""
-    text = spark.read.text(pattern, wholetext=True).select(_die(F.col("_metadata.file_path")).alias("die_id"), "value")
+    return parse_groups(spark.read.text(pattern, wholetext=True).select(_die(F.col("_metadata.file_path")).alias("die_id"), "value"))
+
+
+def parse_groups(text: DataFrame) -> DataFrame:
+    """``(die_id, group_idx, member_idx, file)`` from ``text(die_id, value)``."""
     lists = text.select("die_id", F.posexplode(F.from_json("value", "array<array<string>>")).alias("group_idx", "members"))
     return lists.select("die_id", "group_idx", F.posexplode("members").alias("member_idx", "file"))
 
 
 def read_chart_index(spark: SparkSession, path: str) -> DataFrame:
     """``(chart_id, title, names, filenames, fairValue)`` from a JSON object by chart id."""
+    return parse_chart_index(spark.read.text(path, wholetext=True))
+
+
+def parse_chart_index(text: DataFrame) -> DataFrame:
+    """``(chart_id, title, names, filenames, fairValue)`` from ``text(value)``."""
     entry = "struct<title:string,names:array<string>,filenames:array<string>,fairValue:double>"
-    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("chart_id", "c")).select("chart_id", "c.*")
 
 
 def list_images(spark: SparkSession, folder: str, reference: str | None = None) -> DataFrame:
     """``file`` names that end in jpg in any case, but for the reference image; contents are not read."""
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"))
+    return image_names(files, reference)
+
+
+def image_names(files: DataFrame, reference: str | None = None) -> DataFrame:
+    """Of ``files(file)`` those that end in jpg in any case, but for the reference image."""
     kept = files.where(F.lower("file").endswith("jpg"))
     return kept.where(F.lower("file") != reference.lower()) if reference else kept
 
@@ -85,3 +101,27 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
         F.regexp_extract("image.origin", r"([^/]*)$", 1).alias("file"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
     )
+
+
+def catalogue(folders: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``(die_id, message)`` of ``folders(die_id)``: what a run says of each; folders without labels are named, not skipped silently."""
+    has = labelled.select("die_id").distinct().withColumn("has", F.lit(True))
+    return folders.join(has, "die_id", "left").select("die_id", F.when(F.col("has"), "labels found").otherwise("no labels").alias("message"))
+
+
+DIAMETERS = ("side", "opp", "mm", "dd", "pside", "popp")
+
+
+def parse_diameters(text: DataFrame) -> DataFrame:
+    """``(die_id, side, opp, mm, dd, pside, popp)`` from ``text(die_id, value)``: six rows of tab-separated numbers, then notes."""
+    lines = F.slice(F.split("value", "\r?\n"), 1, len(DIAMETERS))
+    cells = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.split(x, "\t")[0].alias("k"), F.slice(F.split(x, "\t"), 2, 1000).alias("v"))))
+    at = text.select("die_id", cells.alias("c"))
+    columns = F.explode(F.arrays_zip(*(F.element_at("c", F.lit(k)).alias(k) for k in DIAMETERS))).alias("r")
+    kind = lambda k: "int" if k in ("side", "opp") else "double"
+    return at.select("die_id", columns).select("die_id", *(F.col(f"r.{k}").cast(kind(k)).alias(k) for k in DIAMETERS))
+
+
+def read_diameters(spark: SparkSession, pattern: str) -> DataFrame:
+    """All files of measured diameters that match ``pattern``; the folder is the die."""
+    return parse_diameters(spark.read.text(pattern, wholetext=True).select(_die(F.col("_metadata.file_path")).alias("die_id"), "value"))

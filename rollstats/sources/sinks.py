@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import json
+import re
 import string
 
 from pyspark.sql import DataFrame
@@ -60,4 +62,14 @@ def report(charts: DataFrame, histograms: DataFrame, title: str) -> str:
     rows = histograms.groupBy("data_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("side", "p", "ci_low", "ci_high")))).alias("j"))
     data = {r.data_id: json.loads(r.j) for r in rows.collect()}
     config = {r.chart_id: {k: v for k, v in r.asDict().items() if k != "chart_id"} for r in charts.collect()}
-    return _PAGE.substitute(title=title, data=json.dumps(data), charts=json.dumps(config))
+    return _PAGE.substitute(title=html.escape(title), data=_script(data), charts=_script(config))
+
+
+def _script(value) -> str:
+    """JSON that can stand in a script element."""
+    return json.dumps(value).replace("</", "<\\/")
+
+
+def report_data(page: str) -> dict:
+    """The histograms of a :func:`report` page, by data id."""
+    return json.loads(re.search(r"const data = (.*?); const charts = ", page, re.S)[1])

@@ -34,3 +34,18 @@ def snapshots(rolls: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return running_counts(rolls).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def photo_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file, taken, content)`` of photos as they are dropped: the counterpart of a camera that goes on.
+
+    A query over it resumes by its checkpoint: photos that it has seen are not read again.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    photos = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{jpg,JPG,jpeg,JPEG}").load(folder)
+    return photos.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("modificationTime").alias("taken"), "content")
+
+
+def event_stream(spark: SparkSession, schema, path: str) -> DataFrame:
+    """Rows of Parquet files as they are dropped."""
+    return spark.readStream.schema(schema).parquet(path)

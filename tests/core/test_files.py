@@ -101,3 +101,19 @@ def test_snapshots_and_windows(spark, tmp_path):
     timed = ts.withColumn("ts", ts.ts.cast("timestamp"))
     assert sorted(r.n for r in live.windowed_counts(timed).collect()) == [1, 2]
     assert np.isfinite(1.0)
+
+
+def test_photo_stream_resumes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    run = lambda: live.photo_stream(spark, str(tmp_path / "in")).select("file").writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+    (tmp_path / "in" / "1.JPG").write_bytes(b"x")
+    (tmp_path / "in" / "notes.txt").write_bytes(b"x")
+    run()
+    (tmp_path / "in" / "2.jpg").write_bytes(b"y")
+    run()
+    assert sorted(r.file for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1.JPG", "2.jpg"]
+
+
+def test_diameters_are_read(spark, tmp_path):
+    at = put(tmp_path / "d20" / "diameters.txt", "side\t1\t2\nopp\t20\t19\nmm\t19.5\t19.6\ndd\t-.1\t0.0\npside\t1.1\t0.9\npopp\t1.0\t1.2\n\nnotes\t1")
+    assert [tuple(r) for r in files.read_diameters(spark, at).orderBy("side").collect()] == [("d20", 1, 20, 19.5, -0.1, 1.1, 1.0), ("d20", 2, 19, 19.6, 0.0, 0.9, 1.2)]

@@ -221,3 +221,104 @@ def test_charts_report_missing_series(spark):
         charts.lookup(c, h)
     rec = charts.records(spark.createDataFrame([("d", 2, 0.5, 0.4, 0.6), ("d", 1, 0.5, 0.4, 0.6)], f"die_id string, {HIST}")).first()
     assert [x["side"] for x in json.loads(rec.json)] == [1, 2]
+
+
+# --- p-values over the whole range ---------------------------------------------------
+
+
+def survival(x, dof):
+    """By the trapezoid rule over the density, in logarithms."""
+    import math
+
+    a, width = dof / 2, math.sqrt(2 * dof)
+    t = np.linspace(x, max(x, dof) + 60 * width + 200, 800_001)
+    with np.errstate(divide="ignore"):
+        logs = (a - 1) * np.log(t / 2) - t / 2 - math.lgamma(a) - math.log(2)
+    y = np.exp(logs)
+    return float(((y[1:] + y[:-1]) / 2).sum() * (t[1] - t[0]))
+
+
+def test_chi2_survival_at_any_size(spark):
+    from rollstats.functions.scalars import chi2_survival
+
+    cases = [(1500.0, 2000), (2000.0, 2000), (2150.0, 2000), (20_000.0, 20_000), (20_400.0, 20_000), (19_500.0, 20_000), (1e6 + 2000, 1_000_000), (58.36086775, 19), (3.0, 5), (80.0, 5), (1500.0, 700)]
+    got = spark.createDataFrame(cases, "x double, dof int").select("x", "dof", chi2_survival(F.col("x"), F.col("dof")).alias("p")).collect()
+    for r in got:
+        assert abs(r.p - survival(r.x, r.dof)) < 1e-6 + 1e-4 * r.p, r
+    assert next(r.p for r in got if r.x == 1500 and r.dof == 2000) > 0.999999
+
+
+# --- photos ---------------------------------------------------------------------------
+
+
+def plain_die(diff, distance, threshold):
+    """The scan pixel by pixel, as it is described."""
+    h, w = diff.shape
+    hot = diff > threshold
+    window, seen, target = [], set(), distance**2
+    for y in range(distance // 2, h, distance):
+        for x in range(w):
+            window.append((x, y) if hot[y, x] and (x, y) not in seen else None)
+            window = window[-2 * distance :]
+            if sum(p is not None for p in window) <= distance // 2:
+                continue
+            active = {p for p in window[-(distance // 2) or None :] if p}
+            region = set()
+            while active:
+                i, j = active.pop()
+                seen.add((i, j))
+                if hot[j, i]:
+                    region.add((i, j))
+                    active |= {(a, b) for a in range(max(0, i - 1), min(w, i + 2)) for b in range(max(0, j - 1), min(h, j + 2))} - seen
+            if len(region) > 5 * target:
+                return {"not_found": f"region of {len(region)} pixels"}
+            xs, ys = [p[0] for p in region], [p[1] for p in region]
+            dx, dy = max(xs) - min(xs), max(ys) - min(ys)
+            if dy and dx and max(dx / dy, dy / dx) < 2 and 2 * target <= dx * dy < 7 * target and len(region) >= 1.5 * target:
+                return {"x_min": min(xs), "y_min": min(ys), "x_max": max(xs), "y_max": max(ys), "npx": len(region)}
+            window = []
+    return {"not_found": "no region"}
+
+
+def test_scan_equals_a_plain_loop_on_random_masks():
+    from rollstats.operators.imaging import find_die
+
+    rng = np.random.default_rng(0)
+    results = []
+    for k in range(120):
+        diff = (rng.random((60, 70)) < rng.choice([0.02, 0.2, 0.35])) * 250
+        for _ in range(rng.integers(0, 5)):  # blobs, some of them in pieces
+            x, y, a, b = rng.integers(0, 50), rng.integers(0, 40), rng.integers(3, 22), rng.integers(3, 22)
+            diff[y : y + b, x : x + a] = np.where(rng.random((b, a))[: diff[y : y + b, x : x + a].shape[0], : diff[y : y + b, x : x + a].shape[1]] < rng.choice([0.6, 0.95, 1]), 250, 0)
+        distance = int(rng.choice([7, 8, 10]))
+        got = find_die(diff, distance, 180)
+        assert got == plain_die(diff, distance, 180), k
+        results.append("npx" in got)
+    assert 10 < sum(results) < 110
+
+
+def test_images_are_made_smaller_by_their_middle_pixels():
+    from rollstats.operators.imaging import smaller
+
+    image = np.arange(7 * 11).reshape(7, 11, 1).astype(np.uint8)
+    assert smaller(image, 3)[..., 0].tolist() == [[image[r, c, 0] for c in (1, 5, 9)] for r in (1, 5)]
+
+
+def test_failures_are_rows(spark):
+    from rollstats.operators.grouping import count_pips, verify_matches
+
+    bad = [("p", float("nan"), float("nan"), 1.0, 1.0)] * 5
+    good = [("q", float(x), float(y), 2.0 * x, 2.0 * y) for x, y in ((0, 0), (9, 1), (3, 8), (7, 7), (2, 5))]
+    got = {r.pair: r for r in verify_matches(spark.createDataFrame(bad + good, "pair string, x double, y double, x2 double, y2 double")).collect()}
+    assert got["p"].inliers == 0 and got["q"].inliers == 5 and got["q"].error is None
+    images = spark.createDataFrame([("a", 4, 4, b"short"), ("b", 4, 4, bytes(16)), ("c", 4, 4, None)], "file string, width int, height int, grey binary")
+    assert {r.file: r.num_pips for r in count_pips(images).collect()} == {"a": None, "b": 0, "c": None}
+
+
+def test_a_histogram_of_too_many_sides_is_refused(spark, monkeypatch):
+    from rollstats.operators import stats
+
+    monkeypatch.setattr(stats, "MAX_SIDES", 3)
+    h = spark.createDataFrame([(k, 0.25, 0.2, 0.3) for k in range(4)], "side int, p double, ci_low double, ci_high double")
+    with pytest.raises(ValueError, match="over 3 sides"):
+        stats.combine(h, h)
