@@ -8,10 +8,14 @@ from __future__ import annotations
 import argparse
 import re
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from .operators import labeling, rolls, stats
 from .functions import scalars
+from .functions.storage import stored
+from .operators import charts, grouping, imaging, labeling, rolls, stats
 from .session import session
 from .sources import files, sinks
 
@@ -52,6 +56,59 @@ def label(spark, args) -> None:
     sinks.write_labels(sequence, args.labels, f"labels: {' '.join(map(str, args.values))}")
 
 
+def crop(spark, args) -> None:
+    """Finds the die in every new photo of a folder; writes boxes and squares, prints what was found."""
+    reference = files.read_images(spark, f"{args.folder}/{args.reference}").first()
+    if reference is None:
+        raise SystemExit(f"no reference photo {args.reference} in {args.folder}")
+    photos = files.read_images(spark, args.folder)
+    names = files.list_images(spark, args.folder, args.reference)
+    try:
+        done = spark.read.parquet(args.out).select("file")
+    except AnalysisException:
+        done = names.limit(0)
+    todo = labeling.skip_existing(names, done, args.force, args.number)
+    found = imaging.detect(
+        photos.join(todo, "file"), (reference.width, reference.height, reference.channels, bytes(reference.data)),
+        distance=2 * args.crop_size // 5 // args.resize, threshold=args.threshold, factor=args.resize,
+    )
+    found = stored(imaging.crop_bounds(found, reference.width, reference.height, args.crop_size))
+    found.write.mode("overwrite" if args.force else "append").parquet(args.out)
+    skipped = names.join(todo, "file", "left_anti").withColumns({"skipped": F.lit(True), "not_found": F.lit(None).cast("string")})
+    results = skipped.unionByName(found.select("file", "not_found").withColumn("skipped", F.lit(False)))
+    for r in labeling.run_tallies(results).orderBy("status").collect():
+        print(f"{r.status}: {r.n}")
+    for r in labeling.not_found_files(results).orderBy("file").toLocalIterator():
+        print(f"not found in {r.file} @ threshold {args.threshold}: {r.not_found}")
+
+
+def group(spark, args) -> None:
+    """Groups the photos of a folder by their number of pips; writes (file, num_pips)."""
+
+    def greys(batches):
+        for b in batches:
+            raw = [np.frombuffer(d, dtype=np.uint8).reshape(h, w, c)[..., :3].mean(axis=2).astype(np.uint8).tobytes() for d, w, h, c in zip(b["data"], b["width"], b["height"], b["channels"])]
+            yield pd.DataFrame({"file": b["file"], "width": b["width"], "height": b["height"], "grey": raw})
+
+    photos = files.read_images(spark, args.folder).mapInPandas(greys, "file string, width int, height int, grey binary")
+    counted = stored(grouping.count_pips(photos))
+    counted.write.mode("overwrite").parquet(args.out)
+    for r in grouping.pip_groups(counted).orderBy(F.desc("size"), "rep").collect():
+        print(f"{r.num_pips} pips: {r['size']} files, first {r.rep}")
+
+
+def index(spark, args) -> None:
+    """Builds the report page of a chart index over histogram files."""
+    shown = files.read_chart_index(spark, args.index).withColumn("data_ids", F.transform("filenames", lambda f: F.regexp_replace(f, r"\.csv$", "")))
+    data = files.read_histograms(spark, args.histograms).withColumnRenamed("name", "data_id")
+    for r in charts.missing_data(shown, data).orderBy("chart_id", "data_id").collect():
+        raise SystemExit(f"chart {r.chart_id}: no histogram {r.data_id}")
+    for r in charts.name_mismatches(shown).collect():
+        raise SystemExit(f"chart {r.chart_id}: names and series differ in number")
+    with open(args.out, "w", encoding="utf-8") as f:  # a small page, on the machine that runs the command
+        f.write(sinks.report(shown, data, args.title))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="rollstats", description=re.sub(r"\n\n.*", "", __doc__, flags=re.S))
     sub = p.add_subparsers(required=True)
@@ -71,6 +128,26 @@ def parser() -> argparse.ArgumentParser:
     lb.add_argument("values", nargs="+", type=int)
     lb.add_argument("--repeat", type=int)
     lb.set_defaults(run=label)
+    cr = sub.add_parser("crop", help=crop.__doc__)
+    cr.add_argument("folder")
+    cr.add_argument("out", help="folder for boxes and squares")
+    cr.add_argument("--reference", default="reference.jpg")
+    cr.add_argument("--crop-size", type=int, default=660)
+    cr.add_argument("--resize", type=int, default=6, help="photos are made smaller by this factor for the search")
+    cr.add_argument("--threshold", type=int, default=180, help="summed channel difference of a pixel that counts")
+    cr.add_argument("--number", "-n", type=int, help="photos to look at")
+    cr.add_argument("--force", "-f", action="store_true", help="photos that have a result, too")
+    cr.set_defaults(run=crop)
+    g = sub.add_parser("group", help=group.__doc__)
+    g.add_argument("folder")
+    g.add_argument("out")
+    g.set_defaults(run=group)
+    ix = sub.add_parser("index", help=index.__doc__)
+    ix.add_argument("index", help="chart index, JSON by chart")
+    ix.add_argument("histograms", help="pattern of histogram files")
+    ix.add_argument("out", help="page to write")
+    ix.add_argument("--title", default="Dice")
+    ix.set_defaults(run=index)
     return p
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import INF, feature_proportion
 from ..functions.storage import stored
+from .components import components
 
 
 def nearest_two(queries: DataFrame, others: DataFrame) -> DataFrame:
@@ -112,21 +113,57 @@ def best_match(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def leaders(items: DataFrame, matches: DataFrame) -> DataFrame:
+#: Matches of a connected set of items that one task decides in order; larger sets are decided in rounds.
+SET_EDGES = 200_000
+
+
+def leaders(items: DataFrame, matches: DataFrame, set_edges: int = SET_EDGES) -> DataFrame:
     """Greedy leader clustering: ``(item, leader)``.
 
     In ascending order each item joins the first leader it matches, or becomes a
-    leader.  ``matches(item, other)`` lists the smaller items it matches.  So an
-    item is a leader exactly if no smaller match is one, and is decided once all
-    smaller matches are, or once one is a leader: items are decided in parallel
-    rounds, as many as the longest chain of dependent decisions (logarithmic in
-    practice), each a join and an aggregation with state in shared storage.
+    leader.  ``matches(item, other)`` lists the smaller items it matches.  Connected
+    sets of items do not depend on each other: those of up to ``set_edges`` matches are
+    decided in order, many a task, however long their chains.  Larger ones are decided in
+    parallel rounds (see :func:`_in_rounds`).
     """
     edges = stored(matches.where(F.col("other") < F.col("item")).select("item", "other").distinct())
+    parts = components(edges.select(F.col("item").alias("a"), F.col("other").alias("b")))
+    placed = stored(edges.join(parts.select(F.col("node").alias("item"), "component"), "item"))
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = stored(sizes.where(F.col("n") > set_edges).select("component"))
+    some = not large.isEmpty()
+    small = placed.join(large, "component", "left_anti") if some else placed
+    buckets = max(1, small.count() // set_edges)
+    kind = dict(edges.dtypes)["item"]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        leads, out = set(g["other"]) - set(g["item"]), []
+        for item, others in g.sort_values("item").groupby("item")["other"]:
+            if known := [o for o in others if o in leads]:
+                out.append((item, min(known)))
+            else:
+                leads.add(item)
+        return pd.DataFrame(out, columns=["item", "leader"])
+
+    joined = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(buckets))).applyInPandas(run, f"item {kind}, leader {kind}")
+    if some:
+        joined = joined.union(_in_rounds(stored(placed.join(large, "component", "left_semi").select("item", "other"))))
+    joined = stored(joined)
+    alone = items.select("item").distinct().join(joined.select("item"), "item", "left_anti")
+    return joined.union(alone.select("item", F.col("item").alias("leader")))
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    """``(item, leader)`` of the items that join a leader.
+
+    An item is a leader exactly if no smaller match is one, and is decided once all
+    smaller matches are, or once one is a leader: items are decided in parallel
+    rounds, as many as the longest chain of dependent decisions, each a join and an aggregation
+    with state in shared storage.
+    """
     open_edges = edges
-    state = stored(
-        items.select("item").distinct().join(edges.select("item").distinct(), "item", "left_anti").withColumn("leads", F.lit(True))
-    )
+    first = edges.select(F.col("other").alias("item")).distinct().join(edges.select("item").distinct(), "item", "left_anti")
+    state = stored(first.withColumn("leads", F.lit(True)))
     while open_edges.limit(1).count():
         known = open_edges.join(state.select(F.col("item").alias("other"), "leads"), "other", "left")
         rank = known.groupBy("item").agg(
@@ -136,8 +173,7 @@ def leaders(items: DataFrame, matches: DataFrame) -> DataFrame:
         state = stored(state.union(new))
         open_edges = stored(open_edges.join(new, "item", "left_anti"))
     lead = state.where("leads").select(F.col("item").alias("other"))
-    joined = edges.join(state.where(~F.col("leads")), "item").join(lead, "other").groupBy("item").agg(F.min("other").alias("leader"))
-    return joined.union(lead.select(F.col("other").alias("item"), F.col("other").alias("leader")))
+    return edges.join(state.where(~F.col("leads")), "item").join(lead, "other").groupBy("item").agg(F.min("other").alias("leader"))
 
 
 def split_small(groups: DataFrame) -> DataFrame:

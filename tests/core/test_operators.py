@@ -322,3 +322,16 @@ def test_a_histogram_of_too_many_sides_is_refused(spark, monkeypatch):
     h = spark.createDataFrame([(k, 0.25, 0.2, 0.3) for k in range(4)], "side int, p double, ci_low double, ci_high double")
     with pytest.raises(ValueError, match="over 3 sides"):
         stats.combine(h, h)
+
+
+def test_leaders_on_a_long_chain_and_on_large_sets(spark):
+    n = 3000
+    chain = [(k, k - 1) for k in range(1, n)]
+    items = spark.createDataFrame([(k,) for k in range(n + 5)], "item long")
+    matches = spark.createDataFrame(chain, "item long, other long")
+    want = {k: k if k % 2 == 0 or k >= n else k - 1 for k in range(n + 5)}
+    assert dict(map(tuple, grouping.leaders(items, matches).collect())) == want
+    short = spark.createDataFrame([(k, k - 1) for k in range(1, 12)] + [(22, 20), (22, 21), (21, 20)], "item long, other long")
+    few = spark.createDataFrame([(k,) for k in range(24)], "item long")
+    got = dict(map(tuple, grouping.leaders(few, short, set_edges=5).collect()))
+    assert got == {**{k: k - k % 2 for k in range(12)}, **{k: k for k in range(12, 24)}, 21: 20, 22: 20}
