@@ -65,13 +65,32 @@ def canonical(token: Column) -> Column:
     )
 
 
-def window_hashes(hashes: Column, size: int) -> Column:
-    """A hash of every run of ``size`` tokens."""
+def with_windows(df: DataFrame, hashes: str, sizes: list[int], prefix: str) -> DataFrame:
+    """Adds ``{prefix}{size}``: a hash of every run of ``size`` of the ``hashes``, in order; none where there are fewer.
+
+    Runs are joined from runs of powers of two, two numbers at a time: no run is copied out.
+    """
     n = F.size(hashes)
-    return F.when(
-        n >= size,
-        F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.lit(size), F.slice(hashes, i, size))),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def joined(first: str, second: str, apart: int, length: int) -> Column:
+        """Hashes of the pairs of first[i] and second[i + apart], which stand for runs of ``length``."""
+        count = F.greatest(n - length + 1, F.lit(0))
+        return F.zip_with(F.slice(first, 1, count), F.slice(second, apart + 1, count), lambda x, y: F.xxhash64(x, y))
+
+    powers, k = {1: hashes}, 1
+    while 2 * k <= max(sizes):
+        powers[2 * k] = f"{prefix}power_{2 * k}"
+        df = df.withColumn(powers[2 * k], joined(powers[k], powers[k], k, 2 * k))
+        k *= 2
+    for size in sizes:
+        parts = [p for p in sorted(powers, reverse=True) if size & p]
+        run, length = powers[parts[0]], parts[0]
+        for p in parts[1:]:
+            name = f"{prefix}{size}_{p}"
+            df = df.withColumn(name, joined(run, powers[p], length, length + p))
+            run, length = name, length + p
+        df = df.withColumn(f"{prefix}{size}", F.col(run))
+    return df
 
 
 def as_written(token: Column) -> Column:
@@ -104,9 +123,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     items = items.select("item", F.explode(F.when(short, F.array(F.col("_words"))).otherwise(forms)).alias("_words"))
     items = items.select("item", F.when(short, _hashed(F.col("_words"), as_written)).otherwise(_hashed(F.col("_words"), canonical)).alias("_hashes"))
     items = items.withColumn("size", _window_size(F.size("_hashes"), window))
-    sized = F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for size in range(1, max(window, SHORT_WINDOW) + 1):
-        sized = sized.when(F.col("size") == size, window_hashes(F.col("_hashes"), size))
+    lengths = list(range(1, max(window, SHORT_WINDOW) + 1))
+    items, sized = with_windows(items, "_hashes", lengths, "_w_"), F.when(F.lit(False), F.array().cast("array<bigint>"))
+    for size in lengths:
+        sized = sized.when(F.col("size") == size, F.col(f"_w_{size}"))
     return items.select("item", "size", sized.alias("_w")).select(
         "item", "size", F.size("_w").alias("windows"), F.posexplode("_w").alias("place", "hash")
     ).distinct()
@@ -134,10 +154,14 @@ def contaminated(
         return texts.select(F.col("row").alias("text_key"), F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("coverage")).where(F.lit(False))
     keys = bench.select("hash", "size", "item", "place", "windows")
     hashed = texts.withColumn("_words", tokens(F.col("text"))).withColumn("_hashes", _hashed(F.col("_words"), canonical))
-    exact = hashed.withColumn("_exact", _hashed(F.col("_words"), as_written)) if sizes[0] < LEAST else hashed
-    runs = [window_hashes(F.col("_exact" if s < LEAST else "_hashes"), s) for s in sizes]
+    short, other = [s for s in sizes if s < LEAST], [s for s in sizes if s >= LEAST]
+    if short:
+        hashed = with_windows(hashed.withColumn("_exact", _hashed(F.col("_words"), as_written)), "_exact", short, "_w_")
+    if other:
+        hashed = with_windows(hashed, "_hashes", other, "_t_")
+    runs = [F.col(f"_w_{s}" if s < LEAST else f"_t_{s}") for s in sizes]
     # Places run on from size to size; only differences within one alignment matter.
-    seen = exact.select("row", F.posexplode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("at", "hash"))
+    seen = hashed.select("row", F.posexplode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("at", "hash"))
     hits = seen.join(bounded(keys), "hash").select("row", "item", "size", "windows", "place", (F.col("at") - F.col("place")).alias("shift"))
     hits = saved(hits.distinct())  # equal texts have equal hits
     groups = saved(_held_groups(hits, window, coverage))
