@@ -236,7 +236,7 @@ def crop_squares(spark, sf_dir):
     return found.select("file", F.col("crop_x.low").alias("low_x"), F.col("crop_x.high").alias("high_x"), F.col("crop_y.low").alias("low_y"), F.col("crop_y.high").alias("high_y"))
 
 
-@query(_FOUND + "SELECT file, (x_min + x_max) / 2 AS x, (y_min + y_max) / 2 AS y, 28.5 AS radius_x, 28.5 AS radius_y FROM f WHERE not_found IS NULL")
+@query(_FOUND + "SELECT file, (x_min + x_max) / 2 AS x, (y_min + y_max) / 2 AS y, 28.5::DOUBLE AS radius_x, 28.5::DOUBLE AS radius_y FROM f WHERE not_found IS NULL")
 def bounds_overlay(spark, sf_dir):
     """The ellipses of the overview of all boxes."""
     return imaging.overlay(_detected(spark, sf_dir))
