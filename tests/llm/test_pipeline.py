@@ -5,13 +5,15 @@ import hashlib
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rollstats.llm import decontaminate, registry, reputation
+from rollstats.llm import decontaminate, language, packing, registry, reputation, simhash
+from test_contracts import components, plain_fingerprint, plain_pii, similarity
 
 ITEM = "The train from Paris leaves at 7 o'clock and travels 120 km in 2 hours, how far does it go in 5 hours"
 
@@ -233,3 +235,60 @@ def test_run_on_an_empty_table(spark, stored, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def plain_redacted(text):
+    out, at = [], 0
+    for start, end, kind in sorted((s, e, k) for k, s, e in plain_pii(text)):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_run_against_brute_force(spark):
+    """Every stage in plain Python over the smallest tables: the same documents, texts and ids at the end."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    labels, scores = language.predict(language.train(docs), list(rows.values()))
+    rows = {i: t for (i, t), label, score in zip(rows.items(), labels, scores) if label != "und" and score >= corpus_pipeline.MIN_LANGUAGE_SCORE}
+    narrow = {i: plain_fingerprint(t) for i, t in rows.items()}
+    wide = {i: int.from_bytes(simhash.wide_fingerprint(t), "little") for i, t in rows.items()}
+
+    def close(a, b):
+        """As documented: two bits, or the wide limit for what shares one of the 20 upper nodes."""
+        x = wide[a] ^ wide[b]
+        node = any(x >> (64 * w + simhash.BAND_BITS * k) & (1 << simhash.BAND_BITS) - 1 == 0 for w in range(4) for k in range(simhash.BANDS))
+        return (narrow[a] ^ narrow[b]).bit_count() <= 2 or node and x.bit_count() <= simhash.MAX_WIDE
+
+    ids = sorted(rows)
+    group = components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if close(a, b)])
+    rows = {i: t for i, t in rows.items() if group[i] == i}
+    left = sorted(rows)
+    assert not [(a, b) for k, a in enumerate(left) for b in left[k + 1 :] if (wide[a] ^ wide[b]).bit_count() < 70 and similarity(rows[a], rows[b]) >= 0.8]
+    words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    items = [words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = {i: plain_redacted(t) for i, t in rows.items() if not any(x in words(t) for x in items)}
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in rows.items()}
+    pieces, windows = {}, {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(pieces) == set(want) and len(want) < docs.count()
+    for i, own in pieces.items():
+        at = 0
+        for r in sorted(own, key=lambda r: r.start):
+            ids = want[i][r.start : r.start + r.length]
+            assert r.start == at and r.doc_tokens == len(want[i]) and zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)) == r.ids_crc32
+            at += r.length
+        assert at == len(want[i])
+    for parts in windows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
