@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,12 +100,16 @@ def placed_lines(page: str | None) -> list[tuple[int, int, str]]:
 
     The place is a hash of the chain of open elements and their classes; 0 outside any
     element with a class or id, that of the ``article`` or ``main`` aside: a chain without names tells nothing apart.
+    Time grows with the page's length, however deep its elements lie and whatever is left unclosed.
     """
     if not page:
         return []
     out: list[tuple[int, int, str]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, int, int, bool]] = []  # open elements, with the role of their text, their place, and whether it has a name of its own
+    # Open elements, with the role of their text, their place, whether it has a name of its own, whether it lies
+    # in the main element, and where the paragraph is that a block would end (-1: nowhere).
+    stack: list[tuple[str, int, int, bool, bool, int]] = []
+    is_open: Counter[str] = Counter()
     role = place = 0
     role = PLAIN
     at, end = 0, len(page)
@@ -115,7 +120,10 @@ def placed_lines(page: str | None) -> list[tuple[int, int, str]]:
                 out.append((role, place if stack and stack[-1][3] else 0, text))
             buffer.clear()
 
-    def top() -> tuple[int, int]:
+    def close_from(depth: int) -> tuple[int, int]:
+        """Ends the open elements from ``depth`` on; role and place of the one that is left."""
+        is_open.subtract(x[0] for x in stack[depth:])
+        del stack[depth:]
         return stack[-1][1:3] if stack else (PLAIN, 0)
 
     while at < end:
@@ -137,30 +145,23 @@ def placed_lines(page: str | None) -> list[tuple[int, int, str]]:
                 flush()
             continue
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag) if is_open[tag] else None
             if tag in _BLOCKS:
                 flush()
             if depth is not None:
                 if any(x[0] in _BLOCKS for x in stack[depth:]) or (stack[depth - 1][1] if depth else PLAIN) != role:
                     flush()
-                del stack[depth:]
-                role, place = top()
+                role, place = close_from(depth)
             continue
         if tag in _BLOCKS:
             flush()
-        if tag in _ENDS_P and stack:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    role, place = top()
-                    break
-                if stack[k][0] in _BLOCKS:
-                    break
+        if tag in _ENDS_P and stack and stack[-1][5] >= 0:
+            role, place = close_from(stack[-1][5])
         if tag in _RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        in_main = any(x[1] == MAIN for x in stack)
+        in_main = bool(stack) and stack[-1][4]
         names = _names_in(attrs) if "=" in attrs else []
         if role == BOILER or _is_boiler(tag, attrs, names, in_main):
             new = BOILER
@@ -172,7 +173,9 @@ def placed_lines(page: str | None) -> list[tuple[int, int, str]]:
             flush()
         own = bool(names) and tag not in ("article", "main") or bool(stack and stack[-1][3])
         place = place if tag not in _BLOCKS and not names else _chained(place, f"{tag} {' '.join(sorted(names))}")
-        stack.append((tag, new, place, own))
+        paragraph = len(stack) if tag == "p" else -1 if tag in _BLOCKS or not stack else stack[-1][5]
+        stack.append((tag, new, place, own, in_main or new == MAIN, paragraph))
+        is_open[tag] += 1
         role = new
     flush()
     return out

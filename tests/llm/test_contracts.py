@@ -681,6 +681,18 @@ def test_many_equal_lines():
     assert time.time() - began < 60
 
 
+def test_deep_and_unclosed_elements_take_linear_time():
+    import time
+
+    began = time.time()
+    depth = 100_000
+    deep = "<article>" + "<b>x " * depth + "</i>" * depth + "<div>y</div>" * depth
+    assert htmlmain.lines_of(deep)[1:] == [(htmlmain.MAIN, "y")] * depth
+    lists = "<p>x<li>" * depth
+    assert len(htmlmain.lines_of(lists)) == depth
+    assert time.time() - began < 30  # steps in the square of the depth take hours
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = np.random.default_rng(0)
 
