@@ -39,13 +39,26 @@ def dense_counts(rolls: DataFrame, most: int) -> DataFrame:
     )
 
 
-def prefixes(rolls: DataFrame, sizes: list[int]) -> DataFrame:
-    """``(die_id, size, seq, side)``: the first N rolls of each die for each N, as N copies at most.
+#: Parts in which the rows of one key are ranked before they meet.
+PARTS = 64
+
+
+def first_ranked(rows: DataFrame, keys: list[str], order: list, most: int, spread: str) -> DataFrame:
+    """The first ``most`` rows of each key in ``order``, with their ``rank``.
 
-    The rank is bounded by the largest N, so Spark limits each die before the shuffle.
+    Each key is ranked in ``PARTS`` parts by a hash of the ``spread`` column first, and at most
+    ``PARTS * most`` rows of a key meet in one task, however many it has.
     """
-    rank = F.row_number().over(by_die().orderBy("seq"))
-    first = rolls.withColumn("rank", rank).where(F.col("rank") <= max(sizes))
+    parted = rows.withColumn("part", F.pmod(F.xxhash64(spread), F.lit(PARTS)))
+    for by in ([*keys, "part"], keys):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        parted = parted.withColumn("rank", rank).where(F.col("rank") <= most)
+    return parted.drop("part")
+
+
+def prefixes(rolls: DataFrame, sizes: list[int]) -> DataFrame:
+    """``(die_id, size, seq, side)``: the first N rolls of each die for each N, as N copies at most."""
+    first = first_ranked(rolls, ["die_id"], ["seq"], max(sizes), "seq")
     wanted = F.filter(F.array(*(F.lit(s) for s in sorted(sizes))), lambda s: F.col("rank") <= s)
     return first.select("die_id", F.explode(wanted).alias("size"), "seq", "side")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_survival
-from .rolls import label_counts, normalized, relative
+from .rolls import first_ranked, label_counts, normalized, relative
 
 
 #: Sides of a die whose histogram is sent to every task: 40 bytes each.
@@ -97,11 +97,10 @@ def subsample_histogram(rolls: DataFrame, sizes: list[int], seed: str = "7") ->
     Each size draws independently, the rolls with the smallest hashes.  Sides of the
     die that a subsample misses have 0; sizes beyond a die's rolls are left out.
     """
-    die = Window.partitionBy("die_id", "size")
     copies = rolls.withColumn("size", F.explode(F.array(*(F.lit(s) for s in sizes))))
-    rank = F.row_number().over(die.orderBy(hash_number(seed, F.col("size").cast("string"), F.col("seq").cast("string")), "seq"))
+    order = [hash_number(seed, F.col("size").cast("string"), F.col("seq").cast("string")), "seq"]
     enough = rolls.groupBy("die_id").agg(F.count(F.lit(1)).alias("rolls"), F.sort_array(F.collect_set("side")).alias("sides"))
-    picked = copies.withColumn("rank", rank).where(F.col("rank") <= F.col("size"))
+    picked = first_ranked(copies, ["die_id", "size"], order, max(sizes), "seq").where(F.col("rank") <= F.col("size"))
     counts = picked.groupBy("die_id", "size").agg(F.count(F.lit(1)).alias("m"), F.collect_list("side").alias("got"))
     counts = counts.join(enough, "die_id").where(F.col("size") <= F.col("rolls"))
     each = counts.select("die_id", "size", "m", "got", F.explode("sides").alias("side"))

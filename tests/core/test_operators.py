@@ -102,6 +102,32 @@ def test_prefixes_and_subsamples(spark):
     assert {r.die_id for r in sub} == {"a"} and {(r.side, r.freq) for r in sub if r.size == 5} == {(1, 1.2), (2, 1.2), (3, 0.6)}
 
 
+def test_first_ranked_of_a_hot_key(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("die_id"), (F.col("id") * 7919 % 20_011).alias("seq"))
+    want = df.toPandas().sort_values("seq").groupby("die_id").head(1500)
+    got = rolls.first_ranked(df, ["die_id"], ["seq"], 1500, "seq").toPandas()
+    assert sorted(zip(want["die_id"], want["seq"])) == sorted(zip(got["die_id"], got["seq"]))
+    assert all(sorted(g["rank"]) == list(range(1, len(g) + 1)) and g.sort_values("rank")["seq"].is_monotonic_increasing for _, g in got.groupby("die_id"))
+
+
+def test_label_sequence_over_many_ranges(spark):
+    rows = [(d, f"{k * 37 % 1000:04}.jpg", label) for d, n in (("a", 900), ("b", 30), (None, 5)) for k in range(n) for label in ([6, 1] if k % 50 == 0 else [k % 6])]
+    df = spark.createDataFrame(rows + rows[:40], "die_id string, file string, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, labeling.label_sequence(df, "die_id").collect()), key=str)
+        whole = [r.label for r in labeling.label_sequence(df).orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    each = lambda d: sorted({r[1:] for r in rows if r[0] == d})
+    assert got == sorted(((d, k + 1, label) for d in ("a", "b", None) for k, (_, label) in enumerate(each(d))), key=str)
+    assert whole == [label for _, label in sorted({r[1:] for r in rows})]
+    assert labeling.label_sequence(df.limit(0), "die_id").count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(0, 59), st.integers(0, 59), st.integers(1, 59))
 def test_squaring_is_stepwise_widening(low, high, length):
