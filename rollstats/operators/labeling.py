@@ -44,8 +44,8 @@ def label_sequence(labelled: DataFrame, die_col: str | None = None) -> DataFrame
     range by range from the number of rows in the ranges before it: no task needs a whole die.
     """
     keys = [die_col] if die_col else []
-    # Written twice: the range sort samples its input, and the ranges' numbers must be the same in every later job.
-    pairs = stored(labelled.select(*keys, "label", "file").distinct())
+    pairs = labelled.select(*keys, "label", "file").distinct()
+    # Written once: the ranges' numbers must be the same in every later job.
     ranged = stored(pairs.repartitionByRange(*keys, "file", "label").withColumn("range", F.spark_partition_id()))
     sizes = ranged.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -223,10 +223,13 @@ f AS (SELECT file, CASE k % 5 WHEN 0 THEN 'no region' WHEN 1 THEN 'region of 900
   CASE WHEN k % 5 > 1 THEN x + 57 END AS x_max, CASE WHEN k % 5 > 1 THEN y + 57 END AS y_max, CASE WHEN k % 5 > 1 THEN 400::BIGINT END AS npx FROM n) """
 
 
-@query(_FOUND + "SELECT * FROM f")
+_BOX = ("x_min", "y_min", "x_max", "y_max", "npx")
+
+
+@query(_FOUND + f"SELECT file, not_found, {', '.join(f'{c}::DOUBLE AS {c}' for c in _BOX)} FROM f")
 def detect_die(spark, sf_dir):
-    """Difference with the reference photo, scan, flood fill, and the reasons where nothing is found."""
-    return _detected(spark, sf_dir)
+    """Difference with the reference photo, scan, flood fill, and the reasons where nothing is found; numbers null there, and so doubles."""
+    return _detected(spark, sf_dir).select("file", "not_found", *(F.col(c).cast("double").alias(c) for c in _BOX))
 
 
 @query(_FOUND + ", c AS (SELECT file, greatest(0, greatest(0, x_min - 22)) AS x, greatest(0, y_min - 22) AS y, x_min, y_min FROM f WHERE not_found IS NULL) SELECT file, x AS low_x, x + 100 AS high_x, y AS low_y, y + 100 AS high_y FROM c")
