@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, gridjoin, htmlmain, language, packing, pii, reputation, secrets, simhash
+from . import bestfit, chat, decontaminate, divergence, gridjoin, hardneg, htmlmain, language, packing, pii, reputation, secrets, simhash
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_language_id": language.op8_language_id,
         "op9_simhash_dedup": simhash.op9_simhash_dedup,
         "op10_url_reputation": reputation.op10_url_reputation,
+        "op11_hard_negatives": hardneg.op11_hard_negatives,
+        "op12_best_fit_packing": bestfit.op12_best_fit_packing,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": chat.OP6_SQL, "op10_url_reputation": reputation.OP10_SQL}
+    return {
+        "op6_chat_format": chat.OP6_SQL,
+        "op10_url_reputation": reputation.OP10_SQL,
+        "op11_hard_negatives": hardneg.OP11_SQL,
+        "op13_source_divergence": divergence.OP13_SQL,
+    }

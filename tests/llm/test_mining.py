@@ -1,0 +1,281 @@
+"""Hard negatives, best-fit packing and the divergence audit against plain versions of their contracts."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rollstats.llm import bestfit, divergence, hardneg
+
+# --- hard negatives -------------------------------------------------------------
+
+
+def plain_mine(rows, every=100, k=5):
+    """Every row against every row, in whole numbers of any size."""
+    part = []
+    for n, (i, v, label) in enumerate(rows):
+        if label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        part.append((n, i, label, [math.floor(256 * x) for x in v]))
+    out = []
+    for n, i, label, v in part:
+        if i is None or i % every:
+            continue
+        scored = [(-sum(x * y for x, y in zip(v, w)), math.inf if j is None else j, m, other) for m, j, other, w in part if m != n and len(w) == len(v)]
+        scored.sort()
+        for p in [s for s in scored if s[3] == label][:k]:
+            fit = [s for s in scored if s[3] != label and 80 * -p[0] <= 100 * -s[0] <= 100 * -p[0]][:k]
+            out += [(i, p[1], r + 1, s[1], -p[0], -s[0]) for r, s in enumerate(fit)]
+    return sorted(out)
+
+
+def mined(df, **more):
+    got = hardneg.mine(df, **more).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()
+    return sorted(tuple(math.inf if x is None else x for x in r) for r in got)
+
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hard_negatives_against_every_pair(spark, monkeypatch, seed):
+    monkeypatch.setattr(hardneg, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(7, 12))
+    # Few values, so many scores tie; few distinct vectors, so copies tie wholly.
+    rows = [(int(n), (np.round(centres[n % 7] * 4 + rng.normal(size=12)) / 16).tolist(), int(rng.integers(0, 3))) for n in range(1500)]
+    rows += [(n, rows[n][1], 1) for n in range(0, 1500, 50)] + [(None, rows[3][1], 2), (None, rows[4][1], 0)]
+    want = plain_mine(rows)
+    assert len(want) > 300
+    assert mined(spark.createDataFrame(rows, SCHEMA).repartition(5)) == want
+    assert mined(spark.createDataFrame(rows, SCHEMA).repartition(3), fit_rows=80) == want
+
+
+def test_bounds_leave_rows_unscored(spark, sf_dir, monkeypatch):
+    """Cells are wide enough here that bounds are no scores, and tight enough to spare most rows."""
+    rows = hardneg.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "label", "embedding", lambda i, label: label)
+    cells = hardneg.fit_cells(rows, 4096)
+    scored = total = 0
+    for r in hardneg.blocks(rows, cells).toPandas().to_dict("records"):
+        block = hardneg._Block(r, cells)
+        every = np.arange(len(block.rows))
+        for a in range(0, len(every), 7):
+            anchor = block.vecs[a].astype(float)
+            exact = np.array(block.scores(anchor, every))
+            lower, upper = block.lower(anchor, every), block.upper(anchor, every)
+            assert (lower <= exact).all() and (exact <= upper).all() and (lower < upper).any()
+            scored += int((upper >= hardneg._kth(lower, 5)).sum())
+            total += len(every)
+    assert scored < total / 4
+
+
+def test_odd_vectors(spark):
+    big = 3.0e17
+    rows = [
+        (0, [1.0, 2.0], 1), (0, [1.0, 2.0], 1), (100, [2.0, 1.0], 1), (1, [1.5, 1.5], 2), (2, [1.0, 1.9], 2), (3, None, 1), (4, [None, 1.0], 1), (5, [float("nan"), 1.0], 1),
+        (6, [float("inf"), 1.0], 2), (7, [1.0, 1.0], None), (8, [], 1), (9, [], 2), (200, [], 1), (10, [1.0], 2), (300, [1.0, 1.0, 1.0], 1), (301, [1.0, 1.0, 1.0], 1), (302, [1.0, 1.0, 0.9], 0),
+        (400, [big, 1.0, -big, 2.0], 1), (401, [1.0, 1.0, 1.0, 1.0], 1), (402, [1.0, 1.0, 1.0, 0.9], 2), (403, [2.0, 1.0, 2.0, 0.5], 2),
+        (None, [1.0, 1.9], 2), (500, [0.0] * 5, 1), (501, [0.0] * 5, 1), (502, [0.0] * 5, 2), (600, [-1.0] * 6, 1), (601, [1.0] * 6, 1), (602, [1.0] * 6, 2),
+    ]
+    want = plain_mine(rows)
+    assert {r[0] for r in want} == {0, 100, 200, 300, 400, 500}
+    assert mined(spark.createDataFrame(rows, SCHEMA).repartition(2)) == want
+    assert mined(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_anchors_in_parts(spark, sf_dir, monkeypatch):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    want = mined(rows, every=25)
+    monkeypatch.setattr(hardneg, "PART_BYTES", 3000)
+    assert mined(rows, every=25) == want and want
+
+
+# --- best-fit packing -------------------------------------------------------------
+
+
+def library_ids(text, path=None):
+    library = bestfit._encoder(path or bestfit.vocabulary_path()).library
+    return [*library.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def own_ids(text):
+    return np.frombuffer(bestfit.encode(text, bestfit.vocabulary_path()), dtype="<u4").tolist()
+
+
+def plain_best_fit(lengths, capacity):
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fit = [(r, k) for k, r in enumerate(room) if r >= n]
+        if fit:
+            room[min(fit)[1]] -= n
+        else:
+            room.append(capacity - n)
+    return sorted(room)
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = random.Random(4)
+    for _ in range(1500):
+        capacity = rng.randint(1, 40)
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 60))]
+        taken, given = set(), Counter()
+        for length, rank, n, each, sequence, offset in bestfit.plan(Counter(lengths), capacity):
+            assert rank == given[length]
+            given[length] += n
+            for r in range(n):
+                slots = {(sequence + r // each, offset + r % each * length + j) for j in range(length)}
+                assert not slots & taken
+                taken |= slots
+        used = Counter(s for s, _ in taken)
+        assert given == Counter(lengths) and all(o < used[s] for s, o in taken)  # gapless
+        assert sorted(capacity - n for n in used.values()) == plain_best_fit(lengths, capacity)
+
+
+def test_plan_does_not_grow_with_the_documents():
+    rng = random.Random(5)
+    few = {n: rng.randint(1, 1000) for n in range(1, 4097)}
+    assert len(bestfit.plan({n: c * 10**9 for n, c in few.items()}, 4096)) < 4 * 4096
+
+
+def test_ids_are_the_named_librarys(spark, sf_dir, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert all(own_ids(t) == library_ids(t) for t in texts)
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x180)] + list("'stredvml ABC  \n’…́İΣς日😀 \x1c") + ["<|endoftext|>", " ", "'s", "'S", "12", "l'été", "ÉCOLE"] * 5
+    monkeypatch.setattr(bestfit, "SLICE", 25)
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 70)))
+        assert own_ids(text) == library_ids(text), text
+
+
+@pytest.mark.parametrize("unit", [" ", "\t", "\xa0", "a", "1", ".", "é", "日", "ab ", "'s"])
+def test_ids_of_long_runs(unit):
+    text = unit * (300_000 // len(unit))
+    assert own_ids(text) == library_ids(text)
+
+
+def test_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(bestfit, "WORDS", 3)
+    text = "one two, three four. five six one two"
+    assert own_ids(text) == library_ids(text)
+    assert len(bestfit._encoder(bestfit.vocabulary_path()).chunks) <= 3
+
+
+def check_packed(rows, texts, capacity):
+    """Every piece is right and in one place; returns the rooms left."""
+    want = Counter()
+    for doc_id, text in texts:
+        ids = library_ids(text)
+        for k, at in enumerate(range(0, len(ids), capacity)):
+            piece = ids[at : at + capacity]
+            want[doc_id, k, at, len(piece), zlib.crc32(np.array(piece, dtype="<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    rooms = []
+    for spans in by_sequence.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity
+        rooms.append(capacity - at)
+    return sorted(rooms)
+
+
+@pytest.mark.parametrize("capacity", [4096, 64, 1])
+def test_best_fit_packing(spark, odd_docs, capacity):
+    texts = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
+    if capacity == 1:
+        texts = [(d, t) for d, t in texts if len(t or "") < 200]
+    rows = bestfit.pack_best_fit(odd_docs.where("length(coalesce(text, '')) < 200") if capacity == 1 else odd_docs, capacity).collect()
+    rooms = check_packed(rows, texts, capacity)
+    assert rooms == plain_best_fit([r.length for r in rows], capacity)
+
+
+def test_best_fit_on_the_given_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = bestfit.op12_best_fit_packing(spark, sf_dir).collect()
+    rooms = check_packed(rows, [tuple(r) for r in docs.select("doc_id", "text").collect()], 4096)
+    assert len(rooms) == -(-sum(r.length for r in rows) // 4096)  # no packing has fewer
+    # Another split into tasks gives the same pieces and the same rooms.
+    assert rooms == sorted(check_packed(bestfit.pack_best_fit(docs.repartition(7)).collect(), [tuple(r) for r in docs.select("doc_id", "text").collect()], 4096))
+
+
+# --- divergence -------------------------------------------------------------------
+
+
+def plain_audit(docs, min_docs, k):
+    tokens = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) for text, lang, source in docs]
+    out = []
+    for lang in {t[0] for t in tokens}:
+        own = [t for t in tokens if t[0] == lang]
+        held = Counter(w for _, _, words in own for w in set(words))
+        kept = [w for w, n in held.items() if n >= min_docs]
+        counts = defaultdict(Counter)
+        for _, source, words in own:
+            counts[source].update(words)
+            counts[None].update(words)
+        p = {}
+        for g in counts:
+            n = sum(counts[g][w] for w in kept)
+            p[g] = {w: 1 + 1_000_000_000 * (counts[g][w] + 5) // (n + 5 * len(kept)) for w in kept}
+        for g in (s for s in counts if s is not None):
+            pairs = [(sum(abs(p[g][w] - p[t][w]) for w in kept), t) for t in counts if t is not None and t != g]
+            used = [(p[g][w] - p[None][w], w) for w in kept if counts[g][w] and p[g][w] > p[None][w]]
+            for part, items, limit in (("pair", pairs, None), ("term", used, k)):
+                items.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, g, part, item, value, r + 1) for r, (value, item) in enumerate(items[:limit])]
+    return sorted(out)
+
+
+def odd_texts(seed, n):
+    rng = random.Random(seed)
+    words = ["the", "The", "THE", "été", "ÉTÉ", "straße", "日本", "x1y", "a_b", "co-op", *(f"w{c}" for c in "abcdefghijklmnop"), *(a + b for a in "qrstuv" for b in "abcdef")]
+    rows = []
+    for _ in range(n):
+        lang, source = rng.choice(["en", "en", "fr", None, "xx"]), rng.choice(["a", "a", "a", "é", None, "b", "B", "c"])
+        lean = words[zlib.crc32(f"{lang} {source} {seed}".encode()) % 7 :: 3]
+        rows.append((" ".join(rng.choice(lean if rng.random() < 0.4 else words) for _ in range(rng.randint(0, 30))), lang, source))
+    return rows + [(None, "en", "none"), ("", None, None), ("1 2 3", "fr", "digits"), ("lonely", "zz", "one"), ("word " * 50_000, "en", "a"), rows[0], rows[0]]
+
+
+@pytest.mark.parametrize("seed, min_docs, k", [(1, 5, 50), (2, 3, 4), (3, 40, 50), (4, 10**6, 5), (5, 1, 7)])
+def test_divergence_against_plain_counts(spark, monkeypatch, seed, min_docs, k):
+    if seed == 2:
+        monkeypatch.setattr(divergence, "HELD", 40)
+        monkeypatch.setattr(divergence, "PAIRS", 4)
+    docs = odd_texts(seed, 400)
+    df = spark.createDataFrame(docs, "text string, lang string, source string").withColumns({"n": F.lit("x"), "p": F.lit("x"), "docs": F.lit("x")}).repartition(4)
+    got = sorted(map(tuple, divergence.audit(df, min_docs, k).collect()))
+    assert got == plain_audit(docs, min_docs, k)
+
+
+def test_bounds_rule_buckets_out(spark, sf_dir, monkeypatch):
+    """The search joins part of the terms only, and finds what sorting all of them finds."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("lang", F.lit("all"))
+    posts, _ = divergence.postings(docs, 5)
+    evaluated, before = [], divergence.bounded
+    monkeypatch.setattr(divergence, "bounded", lambda df: evaluated.append(df) or before(df))
+    got = sorted(map(tuple, divergence.top_terms(posts, 3).select("source", "term", "f", "rank").collect()))
+    by_source = defaultdict(list)
+    for r in posts.collect():
+        if r.p > r.q:
+            by_source[r.source].append((-(r.p - r.q), r.term.encode(), r.term))
+    assert got == sorted((s, t, -f, n + 1) for s, own in by_source.items() for n, (f, _, t) in enumerate(sorted(own)[:3]))
+    picked = [df for df in evaluated if "bucket" in df.columns]
+    joined = sum(posts.join(df, ["lang", "source", "bucket"]).count() for df in picked)
+    assert 0 < joined < posts.count() / 2
+
+
+def test_one_term_of_very_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "PAIRS", 1000)
+    docs = [("alpha " * (n % 7 + 1) + "beta " * (n % 3), "en", f"s{n:03d}") for n in range(150)]
+    got = sorted(map(tuple, divergence.audit(spark.createDataFrame(docs, "text string, lang string, source string"), 2, 5).collect()))
+    assert got == plain_audit(docs, 2, 5)
