@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -60,12 +61,32 @@ def _encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: White space as the pattern of the vocabulary knows it, in runs that are too long for a pattern with a look-ahead.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def _parts(text: str, encoder) -> Iterator[np.ndarray]:
+    """Ids of a text, part by part.
+
+    A long run of white space is one word of the pattern: all of it where the text
+    or a special string ends it, all but its last character where something else follows. So it
+    is encoded by itself, and what stands before and after it as a text of its own.
+    """
+    at = 0
+    for run in _RUN.finditer(text):
+        end = run.end()
+        if end < len(text) and not text.startswith(tuple(encoder.special_tokens_set), end):
+            end -= 1
+        yield encoder.encode_to_numpy(text[at : run.start()], allowed_special="all")
+        yield np.array(encoder._encode_single_piece(text[run.start() : end]), dtype="<u4")
+        at = end
+    yield encoder.encode_to_numpy(text[at:], allowed_special="all")
+
+
 def encode(text: str | None, path: str) -> np.ndarray:
     """Ids of the whole text, then the end id."""
-    ids = _encoder(path).encode_to_numpy(text, allowed_special="all") if text else []
-    out = np.empty(len(ids) + 1, dtype="<u4")
-    out[:-1], out[-1] = ids, END_ID
-    return out
+    parts = list(_parts(text, _encoder(path))) if text else []
+    return np.concatenate([*parts, [END_ID]]).astype("<u4")
 
 
 def cuts(n: int, capacity: int, trims: tuple[int, ...] = TRIMS) -> list[tuple[int, int]]:

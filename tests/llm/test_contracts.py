@@ -281,6 +281,35 @@ def test_ids_are_those_of_the_named_tokenizer(spark):
         assert packing.encode(text, path).tolist() == [*slow.encode(text, add_special_tokens=False).ids, 1]
 
 
+@pytest.mark.parametrize("unit", [" ", "\t", "\n", "\xa0", "\u3000", " \n"])
+def test_a_million_spaces_pack_with_the_named_librarys_ids(unit):
+    from tokenizers import Tokenizer
+
+    named = Tokenizer.from_file(packing.vocabulary_path())
+    run = unit * (1_000_000 // len(unit))
+    for text in (run, "x" + run + "y", run + "!", "a " + run, "a" + run + "<|endoftext|>b"):
+        assert packing.encode(text, packing.vocabulary_path())[:-1].tolist() == named.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+def test_short_cuts_of_runs_change_no_id(monkeypatch):
+    """Runs cut from three characters on, so that every kind of neighbour comes up."""
+    from tokenizers import Tokenizer
+
+    named = Tokenizer.from_file(packing.vocabulary_path())
+    monkeypatch.setattr(packing, "_RUN", re.compile(packing._RUN.pattern.replace("10000", "3")))
+    rng = np.random.default_rng(3)
+    letters = [*"ab1.' \t\n\xa0\x1c\x85 é日", *" " * 6, "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters, rng.integers(0, 30)))
+        assert packing.encode(text, packing.vocabulary_path())[:-1].tolist() == named.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_text_of_spaces_packs_beside_others(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000 + "x"), (2, "an ordinary text")], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {1: 1_000_002, 2: 4} and sum(r.length for r in rows) == 1_000_006
+
+
 # --- language -----------------------------------------------------------------------
 
 
