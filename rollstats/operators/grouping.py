@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -10,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import INF, feature_proportion
-from ..functions.storage import stored
+from ..functions.storage import fresh_path, stored
 from .components import components
+from .ordered import running_total
 
 
 def nearest_two(queries: DataFrame, others: DataFrame) -> DataFrame:
@@ -113,18 +116,37 @@ def best_match(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-#: Matches of a connected set of items that one task decides in order; larger sets are decided in rounds.
+#: Matches that one task decides in order: a connected set's, or a block's of a larger set.
 SET_EDGES = 200_000
 
 
+def _decided_in_order(key: str, kind: str, edges: DataFrame) -> DataFrame:
+    """``(item, leader)`` of each group's items in order, all ``edges(item, other)`` of a group in one task.
+
+    An ``other`` that is no item of the group is a leader.  An item without a match among
+    the leaders is one itself; an ``other`` that is the item itself only names it.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        leads, out = set(g["other"]) - set(g["item"]), []
+        for item, pairs in groupby(sorted(zip(g["item"].tolist(), g["other"].tolist())), key=itemgetter(0)):
+            # Others come in order, so the first leader is the least.
+            lead = next((o for _, o in pairs if o in leads), item)
+            if lead == item:
+                leads.add(item)
+            out.append((item, lead))
+        return pd.DataFrame(out, columns=["item", "leader"])
+
+    return edges.groupBy(key).applyInPandas(run, f"item {kind}, leader {kind}")
+
+
 def leaders(items: DataFrame, matches: DataFrame, set_edges: int = SET_EDGES) -> DataFrame:
     """Greedy leader clustering: ``(item, leader)``.
 
     In ascending order each item joins the first leader it matches, or becomes a
     leader.  ``matches(item, other)`` lists the smaller items it matches.  Connected
     sets of items do not depend on each other: those of up to ``set_edges`` matches are
-    decided in order, many a task, however long their chains.  Larger ones are decided in
-    parallel rounds (see :func:`_in_rounds`).
+    decided in order, many a task.  Larger ones are decided block by block (see :func:`_in_blocks`).
     """
     edges = stored(matches.where(F.col("other") < F.col("item")).select("item", "other").distinct())
     parts = components(edges.select(F.col("item").alias("a"), F.col("other").alias("b")))
@@ -135,45 +157,51 @@ def leaders(items: DataFrame, matches: DataFrame, set_edges: int = SET_EDGES) ->
     small = placed.join(large, "component", "left_anti") if some else placed
     buckets = max(1, small.count() // set_edges)
     kind = dict(edges.dtypes)["item"]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        leads, out = set(g["other"]) - set(g["item"]), []
-        for item, others in g.sort_values("item").groupby("item")["other"]:
-            if known := [o for o in others if o in leads]:
-                out.append((item, min(known)))
-            else:
-                leads.add(item)
-        return pd.DataFrame(out, columns=["item", "leader"])
-
-    joined = small.groupBy(F.pmod(F.xxhash64("component"), F.lit(buckets))).applyInPandas(run, f"item {kind}, leader {kind}")
+    dealt = small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    joined = _decided_in_order("bucket", kind, dealt).where("item != leader")
     if some:
-        joined = joined.union(_in_rounds(stored(placed.join(large, "component", "left_semi").select("item", "other"))))
+        joined = joined.union(_in_blocks(placed.join(large, "component", "left_semi"), kind, set_edges).where("item != leader"))
     joined = stored(joined)
     alone = items.select("item").distinct().join(joined.select("item"), "item", "left_anti")
     return joined.union(alone.select("item", F.col("item").alias("leader")))
 
 
-def _in_rounds(edges: DataFrame) -> DataFrame:
-    """``(item, leader)`` of the items that join a leader.
+def _in_blocks(edges: DataFrame, kind: str, set_edges: int) -> DataFrame:
+    """``(item, leader)`` of the items of large sets, ``edges(component, item, other)``.
 
-    An item is a leader exactly if no smaller match is one, and is decided once all
-    smaller matches are, or once one is a leader: items are decided in parallel
-    rounds, as many as the longest chain of dependent decisions, each a join and an aggregation
-    with state in shared storage.
+    A set's items are cut in order into blocks of about ``set_edges`` items and matches.  Round by round, the next block
+    of every set is decided: an item that matches leaders of earlier blocks joins the first of them, and the
+    rest, which depend on each other only, are decided in order in one task a set.  There are as many
+    rounds as blocks, however long the chains of dependent decisions.  A block is read from its own files, and
+    the leaders of earlier rounds are looked up by its matches: a bounded table, sent to them where they lie.
     """
-    open_edges = edges
-    first = edges.select(F.col("other").alias("item")).distinct().join(edges.select("item").distinct(), "item", "left_anti")
-    state = stored(first.withColumn("leads", F.lit(True)))
-    while open_edges.limit(1).count():
-        known = open_edges.join(state.select(F.col("item").alias("other"), "leads"), "other", "left")
-        rank = known.groupBy("item").agg(
-            F.max(F.coalesce("leads", F.lit(False))).alias("joins"), F.min(F.col("leads").isNotNull()).alias("all_known")
-        )
-        new = stored(rank.where(F.col("joins") | F.col("all_known")).select("item", (~F.col("joins")).alias("leads")))
-        state = stored(state.union(new))
-        open_edges = stored(open_edges.join(new, "item", "left_anti"))
-    lead = state.where("leads").select(F.col("item").alias("other"))
-    return edges.join(state.where(~F.col("leads")), "item").join(lead, "other").groupBy("item").agg(F.min("other").alias("leader"))
+    spark = edges.sparkSession
+    # Every item has a row of its own, matches or not: it counts in a block, and is decided in its turn.
+    own = edges.select("component", "item").union(edges.select("component", "other")).distinct()
+    rows = edges.union(own.select("component", "item", F.col("item").alias("other")))
+    counted = rows.groupBy("component", "item").agg(F.count(F.lit(1)).alias("n"))
+    blocks = running_total(counted, ["component"], ["item"], F.col("n"), "before")
+    blocks = stored(blocks.select("item", F.floor(F.col("before") / set_edges).alias("block")))
+    cut = rows.join(blocks, "item").join(blocks.select(F.col("item").alias("other"), F.col("block").alias("other_block")), "other")
+    at, done = fresh_path(spark), fresh_path(spark)
+    cut_schema = cut.drop("block").schema
+    cut.write.partitionBy("block").parquet(at)
+    schema = f"item {kind}, leader {kind}"
+    spark.createDataFrame([], schema).write.parquet(done)
+    rounds = blocks.groupBy("block").agg(F.max("block")).orderBy("block").select("block").collect()  # a number a round
+    for (block,) in rounds:
+        own = spark.read.schema(cut_schema).parquet(f"{at}/block={block}")
+        leads = spark.read.schema(schema).parquet(done).where("item = leader").select(F.col("leader").alias("other"))
+        sought = own.where(F.col("other_block") < block).select("other").distinct()
+        if sought.limit(set_edges + 1).count() <= set_edges:
+            sought = F.broadcast(sought)
+        known = stored(leads.join(sought, "other", "left_semi"))
+        outside = stored(own.join(known, "other").groupBy("item").agg(F.min("other").alias("leader")))
+        # Only matches inside the block are still open, and not those with items that have joined.
+        left = own.where(F.col("other_block") == block).join(outside, "item", "left_anti")
+        rest = left.join(outside.select(F.col("item").alias("other")), "other", "left_anti").select("component", "item", "other")
+        outside.union(_decided_in_order("component", kind, rest)).write.mode("append").parquet(done)
+    return spark.read.schema(schema).parquet(done)
 
 
 def split_small(groups: DataFrame) -> DataFrame:

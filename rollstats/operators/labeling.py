@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.storage import stored
+from .ordered import running_total
 
 
 def assign_labels(groups: DataFrame, labels: DataFrame, repeat: int | None = None) -> DataFrame:
@@ -41,21 +40,12 @@ def label_sequence(labelled: DataFrame, die_col: str | None = None) -> DataFrame
     """``(seq, label)``: labels in the order of files, ties by label; a file under two labels rolls twice.
 
     Per die if ``die_col`` names a column.  Rows are sorted over all tasks, and numbered
-    range by range from the number of rows in the ranges before it: no task needs a whole die.
+    from the number of rows before them: no task needs a whole die.  ``seq`` is a long.
     """
     keys = [die_col] if die_col else []
     pairs = labelled.select(*keys, "label", "file").distinct()
-    # Written once: the ranges' numbers must be the same in every later job.
-    ranged = stored(pairs.repartitionByRange(*keys, "file", "label").withColumn("range", F.spark_partition_id()))
-    sizes = ranged.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
-    starts = sizes.select(*(F.col(c).alias(f"of_{c}") for c in (*keys, "range")), start)  # a row a range and die
-    within = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("file", "label"))
-    # A null die joins like any other.
-    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*keys, "range")]
-    numbered = ranged.withColumn("within", within).join(starts, same)
-    return numbered.select(*keys, (F.col("start") + F.col("within")).cast("int").alias("seq"), "label")
+    before = running_total(pairs, keys, ["file", "label"], F.lit(1).cast("long"), "before")
+    return before.select(*keys, (F.col("before") + 1).alias("seq"), "label")
 
 
 def skip_existing(files: DataFrame, done: DataFrame, force: bool = False, number: int | None = None) -> DataFrame:

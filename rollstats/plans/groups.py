@@ -53,7 +53,7 @@ def missing_labels(spark, sf_dir):
 
 
 @query(
-    _LABELS + "SELECT group_idx, CAST(row_number() OVER (PARTITION BY group_idx ORDER BY file, label) AS INTEGER) AS seq, label FROM (SELECT group_idx, file, label FROM l UNION SELECT group_idx, file, 7 FROM l WHERE label = 6)",
+    _LABELS + "SELECT group_idx, row_number() OVER (PARTITION BY group_idx ORDER BY file, label) AS seq, label FROM (SELECT group_idx, file, label FROM l UNION SELECT group_idx, file, 7 FROM l WHERE label = 6)",
     "grouped_files",
 )
 def label_sequence(spark, sf_dir):
@@ -143,8 +143,7 @@ def _same_face(spark, sf_dir) -> DataFrame:
     return pairs.select(F.col("desc_id").alias("item"), "other")
 
 
-@query(
-    f""", e AS (SELECT a.desc_id AS item, list(b.desc_id) AS others FROM descriptors a JOIN descriptors b ON a.image = b.image AND b.desc_id < a.desc_id
+_LEADERS = f""", e AS (SELECT a.desc_id AS item, list(b.desc_id) AS others FROM descriptors a JOIN descriptors b ON a.image = b.image AND b.desc_id < a.desc_id
       AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {LEADER_BITS} GROUP BY a.desc_id),
     o AS (SELECT desc_id AS item, coalesce(others, []) AS others, row_number() OVER (ORDER BY desc_id) AS k FROM descriptors LEFT JOIN e ON item = desc_id),
     w AS (WITH RECURSIVE run(k, item, leader, heads) AS (
@@ -153,14 +152,22 @@ def _same_face(spark, sf_dir) -> DataFrame:
         SELECT o.k, o.item, coalesce(list_min(list_intersect(heads, others)), o.item), CASE WHEN len(list_intersect(heads, others)) > 0 THEN heads ELSE list_append(heads, o.item) END
         FROM run JOIN o ON o.k = run.k + 1)
       SELECT item, leader FROM run WHERE item IS NOT NULL)
-    SELECT item, leader FROM w""",
-    "descriptors",
-)
+    SELECT item, leader FROM w"""
+
+
+@query(_LEADERS, "descriptors")
 def leader_clusters(spark, sf_dir):
     items = descriptors(spark, sf_dir).select(F.col("desc_id").alias("item"))
     return grouping.leaders(items, _same_face(spark, sf_dir))
 
 
+@query(_LEADERS, "descriptors")
+def leader_blocks(spark, sf_dir):
+    """The same clusters, with every connected set of more than a few hundred matches cut into blocks."""
+    items = descriptors(spark, sf_dir).select(F.col("desc_id").alias("item"))
+    return grouping.leaders(items, _same_face(spark, sf_dir), set_edges=400)
+
+
 _CANDIDATES = """, c AS (SELECT l_orderkey AS item, l_partkey AS leader, l_linenumber * 11 AS inliers, l_tax * 100 AS scale, CAST(trunc(l_quantity) AS INTEGER) % 7 AS fa,
   CAST(l_suppkey % 5 AS INTEGER) AS fb FROM lineitem),
 f AS (SELECT *, CASE WHEN fa = 0 OR fb = 0 THEN CAST('inf' AS DOUBLE) ELSE greatest(fa / fb, fb / fa) END AS proportion FROM c)"""

@@ -361,3 +361,54 @@ def test_leaders_on_a_long_chain_and_on_large_sets(spark):
     few = spark.createDataFrame([(k,) for k in range(24)], "item long")
     got = dict(map(tuple, grouping.leaders(few, short, set_edges=5).collect()))
     assert got == {**{k: k - k % 2 for k in range(12)}, **{k: k for k in range(12, 24)}, 21: 20, 22: 20}
+
+
+def plain_leaders(items, matches):
+    """The loop: each item in order joins the first leader it matches."""
+    of, heads = {}, set()
+    by_item = {}
+    for i, j in matches:
+        by_item.setdefault(i, []).append(j)
+    for i in sorted(items):
+        of[i] = min((j for j in by_item.get(i, ()) if j in heads), default=i)
+        if of[i] == i:
+            heads.add(i)
+    return of
+
+
+def test_a_chain_of_300_000_items_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 300_000, []
+    decide = grouping._decided_in_order
+    monkeypatch.setattr(grouping, "_decided_in_order", lambda *a: rounds.append(a[0]) or decide(*a))
+    ids = spark.range(n).select(F.col("id").alias("item"))
+    got = grouping.leaders(ids, ids.where("item > 0").select("item", (F.col("item") - 1).alias("other")))
+    assert got.where(F.col("leader") != F.col("item") - F.col("item") % 2).isEmpty() and got.count() == n
+    assert rounds.count("component") == 3  # 300,000 items and 299,999 matches in blocks of 200,000
+
+
+@pytest.mark.parametrize("seed, kind", [(1, "long"), (2, "string"), (3, "long")])
+def test_leaders_in_blocks_equal_the_loop(spark, seed, kind):
+    rng = random.Random(seed)
+    name = (lambda k: f"f{k:04}") if kind == "string" else (lambda k: k)
+    n = 240
+    # Random matches, a hub that most items match, a hub that matches most items, and a second set.
+    match = {(i, j) for i in range(n) for j in range(i) if rng.random() < (0.03 if seed < 3 else 0.2)}
+    match |= {(i, 7) for i in range(8, 120) if rng.random() < 0.5} | {(n - 1, j) for j in range(n - 1) if rng.random() < 0.6} | {(i, i - 1) for i in range(1001, 1060)}
+    items = [*range(n), *range(1000, 1062)]
+    want = {name(k): name(v) for k, v in plain_leaders(items, match).items()}
+    frame = spark.createDataFrame([(name(k),) for k in items], f"item {kind}")
+    edges = spark.createDataFrame([(name(i), name(j)) for i, j in match], f"item {kind}, other {kind}")
+    assert dict(map(tuple, grouping.leaders(frame, edges, set_edges=len(match) // 6).collect())) == want
+
+
+def test_running_totals_over_ranges(spark):
+    from rollstats.operators.ordered import running_total
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), k, rng.randint(-3, 9)) for k in range(5000)]
+    got = running_total(spark.createDataFrame(rows, "die string, k long, v long").repartition(6), ["die"], ["k"], F.col("v"), "before").collect()
+    at, want = {}, {}
+    for die, k, v in rows:
+        want[k] = at.get(die, 0)
+        at[die] = want[k] + v
+    assert {r.k: r.before for r in got} == want
