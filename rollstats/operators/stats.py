@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_survival
+from ..functions.storage import stored
 from .rolls import first_ranked, label_counts, normalized, relative
 
 
@@ -38,24 +40,66 @@ def chi_square(rolls: DataFrame) -> DataFrame:
     return out.withColumn("p", chi2_survival(F.col("statistic"), F.col("dof")))
 
 
+#: Sides that are drawn together: resamples times so many numbers are in memory at once.
+BLOCK_SIDES, BLOCK_NUMBERS = 512, 1 << 21
+
+
+def _two_to(power: Column | str) -> Column:
+    return F.pow(F.lit(2.0), power).cast("long")
+
+
+def draw_blocks(counts: DataFrame, resamples: int) -> DataFrame:
+    """``(die_id, side, n, block, path)``: each die's sides dealt by a hash into a power of two of blocks.
+
+    ``path`` leads from all sides of the die to the block: one step a halving, ``(level, node, here, both)``, with the rolls of
+    the half that the block is in and those of both halves.
+    """
+    most = max(1, min(BLOCK_SIDES, BLOCK_NUMBERS // resamples))
+    levels = F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / most))).cast("int")
+    depth = counts.groupBy("die_id").agg(levels.alias("depth"))
+    dealt = stored(counts.join(depth, "die_id").withColumn("block", F.pmod(F.xxhash64("side"), _two_to("depth"))))
+    sums = dealt.groupBy("die_id", "block", "depth").agg(F.sum("n").alias("n"))
+    # A node of a level holds the blocks that agree in that many low bits.
+    steps = sums.select("die_id", "block", "n", F.explode(F.sequence(F.lit(0), "depth")).alias("level"))
+    nodes = steps.withColumn("node", F.pmod("block", _two_to("level"))).groupBy("die_id", "level", "node").agg(F.sum("n").alias("here"))
+    above = nodes.select("die_id", (F.col("level") + 1).alias("level"), F.col("node").alias("parent"), F.col("here").alias("both"))
+    halves = nodes.where("level > 0").withColumn("parent", F.pmod("node", _two_to(F.col("level") - 1))).join(above, ["die_id", "level", "parent"])
+    blocks = sums.where("depth > 0").select("die_id", "block", F.explode(F.sequence(F.lit(1), "depth")).alias("level"))
+    blocks = blocks.withColumn("node", F.pmod("block", _two_to("level"))).join(halves, ["die_id", "level", "node"])
+    paths = blocks.groupBy("die_id", "block").agg(F.array_sort(F.collect_list(F.struct("level", "node", "here", "both"))).alias("path"))
+    return dealt.select("die_id", "side", "n", "block").join(paths, ["die_id", "block"], "left")
+
+
 def bootstrap(rolls: DataFrame, resamples: int = 1000, seed: int = 1) -> DataFrame:
     """``(die_id, side, p, ci_low, ci_high)``: 5th and 95th percentile over resamples.
 
     n draws with replacement are one multinomial draw of the counts, so a
-    resample costs the sides and not the rolls.  Seeded by die, never by partition.
+    resample costs the sides and not the rolls.  A die's sides lie in blocks, a group of its own each.  How many draws of a
+    resample fall into a block follows from halving: of a node's draws, a binomial number falls into its first
+    half.  A node's numbers are seeded by die and node, so every block that passes it draws
+    the same, and the result does not depend on how blocks are spread over tasks.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("side")
-        counts = g["n"].to_numpy()
-        total = counts.sum()
-        key = [ord(c) for c in str(g["die_id"].iloc[0])]
-        draws = np.random.default_rng([seed, *key]).multinomial(total, counts / total, size=resamples)
-        low, high = np.percentile(draws, [5, 95], axis=0) / total
+        counts, die = g["n"].to_numpy(), [ord(c) for c in str(g["die_id"].iloc[0])]
+        path = g["path"].iloc[0]
+        path = [] if path is None else list(path)
+        total = int(path[0]["both"]) if path else int(counts.sum())
+        draws = np.full(resamples, total)
+        for step in path:
+            level, node = int(step["level"]), int(step["node"])
+            second = node >> (level - 1)  # 1 in the second half of the node above
+            first = step["both"] - step["here"] if second else step["here"]
+            numbers = np.random.default_rng([seed, level, node % (1 << (level - 1)), *die]).binomial(draws, first / step["both"])
+            draws = draws - numbers if second else numbers
+        rng = np.random.default_rng([seed, 0, int(g["block"].iloc[0]), *die])
+        low, high = np.percentile(rng.multinomial(draws, counts / counts.sum()), [5, 95], axis=0) / total
         return pd.DataFrame({"die_id": g["die_id"], "side": g["side"], "p": counts / total, "ci_low": low, "ci_high": high})
 
-    counts = label_counts(rolls).select(F.col("die_id").cast("string"), F.col("side").cast("int"), "n")
-    return counts.groupBy("die_id").applyInPandas(run, "die_id string, side int, p double, ci_low double, ci_high double")
+    counts = stored(label_counts(rolls).select(F.col("die_id").cast("string"), F.col("side").cast("int"), "n"))
+    blocks = draw_blocks(counts, resamples)
+    return blocks.groupBy("die_id", "block").applyInPandas(run, "die_id string, side int, p double, ci_low double, ci_high double")
 
 
 def hash_number(*parts: Column | str) -> Column:
@@ -91,16 +135,53 @@ def bootstrap_deterministic(rolls: DataFrame, resamples: int = 20, seed: str = "
     )
 
 
+#: Rows that a task holds before it passes them on.
+HELD = 1 << 18
+
+
+def smallest_hashes(rolls: DataFrame, sizes: list[int], seed: str) -> DataFrame:
+    """``(die_id, size, h, seq, side)``: of each die and size the ``size`` rolls with the smallest hashes, and few more.
+
+    A task keeps a die's smallest so far for each size, and passes on no more of them: at most ``size``
+    rows a die, size and task reach the shuffle, unless a task sees more dice than it can
+    hold.  Such states merge in any order; whoever reads them takes the smallest again.
+    """
+    hashes = F.array(*(hash_number(seed, str(s), F.col("seq").cast("string")) for s in sizes))
+    kinds = dict(rolls.dtypes)
+
+    def cut(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["die_id", "size", "h", "seq"], kind="stable")
+        return g[g.groupby(["die_id", "size"], sort=False, dropna=False).cumcount() < g["size"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = limit = 0
+        for b in batches:
+            h = np.stack(b["h"].to_numpy()) if len(b) else np.zeros((0, len(sizes)))
+            for k, size in enumerate(sizes):
+                held.append(cut(b[["die_id", "seq", "side"]].assign(size=size, h=h[:, k])))
+                rows += len(held[-1])
+            if rows > max(HELD, 2 * limit):
+                held = [cut(pd.concat(held))]
+                rows = limit = len(held[0])
+                if rows > 4 * HELD:
+                    yield held[0]
+                    held, rows, limit = [], 0, 0
+        if held:
+            yield cut(pd.concat(held))
+
+    schema = f"die_id {kinds['die_id']}, seq {kinds['seq']}, side {kinds['side']}, size int, h long"
+    return rolls.select("die_id", "seq", "side", hashes.alias("h")).mapInPandas(run, schema)
+
+
 def subsample_histogram(rolls: DataFrame, sizes: list[int], seed: str = "7") -> DataFrame:
     """Normalised histograms of random subsamples without replacement: ``(die_id, size, side, freq)``.
 
-    Each size draws independently, the rolls with the smallest hashes.  Sides of the
+    Each size draws independently, the rolls with the smallest hashes (see :func:`smallest_hashes`).  Sides of the
     die that a subsample misses have 0; sizes beyond a die's rolls are left out.
     """
-    copies = rolls.withColumn("size", F.explode(F.array(*(F.lit(s) for s in sizes))))
-    order = [hash_number(seed, F.col("size").cast("string"), F.col("seq").cast("string")), "seq"]
     enough = rolls.groupBy("die_id").agg(F.count(F.lit(1)).alias("rolls"), F.sort_array(F.collect_set("side")).alias("sides"))
-    picked = first_ranked(copies, ["die_id", "size"], order, max(sizes), "seq").where(F.col("rank") <= F.col("size"))
+    picked = first_ranked(smallest_hashes(rolls, sizes, seed), ["die_id", "size"], ["h", "seq"], max(sizes), "seq").where(F.col("rank") <= F.col("size"))
     counts = picked.groupBy("die_id", "size").agg(F.count(F.lit(1)).alias("m"), F.collect_list("side").alias("got"))
     counts = counts.join(enough, "die_id").where(F.col("size") <= F.col("rolls"))
     each = counts.select("die_id", "size", "m", "got", F.explode("sides").alias("side"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,18 @@ def query(sql: str | None = None, *views: str):
     return add
 
 
+@contextmanager
+def split_size(spark, size: int) -> Iterator[None]:
+    """Files are read in splits of ``size`` bytes meanwhile, so that small files have several, too."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _place(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -44,7 +58,17 @@ def labels_round_trip(spark, sf_dir):
     at = _place(spark, "labels")
     sequence = rolls_by_user(spark, sf_dir).select("die_id", "seq", F.col("side").alias("label"))
     sinks.write_labels(sequence, at, "labels from a query")
-    return files.read_labels(spark, f"{at}/*/*.txt").withColumn("die_id", F.regexp_replace("die_id", "^die_id=", ""))
+    return files.read_labels(spark, f"{at}/*/labels.csv").withColumn("die_id", F.regexp_replace("die_id", "^die_id=", ""))
+
+
+@query("SELECT 'all' AS die_id, row_number() OVER (ORDER BY seq) AS seq, CAST(side AS INTEGER) AS side FROM rolls_by_user", "rolls_by_user")
+def labels_one_die(spark, sf_dir):
+    """All events as one die: one file, written from sorted ranges and read in splits."""
+    at = _place(spark, "labels")
+    sequence = rolls_by_user(spark, sf_dir).select(F.lit("all").alias("die_id"), "seq", F.col("side").alias("label"))
+    sinks.write_labels(sequence, at, "labels from a query")
+    with split_size(spark, 4096):
+        return files.read_labels(spark, f"{at}/*/labels.csv").withColumn("die_id", F.regexp_replace("die_id", "^die_id=", ""))
 
 
 _WRITTEN = "round(p, 5) AS p, round(ci_low, 5) AS ci_low, round(ci_high, 5) AS ci_high"
@@ -73,8 +97,8 @@ def groups_round_trip(spark, sf_dir):
     member = F.row_number().over(Window.partitionBy("group_idx").orderBy("file")) - 1
     groups = f.select(F.concat(F.lit("d"), (F.col("group_idx") % 2).cast("string")).alias("die_id"), F.floor(F.col("group_idx") / 2).cast("int").alias("group_idx"), member.alias("member_idx"), "file")
     at = _place(spark, "groups")
-    sinks.groups_json(groups).write.partitionBy("die_id").text(at)
-    return files.read_groups(spark, f"{at}/*/*.txt").withColumn("die_id", F.regexp_replace("die_id", "^die_id=", ""))
+    sinks.write_groups(groups, at)
+    return files.read_group_lines(spark, f"{at}/*/summary.json").withColumn("die_id", F.regexp_replace("die_id", "^die_id=", ""))
 
 
 _INDEX = {"flags": {"title": "All flags", "names": ["a", "n"], "filenames": ["A", "N"]}, "one": {"title": "One $1 die", "filenames": ["A"], "fairValue": 0.02}}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+from ..operators.ordered import running_total
+
 HISTOGRAM = "side int, p double, ci_low double, ci_high double"
 
 
@@ -34,13 +37,38 @@ def _numbered(files: DataFrame) -> DataFrame:
     return rows.select("die_id", (F.col("pos") + 1).cast("bigint").alias("seq"), F.trim("line").cast("int").alias("side"))
 
 
+def numbered_lines(spark: SparkSession, pattern: str, keep: Column | None = None) -> DataFrame:
+    """``(die_id, at, line)``: the lines of text files in order, numbered from 0 a die; the folder is the die.
+
+    Files are read in splits, many tasks a file.  A line's number is its place in its
+    split and the lines of the splits before, by file name and offset: a running total over a
+    table of a row a split.  Only lines that pass ``keep``, a condition on ``value``, count.  Empty files
+    and files of other lines only give no rows.  Parts of one die are read in the order of their names.
+    """
+    path = F.col("_metadata.file_path")
+    lines = spark.read.text(pattern).select(_die(path).alias("die_id"), path.alias("_path"), F.col("_metadata.file_block_start").alias("_from"), F.col("value").alias("line"))
+    if keep is not None:
+        lines = lines.where(keep)
+    # Written once, so that places in splits are the same in every later job; a task's ids count its rows in order.
+    placed = stored(lines.withColumn("_id", F.monotonically_increasing_id()))
+    split = ["die_id", "_path", "_from"]
+    splits = placed.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    splits = running_total(splits, ["die_id"], ["_path", "_from"], F.col("_n"), "_before")
+    return placed.join(splits.drop("_n"), split).select("die_id", (F.col("_before") + F.col("_id") - F.col("_first")).alias("at"), "line")
+
+
 def read_labels(spark: SparkSession, pattern: str, num_labels: int | None = None) -> DataFrame:
-    """All label files that match ``pattern``, e.g. ``data/*/labels.csv``; the folder is the die.
+    """``(die_id, seq, side)`` of all label files that match ``pattern``, e.g. ``data/*/labels.csv``; the folder is the die.
 
-    A file is one row while it is read, so the order of its lines is kept.
+    The same rows as :func:`parse_labels` gives for whole files, for files of any size.
     """
-    files = spark.read.text(pattern, wholetext=True).select(_die(F.col("_metadata.file_path")).alias("die_id"), "value")
-    return parse_labels(files, num_labels)
+    lines = numbered_lines(spark, pattern, ~F.col("line").startswith("#"))
+    if num_labels is not None and num_labels >= 0:
+        lines = lines.where(F.col("at") < num_labels)
+    elif num_labels is not None:
+        sizes = lines.groupBy("die_id").agg((F.max("at") + 1 + num_labels).alias("_end"))
+        lines = lines.join(sizes, "die_id").where(F.col("at") < F.col("_end"))
+    return lines.select("die_id", (F.col("at") + 1).alias("seq"), F.trim("line").cast("int").alias("side"))
 
 
 def read_histograms(spark: SparkSession, pattern: str) -> DataFrame:
@@ -65,6 +93,24 @@ def read_groups(spark: SparkSession, pattern: str) -> DataFrame:
     return parse_groups(spark.read.text(pattern, wholetext=True).select(_die(F.col("_metadata.file_path")).alias("die_id"), "value"))
 
 
+def read_group_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(die_id, group_idx, member_idx, file)`` from groupings with a member a line, as the writer makes them.
+
+    A line is a name as JSON between the brackets of its group; a group's number is the number of groups that
+    begin before it, and a member's the lines since its group began.  Groups may have any number of members.
+    """
+    lines = numbered_lines(spark, pattern)
+    begins = F.col("line").startswith("[")
+    lines = lines.withColumns({"_begins": begins, "line": F.regexp_replace(F.regexp_replace("line", r"^\[+", ""), r"\]*,?$", "")})
+    lines = running_total(lines, ["die_id"], ["at"], F.col("_begins").cast("long"), "_groups")
+    lines = lines.withColumn("group_idx", F.col("_groups") + F.col("_begins").cast("long") - 1)
+    starts = lines.where("_begins").select("die_id", "group_idx", F.col("at").alias("_start"))
+    file = F.get(F.from_json(F.concat(F.lit("["), "line", F.lit("]")), "array<string>"), F.lit(0))
+    return lines.join(starts, ["die_id", "group_idx"]).select(
+        "die_id", F.col("group_idx").cast("int"), (F.col("at") - F.col("_start")).cast("int").alias("member_idx"), file.alias("file")
+    )
+
+
 def parse_groups(text: DataFrame) -> DataFrame:
     """``(die_id, group_idx, member_idx, file)`` from ``text(die_id, value)``."""
     lists = text.select("die_id", F.posexplode(F.from_json("value", "array<array<string>>")).alias("group_idx", "members"))

@@ -7,7 +7,7 @@ import json
 import re
 import string
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,16 +25,72 @@ def write_histograms(histogram: DataFrame, path: str) -> None:
     text.write.partitionBy("die_id").csv(path, header=True)
 
 
-def labels_text(sequence: DataFrame, comment: str) -> DataFrame:
-    """``(die_id, value)``: a comment line, then the labels in order; no end of line at the end."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "label")))
-    lines = F.transform(ordered, lambda x: x["label"].cast("string"))
-    return sequence.groupBy("die_id").agg(F.concat(F.lit(f"# {comment}\n"), F.array_join(lines, "\n")).alias("value"))
-
-
-def write_labels(sequence: DataFrame, path: str, comment: str) -> None:
-    """One file a die. Spark's writer ends each with a line feed, which the reader takes as no line."""
-    labels_text(sequence, comment).write.partitionBy("die_id").text(path)
+def write_labels(sequence: DataFrame, path: str, comment: str, label_file: str | None = "labels.csv") -> None:
+    """A comment line, then the labels of ``sequence(die_id, seq, label)`` in order, a die a folder.
+
+    Rows are sorted range by range over all tasks and written as parts whose names
+    sort like the ranges, so no row and no task holds a die.  With ``label_file`` a die's parts are
+    then joined to one file of that name, without a line feed at its end (see :func:`join_parts`);
+    without it they stay, and readers take a folder's parts in order.
+    """
+    first = sequence.groupBy("die_id").agg(F.min("seq").alias("seq")).select("die_id", "seq", F.lit(0).alias("_kind"), F.lit(f"# {comment}").alias("value"))
+    lines = sequence.select("die_id", "seq", F.lit(1).alias("_kind"), F.col("label").cast("string").alias("value"))
+    _write_lines(first.union(lines), ["seq", "_kind"], path, label_file)
+
+
+def _write_lines(lines: DataFrame, order: list[str], path: str, name: str | None) -> None:
+    """``lines(die_id, ..., value)`` in order, a die a folder of parts, or a file."""
+    dealt = lines.repartitionByRange("die_id", *order).sortWithinPartitions("die_id", *order)
+    dealt.select("die_id", "value").write.partitionBy("die_id").text(path)
+    if name:
+        join_parts(lines.sparkSession, path, name)
+
+
+def join_parts(spark: SparkSession, path: str, name: str) -> None:
+    """In every folder below ``path`` the parts become one file ``name``, without the last line feed.
+
+    One file is the format, and one stream writes it: parts are copied by the file system's
+    own interface in buffers of a megabyte, wherever the files are, in the order of their names.  The file gets its name when it is
+    whole, and parts go after that: a join that is broken off can be repeated.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    for folder in [f.getPath() for f in fs.listStatus(root) if f.isDirectory()]:
+        parts = sorted((f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+        parts = [f for f in parts if f.getLen()]
+        whole = jvm.org.apache.hadoop.fs.Path(folder, name)
+        open_ = jvm.org.apache.hadoop.fs.Path(folder, f"_{name}")
+        out = fs.create(open_, True)
+        for k, part in enumerate(parts):
+            source = fs.open(part.getPath())
+            # All bytes, but for the line feed at the end of the last part.
+            body = jvm.org.apache.hadoop.util.LimitInputStream(source, part.getLen() - (k == len(parts) - 1))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(body, out, 1 << 20, False)
+            source.close()
+        out.close()
+        fs.delete(whole, False)
+        fs.rename(open_, whole)
+        for part in parts:
+            fs.delete(part.getPath(), False)
+
+
+def write_groups(groups: DataFrame, path: str, group_file: str | None = "summary.json") -> None:
+    """A die's grouping as a JSON list of lists of files, a member a line: no row holds a group.
+
+    ``groups(die_id, group_idx, member_idx, file)``: members in order, the
+    representative first; indices of groups and members count from 0 without gaps.
+    """
+    ends = groups.groupBy("die_id").agg(F.max(F.struct("group_idx", "member_idx")).alias("last"))
+    sizes = groups.groupBy("die_id", "group_idx").agg(F.max("member_idx").alias("of_last"))
+    row = groups.join(ends, "die_id").join(sizes, ["die_id", "group_idx"])
+    name = F.substring(F.to_json(F.array("file")), 2, 1 << 30)  # "file"]
+    name = F.substring(name, F.lit(1), F.length(name) - 1)
+    begin = F.when((F.col("group_idx") == 0) & (F.col("member_idx") == 0), "[[").when(F.col("member_idx") == 0, "[").otherwise("")
+    whole = (F.col("group_idx") == F.col("last.group_idx")) & (F.col("member_idx") == F.col("last.member_idx"))
+    end = F.when(whole, "]]").when(F.col("member_idx") == F.col("of_last"), "],").otherwise(",")
+    lines = row.select("die_id", "group_idx", "member_idx", F.concat(begin, name, end).alias("value"))
+    _write_lines(lines, ["group_idx", "member_idx"], path, group_file)
 
 
 def groups_json(groups: DataFrame) -> DataFrame:

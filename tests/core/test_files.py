@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rollstats.sources import files, sinks
 from rollstats.streaming import live
@@ -54,9 +55,10 @@ def test_chart_index(spark, tmp_path):
 
 def test_written_labels_read_back(spark, tmp_path):
     seq = spark.createDataFrame([("d", 2, 6), ("d", 1, 4), ("e", 1, 1)], "die_id string, seq long, label int")
-    assert {r.die_id: r.value for r in sinks.labels_text(seq, "made").collect()} == {"d": "# made\n4\n6", "e": "# made\n1"}
     sinks.write_labels(seq, str(tmp_path / "out"), "made")
-    got = files.read_labels(spark, str(tmp_path / "out" / "*" / "*.txt"))
+    assert (tmp_path / "out" / "die_id=d" / "labels.csv").read_text() == "# made\n4\n6" and (tmp_path / "out" / "die_id=e" / "labels.csv").read_text() == "# made\n1"
+    assert sorted(f.name for f in (tmp_path / "out" / "die_id=d").iterdir() if f.name[0] != ".") == ["labels.csv"]
+    got = files.read_labels(spark, str(tmp_path / "out" / "*" / "labels.csv"))
     assert sorted((r.die_id, r.seq, r.side) for r in got.collect()) == [("die_id=d", 1, 4), ("die_id=d", 2, 6), ("die_id=e", 1, 1)]
 
 
@@ -117,3 +119,60 @@ def test_photo_stream_resumes(spark, tmp_path):
 def test_diameters_are_read(spark, tmp_path):
     at = put(tmp_path / "d20" / "diameters.txt", "side\t1\t2\nopp\t20\t19\nmm\t19.5\t19.6\ndd\t-.1\t0.0\npside\t1.1\t0.9\npopp\t1.0\t1.2\n\nnotes\t1")
     assert [tuple(r) for r in files.read_diameters(spark, at).orderBy("side").collect()] == [("d20", 1, 20, 19.5, -0.1, 1.1, 1.0), ("d20", 2, 19, 19.6, 0.0, 0.9, 1.2)]
+
+
+def test_a_long_label_file_is_written_from_ranges_and_read_in_splits(spark, tmp_path):
+    n = 1_000_000
+    side = lambda k: (k * 7919) % 20 + 1
+    seq = spark.range(0, n, 1, 6).select(F.when(F.col("id") % 1000 == 0, "b").otherwise("a").alias("die_id"), (n - F.col("id")).alias("seq"), ((F.col("id") * 7919) % 20 + 1).cast("int").alias("label"))
+    sinks.write_labels(seq, str(tmp_path / "out"), "made", label_file=None)
+    sinks.write_labels(seq, str(tmp_path / "one"), "made")
+    parts = [f for f in (tmp_path / "out" / "die_id=a").iterdir() if f.name.startswith("part-")]
+    assert len(parts) > 4 and max(f.stat().st_size for f in parts) < 700_000
+    text = (tmp_path / "one" / "die_id=a" / "labels.csv").read_text()
+    assert text == "# made\n" + "\n".join(str(side(n - s)) for s in range(1, n + 1) if (n - s) % 1000)
+    want = files.read_labels(spark, str(tmp_path / "one" / "*" / "labels.csv"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        split = files.read_labels(spark, str(tmp_path / "one" / "*" / "labels.csv"))
+        in_parts = files.read_labels(spark, str(tmp_path / "out" / "*" / "part-*"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plain = files.parse_labels(spark.createDataFrame([("die_id=a", text)], "die_id string, value string"))
+    assert plain.exceptAll(split.where("die_id = 'die_id=a'")).isEmpty()
+    assert want.count() == split.count() == n and want.exceptAll(split).isEmpty() and want.exceptAll(in_parts).isEmpty()
+
+
+def test_splits_and_comments(spark, tmp_path):
+    put(tmp_path / "d1" / "labels.csv", "# first\n" + "\n".join("# more" if k % 5 == 0 else str(k) for k in range(3000)) + "\n")
+    put(tmp_path / "d2" / "labels.csv", "#" * 5000)
+    put(tmp_path / "d3" / "labels.csv", "1\r\n2\r\n# x\r\n3")
+    at = str(tmp_path / "*" / "labels.csv")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+    try:
+        get = lambda **k: sorted((r.die_id, r.seq, r.side) for r in files.read_labels(spark, at, **k).collect())
+        kept = [k for k in range(3000) if k % 5]
+        assert get() == [("d1", k + 1, v) for k, v in enumerate(kept)] + [("d3", k, k) for k in (1, 2, 3)]
+        assert get(num_labels=2) == [("d1", 1, 1), ("d1", 2, 2), ("d3", 1, 1), ("d3", 2, 2)]
+        assert get(num_labels=-2398) == [("d1", 1, 1), ("d1", 2, 2)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_groupings_of_a_member_a_line(spark, tmp_path):
+    lists = {"d": [["r1", 'a "b" ],', "[c]", "é\n"], ["r2"], ["r3"] + [f"m{k}" for k in range(500)]], "e": [["only"]]}
+    rows = [(die, g, m, f) for die, groups in lists.items() for g, members in enumerate(groups) for m, f in enumerate(members)]
+    df = spark.createDataFrame(rows, "die_id string, group_idx int, member_idx int, file string").repartition(5)
+    sinks.write_groups(df, str(tmp_path / "out"))
+    for die, want in lists.items():
+        text = (tmp_path / "out" / f"die_id={die}" / "summary.json").read_text()
+        assert json.loads(text) == want and (len(want) == 1 or text.count("\n") == sum(map(len, want)) - 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = sorted(map(tuple, files.read_group_lines(spark, str(tmp_path / "out" / "*" / "summary.json")).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((f"die_id={d}", g, m, f) for d, g, m, f in rows)
+    # Any list of lists reads as before, on one line or several.
+    whole = files.read_groups(spark, str(tmp_path / "out" / "*" / "summary.json"))
+    assert sorted(map(tuple, whole.collect())) == got

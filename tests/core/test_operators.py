@@ -412,3 +412,55 @@ def test_running_totals_over_ranges(spark):
         want[k] = at.get(die, 0)
         at[die] = want[k] + v
     assert {r.k: r.before for r in got} == want
+
+
+def test_bootstrap_of_a_die_with_100_000_sides(spark):
+    """In blocks of a few hundred sides; the same numbers however the blocks are spread."""
+    sides = 100_000
+    df = spark.range(4 * sides).select(F.lit("d").alias("die_id"), (F.col("id") % sides).cast("int").alias("side"))
+    blocks = stats.draw_blocks(rolls.label_counts(df), 200)
+    sizes = [r[0] for r in blocks.groupBy("block").count().select("count").collect()]
+    assert len(sizes) == 256 and max(sizes) < 2 * sides / 256
+    got = stats.bootstrap(df, resamples=200)
+    assert got.count() == sides
+    mean = got.agg(F.avg("ci_low"), F.avg("ci_high"), F.max("p")).first()
+    # A count of 4 in 400,000 is nearly a Poisson number with mean 4: 0.949 of them are 7 at most, 0.979 are 8.
+    assert abs(mean[0] * 4 * sides - 1) < 0.1 and 7 < mean[1] * 4 * sides < 8 and mean[2] == 1 / sides
+
+
+def test_bootstrap_does_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK_SIDES", 3)
+    rng = random.Random(1)
+    df = dice(spark, a=[min(19, int(rng.expovariate(0.2))) for _ in range(2000)], b=[1] * 5, c=[1, 2] * 400)
+    one = sorted(map(tuple, stats.bootstrap(df.repartition(1)).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        other = sorted(map(tuple, stats.bootstrap(df.repartition(5, "side")).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert one == other
+    for die, side, p, low, high in one:
+        n = {"a": 2000, "b": 5, "c": 800}[die]
+        width = 1.6449 * math.sqrt(p * (1 - p) / n)
+        assert abs(low - max(0, p - width)) < 0.12 / math.sqrt(n) + 1 / n and abs(high - min(1, p + width)) < 0.12 / math.sqrt(n) + 1 / n
+
+
+def test_smallest_hashes_leave_few_rows_a_task(spark, monkeypatch):
+    """At most ``size`` rows a die, size and task come out, and the smallest are among them."""
+    df = spark.range(0, 40_000, 1, 4).select(F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 5).cast("string")).alias("die_id"), F.col("id").alias("seq"), (F.col("id") % 7).cast("int").alias("side"))
+    want = stats.subsample_histogram(df, [16, 100]).collect()
+    for held in (1 << 18, 500):
+        monkeypatch.setattr(stats, "HELD", held)
+        kept = stats.smallest_hashes(df, [16, 100], "7").withColumn("task", F.spark_partition_id())
+        most = {r["size"]: r["m"] for r in kept.groupBy("task", "die_id", "size").count().groupBy("size").agg(F.max("count").alias("m")).collect()}
+        assert most == {16: 16, 100: 100}
+        assert sorted(stats.subsample_histogram(df, [16, 100]).collect()) == sorted(want)
+    ranked = df.toPandas()
+    import hashlib
+
+    for size in (16, 100):
+        ranked["h"] = [int(hashlib.md5(f"7-{size}-{s}".encode()).hexdigest()[:8], 16) for s in ranked["seq"]]
+        first = ranked.sort_values(["h", "seq"]).groupby("die_id").head(size)
+        hot = first[first["die_id"] == "hot"]["side"]
+        got = {r.side: r.freq for r in want if r.die_id == "hot" and r["size"] == size}
+        assert all(abs(f - (hot == s).sum() * hot.nunique() / size) < 1e-9 for s, f in got.items())
