@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -404,13 +405,34 @@ def template_places(found: DataFrame, share: float = TEMPLATE_SHARE, pages: int
     return sums.where((F.col("pages") >= pages) & (F.col("shared") >= share * F.col("n"))).groupBy("host").agg(F.collect_set("place").alias("template"))
 
 
-def main_text(roles: Column, places: Column, texts: Column, shared: Column, template: Column) -> Column:
+def _fates(places: pd.Series, shared: pd.Series, template: pd.Series) -> pd.Series:
+    """What speaks against each line: 2 a place of the template, 1 the neighbour's sharing it, 0 nothing; null for a null page."""
+
+    def one(own, lines, template):
+        if own is None:
+            return None
+        fates = np.zeros(len(own), dtype=np.int32)
+        fates[np.asarray(lines, dtype=np.int64)] = 1
+        fates[np.isin(own, template)] = 2
+        return fates
+
+    return pd.Series([one(*x) for x in zip(places, shared, template)], dtype=object)
+
+
+def main_text(roles: Column, fates: Column, texts: Column) -> Column:
     """The lines that stay: of the marked main element, else, or if there is far more of it, those that are not shared."""
-    lines = F.arrays_zip(roles.alias("role"), places.alias("place"), texts.alias("text"))
-    own = F.filter(lines, lambda x, k: ~F.array_contains(template, x["place"]) & ((x["role"] == MAIN) | ~F.array_contains(shared, k)))
-    length = lambda role: F.aggregate(F.filter(own, lambda x: x["role"] == role), F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
-    beside = ~F.array_contains(roles, MAIN) | (length(PLAIN) > BESIDE * length(MAIN))
-    return F.array_join(F.transform(F.filter(own, lambda x: (x["role"] == MAIN) | beside), lambda x: x["text"]), "\n")
+    lines = F.arrays_zip(roles.alias("role"), fates.alias("fate"), texts.alias("text"))
+    own = F.filter(lines, lambda x: (F.coalesce(x["fate"], F.lit(0)) < 2) & ((x["role"] == MAIN) | (F.coalesce(x["fate"], F.lit(0)) == 0)))
+    length = lambda own, role: F.aggregate(F.filter(own, lambda x: x["role"] == role), F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+
+    def joined(x: Column) -> Column:
+        beside = ~F.array_contains(roles, MAIN) | (length(x["own"], PLAIN) > BESIDE * length(x["own"], MAIN))
+        return F.transform(F.array(F.struct(x["own"].alias("own"), beside.alias("beside"))), lambda y: F.array_join(
+            F.transform(F.filter(y["own"], lambda l: (l["role"] == MAIN) | y["beside"]), lambda l: l["text"]), "\n"
+        ))[0]
+
+    # One element arrays hold what is computed once for all lines.
+    return F.transform(F.array(F.struct(own.alias("own"))), joined)[0]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", differencing: bool = True) -> DataFrame:
@@ -430,7 +452,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         joined = parsed.join(deleted, ["host", "key"], "left").join(templates, "host", "left").withColumns({
             "shared": F.coalesce("shared", F.array().cast("array<int>")), "template": F.coalesce("template", F.array().cast("array<bigint>"))
         })
-    text = main_text(*(F.col(c) for c in ("roles", "places", "texts", "shared", "template")))
+    # Pages that lose no line are not looked through.
+    some = F.when((F.size("shared") > 0) | (F.size("template") > 0), F.col("places"))
+    fates = F.coalesce(F.pandas_udf(_fates, "array<int>")(some, F.col("shared"), F.col("template")), F.array().cast("array<int>"))
+    text = main_text(F.col("roles"), fates, F.col("texts"))
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -62,6 +62,50 @@ CONTEXT = 32
 LABELERS = ("regex", "checksum", "gazetteer", "context", "shape")
 
 
+#: Elements that are folded together, and characters of a block of text.
+FOLD, BLOCK = 256, 512
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, op, first: int) -> Column:
+    """For each element of an array of numbers, ``op`` over those before it, from ``first``.
+
+    A fold that appends to an array copies it at every step.  So chunks of FOLD elements are
+    folded, then the chunks' results, and each chunk starts from what comes before it: near linear
+    time for arrays of millions.  ``op`` is a sum or a maximum.
+    """
+    none = F.array().cast("array<int>")
+
+    def fold(of: Column, number) -> Column:
+        start = F.struct(F.lit(first).alias("at"), none.alias("out"))
+        return F.aggregate(of, start, lambda s, x: F.struct(op(s["at"], number(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def chunked(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / FOLD).cast("int")), lambda k: fold(F.slice(v, k * FOLD + 1, FOLD), lambda x: x))
+
+    def joined(chunks: Column) -> Column:
+        before = fold(chunks, lambda c: c["at"])["out"]
+        return F.flatten(F.zip_with(chunks, before, lambda c, b: F.transform(c["out"], lambda x: op(x, b))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(chunked(v), joined)).otherwise(none))
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK characters: the way to a place in a string is as long as what lies before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+
+
+def part(of: Column, at: Column, n: Column) -> Column:
+    """``n`` characters from place ``at`` on of a text in :func:`blocks`."""
+    begin = F.floor(at / BLOCK).cast("int")
+    near = F.array_join(F.slice(of, begin + 1, F.floor((at + n) / BLOCK).cast("int") - begin + 1), "")
+    return F.substring(near, at - begin * BLOCK + 1, n)
+
+
 def located(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as ``struct(start, end, m)``, in code points, end exclusive.
 
@@ -69,19 +113,35 @@ def located(text: Column, pattern: str) -> Column:
     text with the same matcher.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("m"))
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
 
-    def step(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["gap"])
-        end = start + F.length(p["m"])
-        here = F.struct(start.alias("start"), end.alias("end"), p["m"].alias("m"))
-        return F.when(p["m"].isNull(), state).otherwise(
-            F.struct(end.alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
-        )
+    def placed(pairs: Column) -> Column:
+        before = running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["m"])), lambda a, b: a + b, 0)
+        start = lambda p, at: at + F.length(p["gap"])
+        return F.zip_with(pairs, before, lambda p, at: F.struct(start(p, at).alias("start"), (start(p, at) + F.length(p["m"])).alias("end"), p["m"].alias("m")))
+
+    # The piece after the last match has none.
+    pairs = lambda m: F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), m.alias("m")), lambda p: p["m"].isNotNull())
+    return let(found, lambda m: F.when(F.size(m) > 0, let(pairs(m), placed)).otherwise(none))
+
+
+def clear_of(loose: Column, rules: Column) -> Column:
+    """The loose proposals that overlap no rule span.
+
+    In the order of rules' starts and loose spans' ends, a loose span overlaps one if the largest end of the rules before
+    it lies beyond its start.
+    """
+
+    def events(xs: Column, key: str, rule: int) -> Column:
+        return F.transform(xs, lambda x: F.struct(x[key].alias("key"), F.lit(rule).alias("rule"), (x["end"] * rule).alias("end"), x.alias("x")))
+
+    def kept(both: Column) -> Column:
+        ends = running(F.transform(both, lambda e: e["end"]), F.greatest, 0)
+        free = F.filter(F.arrays_zip(both.alias("e"), ends.alias("top")), lambda z: (z["e"]["rule"] == 0) & (z["top"] <= z["e"]["x"]["start"]))
+        return F.transform(free, lambda z: z["e"]["x"])
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(none)
+    both = F.array_sort(F.concat(events(rules, "start", 1), events(loose, "end", 0)))
+    return F.when((F.size(rules) > 0) & (F.size(loose) > 0), let(both, kept)).otherwise(loose)
 
 
 def digits(m: Column) -> Column:
@@ -125,12 +185,12 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def votes(kind: str, strict: bool, text: Column, s: Column) -> Column:
-    """The proposal with every labeler's vote: 1 for personal data, -1 against, 0 none."""
+    """The proposal, of a text in blocks, with every labeler's vote: 1 for personal data, -1 against, 0 none."""
     m, n = s["m"], F.length(digits(s["m"]))
     number = digits(m)
     start = F.greatest(s["start"] - CONTEXT, F.lit(0))
-    before = F.substring(text, start + 1, s["start"] - start)
-    after = F.substring(text, s["end"] + 1, F.lit(1))
+    before = part(text, start, s["start"] - start)
+    after = part(text, s["end"], F.lit(1))
     checksum = {
         "email": _vote(m.rlike("[A-Za-z]"), ~m.rlike("[A-Za-z]")),
         "ip": _vote(_octets(m), ~_octets(m)) if strict else _vote(m.rlike("[0-9]"), ~m.rlike("[0-9]")),
@@ -168,22 +228,23 @@ def with_proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def proposals(strict: bool) -> dict[str, Column]:
         return {f"_{kind}_{strict:d}": F.when(needs[kind, strict], located(text, p)).otherwise(empty) for kind, p in (RULES if strict else LOOSE).items()}
 
-    out = docs.withColumns(proposals(True) | proposals(False))
+    # One row of a generated array: what is in it is computed once, whatever reads it.
+    each = F.struct(*(c.alias(name) for name, c in (proposals(True) | proposals(False)).items()))
+    out = docs.select("*", F.explode(F.array(each)).alias("_each"))
+    some = any_of([F.size(f"_each.{name}") > 0 for name in (*proposals(True), *proposals(False))])
+    out = out.select("*", F.explode(F.array(F.when(some, blocks(text)))).alias("_blocks"))
 
     def of_kind(kind: str, strict: bool) -> Column:
-        spans = F.col(f"_{kind}_{strict:d}")
+        spans = F.col(f"_each._{kind}_{strict:d}")
         if strict:
             spans = F.filter(spans, lambda s: holds(kind, s["m"]))
-        return F.transform(spans, lambda s: votes(kind, strict, text, s))
+        return F.transform(spans, lambda s: votes(kind, strict, F.col("_blocks"), s))
 
     def voted(strict: bool) -> Column:
         return F.concat(*(of_kind(kind, strict) for kind in KINDS))
 
-    out = out.withColumns({"_rules": voted(True), "_all_loose": voted(False)})
-    clear = F.filter(
-        "_all_loose", lambda x: ~F.exists("_rules", lambda r: (r["start"] < x["end"]) & (x["start"] < r["end"]))
-    )
-    return out.withColumn("_loose", clear).drop("_all_loose", *proposals(True), *proposals(False))
+    out = out.select("*", F.explode(F.array(F.struct(voted(True).alias("rules"), voted(False).alias("loose")))).alias("_voted"))
+    return out.withColumns({"_rules": F.col("_voted.rules"), "_loose": clear_of(F.col("_voted.loose"), F.col("_voted.rules"))}).drop("_each", "_blocks", "_voted")
 
 
 # --- the label model and the classifier: plain arithmetic on bounded counts ----
@@ -285,18 +346,24 @@ def find_pii(
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(state: Column, s: Column) -> Column:
-        keep = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.when(s["start"] < state["at"], F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(state["out"], keep, mark).alias("out"))
-        )
-
-    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    """``text`` with every span replaced by its kind in angle brackets; of overlapping spans the first counts.
+
+    Pieces of the text are taken from its blocks and joined once: linear time in text and spans.
+    """
+    named = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    def pieces(ordered: Column) -> Column:
+        # The text from the largest end before a span to its start, then the span's mark; a span that begins before that end has none.
+        before = running(F.transform(ordered, lambda s: s["end"]), F.greatest, 0)
+        kept = F.filter(F.arrays_zip(ordered.alias("s"), before.alias("at")), lambda z: z["s"]["start"] >= z["at"])
+
+        def piece(of: Column, z: Column) -> Column:
+            return F.concat(part(of, z["at"], z["s"]["start"] - z["at"]), F.lit("<"), F.upper(z["s"]["kind"]), F.lit(">"))
+
+        last = F.array_max(F.transform(ordered, lambda s: s["end"]))
+        return let(blocks(text), lambda of: F.concat(F.array_join(F.transform(kept, lambda z: piece(of, z)), ""), part(of, last, F.length(text) - last)))
+
+    return F.when(F.size(spans) > 0, let(F.array_sort(named), pieces)).otherwise(text)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
