@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from functools import reduce
+from itertools import combinations, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -32,6 +33,44 @@ def nearest_two(queries: DataFrame, others: DataFrame) -> DataFrame:
     return two.where(F.col("all") >= 2).select("pair", "desc_id", "d1", F.when(F.col("n") > 1, F.col("d1")).otherwise(F.get("ds", F.lit(1))).alias("d2"))
 
 
+def _parts(hi: Column, lo: Column, bits: int, part_bits: int) -> Column:
+    """The low ``bits`` of both halves of a code, cut into ``(part, value)``."""
+    words = [(w, at) for w in (hi, lo) for at in range(0, bits, part_bits)]
+    mask = (1 << part_bits) - 1
+    return F.array(*(F.struct(F.lit(k).alias("part"), F.shiftrightunsigned(w, at).bitwiseAND(mask).alias("value")) for k, (w, at) in enumerate(words)))
+
+
+def nearest_two_indexed(queries: DataFrame, others: DataFrame, bits: int = 64, part_bits: int = 16, radius: int = 2) -> DataFrame:
+    """:func:`nearest_two` by multi-index hashing, with ``compared``: with how many descriptors each was compared.
+
+    Codes are cut into m parts, and the other image's are indexed by each part.  Two codes that differ in fewer
+    than m * (r + 1) bits agree in some part to r bits.  So parts are looked up with r = 0, 1, ... of their bits changed, and a
+    descriptor is done once its second neighbour is nearer than that.  What is open after ``radius``
+    changed bits is compared with all descriptors of the other image, as before: the result is exact whatever the codes.  ``others`` also
+    have an ``other_id``; ``bits`` is what is in use of ``hi`` and of ``lo``.
+    """
+    key = ["pair", "desc_id"]
+    index = stored(others.select("pair", "other_id", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.inline(_parts(F.col("hi"), F.col("lo"), bits, part_bits))))
+    left, best, done = stored(queries.select(*key, "hi", "lo")), None, []
+    parts = 2 * -(-bits // part_bits)
+    distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2")))
+    for r in range(radius + 1):
+        masks = F.array(*(F.lit(sum(1 << b for b in at)) for at in combinations(range(part_bits), r)))
+        probes = left.select(*key, "hi", "lo", F.inline(_parts(F.col("hi"), F.col("lo"), bits, part_bits)))
+        probes = probes.withColumn("mask", F.explode(masks)).withColumn("value", F.col("value").bitwiseXOR(F.col("mask").cast("long"))).drop("mask")
+        found = probes.join(index, ["pair", "part", "value"]).select(*key, "other_id", distance.cast("int").alias("d")).distinct()
+        # Of each round's candidates the two nearest matter, and how many there are.
+        two = found.groupBy(*key).agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "other_id"))), 1, 2).alias("two"), F.count(F.lit(1)).alias("compared"))
+        both = two if best is None else best.join(left.select(*key), key).unionByName(two)
+        best = stored(both.groupBy(*key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("two")))), 1, 2).alias("two"), F.sum("compared").alias("compared")))
+        certain = best.where((F.size("two") == 2) & (F.get("two", F.lit(1))["d"] < parts * (r + 1)))
+        done.append(certain.select(*key, F.get("two", F.lit(0))["d"].alias("d1"), F.get("two", F.lit(1))["d"].alias("d2"), "compared"))
+        left = stored(left.join(certain.select(*key), key, "left_anti"))
+    sizes = others.groupBy("pair").agg(F.count(F.lit(1)).alias("compared"))
+    rest = nearest_two(left, others).join(sizes, "pair").select(*key, "d1", "d2", "compared")
+    return reduce(DataFrame.union, [*done, rest])
+
+
 def ratio_matches(nearest: DataFrame, ratio: float = 0.75) -> DataFrame:
     """Matches clearly nearer than the runner-up."""
     return nearest.where(F.col("d1") < ratio * F.col("d2"))
@@ -230,31 +269,40 @@ def reparent(groups: DataFrame, relation: DataFrame, tries: int = 10) -> DataFra
     representative's member null if it has none.  ``relation(die_id, item,
     other)``: the pairs that match.  A small representative is tried against each large one, then against its
     ``tries`` members with the lowest match counts; absorbed members can match
-    those that come later.  One task handles one die's photos.
-    """
+    those that come later.
 
-    def run(key, g: pd.DataFrame, rel: pd.DataFrame) -> pd.DataFrame:
-        match = set(zip(rel["item"], rel["other"]))
-        members: dict = {}
-        for rep, member, n in zip(g["rep"], g["member"], g["match_count"]):
-            own = members.setdefault(rep, [])
-            if member is not None and member == member:
-                own.append((n, member))
-        order = sorted(members, key=lambda r: (-len(members[r]), r))
-        quarter = len(members[order[0]]) / 4
-        edge = next((k for k in range(1, len(order)) if len(members[order[k]]) < quarter), len(order) - 1)
-        large, parent = (order[:edge], {}) if len(order) > 1 else (order, {})
-        for rep in order[edge:] if len(order) > 1 else []:
-            for big in large:
-                tried = [big, *(m for _, m in sorted(members[big])[:tries])]
-                if any((rep, t) in match for t in tried):
-                    members[big] += [(0, rep), *members[rep]]
-                    parent[rep] = big
-                    break
-        rows = [(key[0], rep, parent.get(rep, rep)) for rep in order]
-        return pd.DataFrame(rows, columns=["die_id", "rep", "new_rep"])
-
-    return groups.groupBy("die_id").cogroup(relation.groupBy("die_id")).applyInPandas(run, "die_id string, rep string, new_rep string")
+    In rounds: of the small groups that are left, in order, the first that matches is
+    absorbed, in every die at once.  Those before it have met all that they ever meet, and stay.  Only a
+    group's ``tries`` lowest members are kept, and there are as many rounds as groups absorbed in one die, and one.
+    """
+    spark = groups.sparkSession
+    sizes = groups.groupBy("die_id", "rep").agg(F.count("member").alias("size"))
+    ranked = stored(split_small(sizes))
+    lowest = Window.partitionBy("die_id", "rep").orderBy("match_count", "member")
+    low = groups.where("member is not null").select("die_id", "rep", "member", "match_count")
+    low = stored(low.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= tries).drop("r"))
+    left = ranked.where("small").select("die_id", "rep", "rank")
+    large = ranked.where("not small").select("die_id", F.col("rep").alias("big"), F.col("rank").alias("big_rank"))
+    # Pairs of small representatives with anything: all that rounds look at.
+    asked = stored(relation.join(left.withColumnRenamed("rep", "item"), ["die_id", "item"]).distinct())
+    members = stored(low.join(large.select("die_id", F.col("big").alias("rep")), ["die_id", "rep"], "left_semi"))
+    parents = spark.createDataFrame([], ranked.select("die_id", "rep", F.col("rep").alias("new_rep")).schema)
+    while not asked.isEmpty():
+        tried = members.select("die_id", F.col("rep").alias("big"), F.col("member").alias("other")).union(large.select("die_id", "big", F.col("big").alias("other")))
+        met = asked.join(tried.join(large, ["die_id", "big"]), ["die_id", "other"])
+        first = met.groupBy("die_id").agg(F.min(F.struct("rank", "big_rank", "item", "big")).alias("f"))
+        first = stored(first.select("die_id", F.col("f.rank").alias("done"), F.col("f.item").alias("rep"), F.col("f.big").alias("new_rep")))
+        if first.isEmpty():
+            break
+        parents = stored(parents.union(first.select("die_id", "rep", "new_rep")))
+        # The absorbed representative counts as a member without a match, its members as they are.
+        own = low.join(first.select("die_id", "rep", "new_rep"), ["die_id", "rep"]).select("die_id", F.col("new_rep").alias("rep"), "member", "match_count")
+        alone = first.select("die_id", F.col("new_rep").alias("rep"), F.col("rep").alias("member"), F.lit(0).cast(dict(low.dtypes)["match_count"]).alias("match_count"))
+        new = members.union(own).union(alone)
+        members = stored(new.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= tries).drop("r"))
+        # A die without a match is done.
+        asked = stored(asked.join(first.select("die_id", "done"), "die_id").where(F.col("rank") > F.col("done")).drop("done"))
+    return ranked.select("die_id", "rep").join(parents, ["die_id", "rep"], "left").select("die_id", "rep", F.coalesce("new_rep", "rep").alias("new_rep"))
 
 
 # --- pips ------------------------------------------------------------------------

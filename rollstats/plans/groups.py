@@ -120,17 +120,26 @@ def _nearest(spark, sf_dir) -> DataFrame:
     return grouping.nearest_two(d.withColumn("pair", F.col("image")), d.withColumn("pair", F.col("image") - 1))
 
 
-@query(
-    """, n AS (SELECT a.image AS pair, a.desc_id, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS d FROM descriptors a JOIN descriptors b ON b.image = a.image + 1),
+_TOP2 = """, n AS (SELECT a.image AS pair, a.desc_id, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS d FROM descriptors a JOIN descriptors b ON b.image = a.image + 1),
     t AS (SELECT pair, desc_id, list_sort(list(d))[1:2] AS two FROM n GROUP BY pair, desc_id)
-    SELECT pair, desc_id, CAST(two[1] AS INTEGER) AS d1, CAST(two[2] AS INTEGER) AS d2 FROM t WHERE len(two) = 2 AND two[1] < 0.75 * two[2]""",
-    "descriptors",
-)
+    SELECT pair, desc_id, CAST(two[1] AS INTEGER) AS d1, CAST(two[2] AS INTEGER) AS d2 FROM t WHERE len(two) = 2 AND two[1] < 0.75 * two[2]"""
+
+
+@query(_TOP2, "descriptors")
 def hamming_top2_ratio(spark, sf_dir):
     out = grouping.ratio_matches(_nearest(spark, sf_dir))
     return out.select("pair", "desc_id", F.col("d1").cast("int"), F.col("d2").cast("int"))
 
 
+@query(_TOP2, "descriptors")
+def hamming_top2_indexed(spark, sf_dir):
+    """The same matches, by an index of code parts."""
+    d = descriptors(spark, sf_dir)
+    others = d.select((F.col("image") - 1).alias("pair"), F.col("desc_id").alias("other_id"), "hi", "lo")
+    out = grouping.ratio_matches(grouping.nearest_two_indexed(d.withColumn("pair", F.col("image")), others, bits=32))
+    return out.select("pair", "desc_id", F.col("d1").cast("int"), F.col("d2").cast("int"))
+
+
 LEADER_BITS = 22
 
 

@@ -464,3 +464,68 @@ def test_smallest_hashes_leave_few_rows_a_task(spark, monkeypatch):
         hot = first[first["die_id"] == "hot"]["side"]
         got = {r.side: r.freq for r in want if r.die_id == "hot" and r["size"] == size}
         assert all(abs(f - (hot == s).sum() * hot.nunique() / size) < 1e-9 for s, f in got.items())
+
+
+@pytest.mark.parametrize("bits, part_bits", [(64, 16), (32, 8)])
+def test_indexed_neighbours_equal_all_pairs(spark, bits, part_bits):
+    """Codes with near ones, with few near ones, and with none: the same distances, from far fewer comparisons where near ones are."""
+    rng = np.random.default_rng(bits)
+    word = lambda n: rng.integers(0, 1 << (bits - 1), n).astype(object) * 2 + rng.integers(0, 2, n).astype(object)
+    signed = lambda x: int(x) - (1 << 64) if int(x) >= 1 << 63 else int(x)
+    rows_q, rows_o = [], []
+    for pair in range(2):
+        hi, lo = word(400), word(400)
+        rows_o += [(pair, k, signed(a), signed(b)) for k, (a, b) in enumerate(zip(hi, lo))]
+        flip = lambda x: x ^ (1 << int(rng.integers(0, bits)))
+        rows_o += [(pair, 1000 + k, signed(flip(a)), signed(flip(b))) for k, (a, b) in enumerate(zip(hi[:300], lo[:300]))]
+        rows_q += [(pair, k, signed(flip(a)), signed(flip(b))) for k, (a, b) in enumerate(zip(hi, lo))]
+    rows_q += [(7, 1, 5, 5), (8, 1, 5, 5)]
+    rows_o += [(7, 1, 5, 5), (8, 1, 5, 5), (8, 2, 5, 5), (8, 3, 4, 5)]  # one neighbour only; equal ones
+    q = spark.createDataFrame(rows_q, "pair int, desc_id int, hi long, lo long")
+    o = spark.createDataFrame(rows_o, "pair int, other_id int, hi long, lo long")
+    got = grouping.nearest_two_indexed(q, o, bits, part_bits).collect()
+    want = grouping.nearest_two(q, o).collect()
+    assert sorted((r.pair, r.desc_id, r.d1, r.d2) for r in got) == sorted((r.pair, r.desc_id, r.d1, r.d2) for r in want)
+    compared = {(r.pair, r.desc_id): r.compared for r in got}
+    assert (8, 1) in compared and (7, 1) not in compared
+    near = [n for (pair, k), n in compared.items() if pair < 2 and k < 300]
+    assert sum(near) < 0.2 * 700 * len(near)  # a fifth of all pairs at most, where two near ones are
+    assert bits == 32 or all(compared[pair, k] == 700 for pair in range(2) for k in range(300, 400))  # the rest met all
+
+
+def plain_reparent(rows, relation, tries):
+    """The loop over a die's small groups."""
+    members, out = {}, {}
+    for rep, member, n in rows:
+        members.setdefault(rep, [])
+        if member is not None:
+            members[rep].append((n, member))
+    order = sorted(members, key=lambda r: (-len(members[r]), r))
+    edge = next((k for k in range(1, len(order)) if len(members[order[k]]) < len(members[order[0]]) / 4), len(order) - 1)
+    large = order[:edge] if len(order) > 1 else order
+    for rep in order[edge:] if len(order) > 1 else []:
+        for big in large:
+            if any((rep, t) in relation for t in [big, *(m for _, m in sorted(members[big])[:tries])]):
+                members[big] += [(0, rep), *members[rep]]
+                out[rep] = big
+                break
+    return {rep: out.get(rep, rep) for rep in order}
+
+
+def test_reparenting_in_rounds_equals_the_loop(spark):
+    rng = random.Random(5)
+    rows, relation, want = [], [], {}
+    for die in ("a", "b", "c", "one"):
+        own = []
+        for g in range(1 if die == "one" else 14):
+            size = rng.randint(15, 40) if g < 4 else rng.randint(0, 3)
+            own += [(f"r{g:02}", f"m{g:02}-{k}", rng.randint(0, 5)) for k in range(size)] or [(f"r{g:02}", None, None)]
+        names = [f"r{g:02}" for g in range(14)] + [m for _, m, _ in own if m]
+        match = {(f"r{rng.randint(4, 13):02}", rng.choice(names)) for _ in range(40)}
+        rows += [(die, r, m, 0, n) for r, m, n in own]
+        relation += [(die, *x) for x in match]
+        want |= {(die, rep): new for rep, new in plain_reparent(own, match, 3).items()}
+    groups = spark.createDataFrame(rows, "die_id string, rep string, member string, size int, match_count int").repartition(4)
+    pairs = spark.createDataFrame(relation, "die_id string, item string, other string")
+    assert {(r.die_id, r.rep): r.new_rep for r in grouping.reparent(groups, pairs, tries=3).collect()} == want
+    assert sum(k[1] != v for k, v in want.items()) > 5
