@@ -72,7 +72,7 @@ def geometry(n_series: Column) -> Column:
 
 
 def bars(charts: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(chart_id, pos, side, x, y, width, height, whisker_x, low_y, high_y, fair_y, verdict)``: what is drawn of each bar.
+    """``(chart_id, pos, side, x, y, width, height, whisker_x, low_y, high_y, fair_y, verdict, off)``: what is drawn of each bar, and by how many percent it is off.
 
     Bars stand side by side in a group a side, from the fair line up or down; y grows downwards.
     """
@@ -84,6 +84,7 @@ def bars(charts: DataFrame, rows: DataFrame) -> DataFrame:
     width, margin = F.col("g.bar_width"), F.col("g.bar_margin")
     x = F.col("place") * F.col("g.group_width") + 2 * margin + width * F.col("pos") + (F.col("pos") + 1) * margin
     off = 100 * (F.col("p") - F.col("fair")) / F.col("fair")
+    # The wording and the limit of the published charts.
     text = (
         F.when(F.abs(F.col("p") - F.col("fair")) < 0.001, F.format_string("%d is within %.1f%% of.", "side", F.abs(off)))
         .when(off > 0, F.format_string("%d is %.1f%% more frequent than fair.", "side", off))
@@ -92,7 +93,7 @@ def bars(charts: DataFrame, rows: DataFrame) -> DataFrame:
     return at.select(
         "chart_id", "pos", "side", x.alias("x"), y(F.greatest("p", "fair")).alias("y"), width.alias("width"),
         F.abs(y(F.col("fair")) - y(F.col("p"))).alias("height"), (x + width / 2).alias("whisker_x"),
-        y(F.col("ci_low")).alias("low_y"), y(F.col("ci_high")).alias("high_y"), y(F.col("fair")).alias("fair_y"), text.alias("verdict"),
+        y(F.col("ci_low")).alias("low_y"), y(F.col("ci_high")).alias("high_y"), y(F.col("fair")).alias("fair_y"), text.alias("verdict"), off.alias("off"),
     )
 
 

@@ -294,20 +294,10 @@ def first_wins(spark, sf_dir):
     return rounded(charts.first_wins([d.where("data_id = 'A'"), d.withColumn("p", F.lit(0.5))]), "p")
 
 
-@query(_CI + _CHARTS + "SELECT chart_id FROM charts WHERE n_names IS NOT NULL AND n_names <> len(data_ids)", "rolls_by_flag")
-def chart_name_check(spark, sf_dir):
-    return charts.name_mismatches(_charts(spark))
-
-
 _GEOMETRY = """, g AS (SELECT *, len(data_ids) AS k, CASE WHEN len(data_ids) > 4 THEN 6 ELSE 12 END AS w, CASE WHEN len(data_ids) > 1 THEN 1 ELSE 3 END AS m FROM charts),
 geo AS (SELECT *, CAST(CASE WHEN k > 1 THEN (k + 2) * (w + m) ELSE w + m END AS INTEGER) AS gw FROM g) """
 
 
-@query(_CI + _CHARTS + _GEOMETRY + "SELECT chart_id, w AS bar_width, m AS bar_margin, gw AS group_width FROM geo", "rolls_by_flag")
-def bar_geometry(spark, sf_dir):
-    return _charts(spark).select("chart_id", charts.geometry(F.size("data_ids")).alias("g")).select("chart_id", "g.*")
-
-
 @query(
     _CI + _CHARTS + _GEOMETRY + """, top AS (SELECT chart_id, max(ci_high) AS top FROM rows_ GROUP BY chart_id),
     fv AS (SELECT chart_id, coalesce(nullif(any_value(fair_value), 0), 1 / count(*)) AS fair FROM rows_ JOIN charts USING (chart_id) WHERE pos = 0 GROUP BY chart_id),
@@ -316,14 +306,14 @@ def bar_geometry(spark, sf_dir):
     SELECT chart_id, pos, side, CAST(place * gw + 2 * m + w * pos + (pos + 1) * m AS INTEGER) AS x, round(220 * (1 - greatest(p, fair) / top), 6) AS y, w AS width,
       round(220 * abs(p - fair) / top, 6) AS height, place * gw + 2 * m + w * pos + (pos + 1) * m + w / 2 AS whisker_x, round(220 * (1 - ci_low / top), 6) AS low_y,
       round(220 * (1 - ci_high / top), 6) AS high_y, round(220 * (1 - fair / top), 6) AS fair_y,
-      CASE WHEN abs(p - fair) < 0.001 THEN 'within' WHEN p > fair THEN 'more' ELSE 'less' END AS verdict FROM a""",
+      CASE WHEN abs(p - fair) < 0.001 THEN 'within' WHEN p > fair THEN 'more' ELSE 'less' END AS verdict, round(100 * (p - fair) / fair, 6) AS off FROM a""",
     "rolls_by_flag",
 )
 def chart_bars(spark, sf_dir):
     c = _charts(spark)
     out = charts.bars(c, charts.lookup(c, _data(spark, sf_dir)))
     word = F.regexp_extract("verdict", r"is (?:.*% )?(within|more|less)", 1)
-    return out.withColumns({k: F.round(k, 6) for k in ("y", "height", "low_y", "high_y", "fair_y")}).withColumns({"verdict": word, "x": F.col("x").cast("int")})
+    return out.withColumns({k: F.round(k, 6) for k in ("y", "height", "low_y", "high_y", "fair_y", "off")}).withColumns({"verdict": word, "x": F.col("x").cast("int")})
 
 
 @query(
@@ -366,11 +356,6 @@ def _diameters(spark) -> DataFrame:
     return files.parse_diameters(spark.createDataFrame([("d20", _DIAMETERS)], "die_id string, value string"))
 
 
-@query("WITH " + _MEASURED[2:] + "SELECT 'd20' AS die_id, * FROM d")
-def diameters(spark, sf_dir):
-    return _diameters(spark)
-
-
 @query(
     _FLAG + _MEASURED + """, f AS (SELECT die_id, side, n / avg(n) OVER (PARTITION BY die_id) AS freq FROM c),
     m AS (SELECT a.die_id, a.freq, b.freq AS ofreq, mm FROM d JOIN f a ON a.side = d.side JOIN f b ON b.die_id = a.die_id AND b.side = d.opp)

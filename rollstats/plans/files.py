@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_dir
-from ..operators import grouping, imaging, labeling
+from ..operators import charts, grouping, imaging, labeling
 from ..sources import files, sinks
 from ..streaming import live
 from .dice import _CI, _histogram, rounded
@@ -101,14 +100,63 @@ def groups_round_trip(spark, sf_dir):
     return files.read_group_lines(spark, f"{at}/*/summary.json").withColumn("die_id", F.regexp_replace("die_id", "^die_id=", ""))
 
 
-_INDEX = {"flags": {"title": "All flags", "names": ["a", "n"], "filenames": ["A", "N"]}, "one": {"title": "One $1 die", "filenames": ["A"], "fairValue": 0.02}}
+#: A chart a customer: order priorities are its series, order states its names; every third has none, every second a fair value.
+_CHART_ROWS = """WITH o AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS filenames, list_sort(list(DISTINCT o_orderstatus)) AS names FROM orders GROUP BY 1),
+i AS (SELECT CAST(k AS VARCHAR) AS chart_id, c_name AS title, CASE WHEN k % 3 <> 0 THEN names END AS names, filenames, CASE WHEN k % 2 = 0 THEN 1 / len(filenames) END AS fair
+  FROM o JOIN customer ON k = c_custkey) """
 
 
-@query("SELECT * FROM (VALUES ('flags', 'All flags', 'a,n', 'A,N', NULL::DOUBLE), ('one', 'One $1 die', NULL, 'A', 0.02)) AS t(chart_id, title, names, filenames, fair)")
+def _chart_rows(spark, sf_dir) -> DataFrame:
+    """Charts made of customers and orders, as index files that are written and read: an object by chart each."""
+    orders = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
+        F.sort_array(F.collect_set("o_orderpriority")).alias("filenames"), F.sort_array(F.collect_set("o_orderstatus")).alias("names")
+    )
+    customers = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("title"))
+    entry = F.struct(
+        "title", F.when(F.col("k") % 3 != 0, F.col("names")).alias("names"), "filenames", F.when(F.col("k") % 2 == 0, 1 / F.size("filenames")).alias("fairValue")
+    )
+    charts = orders.join(customers, "k").select("k", F.concat(F.lit('"'), F.col("k").cast("string"), F.lit('": '), F.to_json(entry)).alias("entry"))
+    # An index file holds a thousand customers.
+    text = charts.groupBy(F.floor(F.col("k") / 1000).alias("file")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list("entry"), ", "), F.lit("}")).alias("value"))
+    at = _place(spark, "index")
+    text.write.partitionBy("file").text(at)
+    return files.read_chart_index(spark, f"{at}/*/*.txt")
+
+
+@query(_CHART_ROWS + "SELECT chart_id, title, array_to_string(names, ',') AS names, array_to_string(filenames, ',') AS filenames, round(fair, 9) AS fair FROM i")
 def chart_index(spark, sf_dir):
-    """The chart index, a JSON object by chart."""
-    index = files.parse_chart_index(spark.createDataFrame([(json.dumps(_INDEX),)], "value string"))
-    return index.select("chart_id", "title", F.array_join("names", ",").alias("names"), F.array_join("filenames", ",").alias("filenames"), F.col("fairValue").alias("fair"))
+    """Index files, a JSON object by chart each, read back."""
+    index = _chart_rows(spark, sf_dir)
+    return index.select("chart_id", "title", F.array_join("names", ",").alias("names"), F.array_join("filenames", ",").alias("filenames"), F.round("fairValue", 9).alias("fair"))
+
+
+@query(_CHART_ROWS + "SELECT chart_id FROM i WHERE names IS NOT NULL AND len(names) <> len(filenames)")
+def chart_name_check(spark, sf_dir):
+    """Charts with another number of names than of series."""
+    return charts.name_mismatches(_chart_rows(spark, sf_dir).withColumnRenamed("filenames", "data_ids"))
+
+
+@query(
+    _CHART_ROWS + """, g AS (SELECT chart_id, len(filenames) AS k, CASE WHEN len(filenames) > 4 THEN 6 ELSE 12 END AS w, CASE WHEN len(filenames) > 1 THEN 1 ELSE 3 END AS m FROM i)
+    SELECT chart_id, w AS bar_width, m AS bar_margin, CAST(CASE WHEN k > 1 THEN (k + 2) * (w + m) ELSE w + m END AS INTEGER) AS group_width FROM g"""
+)
+def bar_geometry(spark, sf_dir):
+    """Widths and margins of each chart's bars."""
+    return _chart_rows(spark, sf_dir).select("chart_id", charts.geometry(F.size("filenames")).alias("g")).select("chart_id", "g.*")
+
+
+@query(
+    """SELECT CAST(p_partkey // 20 AS VARCHAR) AS die_id, CAST(p_partkey % 20 + 1 AS INTEGER) AS side, CAST(20 - p_partkey % 20 AS INTEGER) AS opp, CAST(p_size AS DOUBLE) AS mm, p_size - 25.5::DOUBLE AS dd,
+    p_retailprice AS pside, p_size / 50 AS popp FROM part"""
+)
+def diameters(spark, sf_dir):
+    """Sheets of measured diameters, twenty parts a die: rows of tab-separated numbers, then notes."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    cells = {"side": (k % 20 + 1).cast("int"), "opp": (20 - k % 20).cast("int"), "mm": size, "dd": size - 25.5, "pside": F.col("p_retailprice"), "popp": size / 50}
+    sides = _read(spark, sf_dir, "part").select(F.floor(k / 20).cast("string").alias("die_id"), *(c.alias(n) for n, c in cells.items()))
+    rows = sides.groupBy("die_id").agg(F.sort_array(F.collect_list(F.struct(*cells))).alias("all"))
+    line = lambda n: F.concat_ws("\t", F.lit(n), F.transform("all", lambda x: x[n].cast("string")))
+    return files.parse_diameters(rows.select("die_id", F.concat_ws("\n", *(line(n) for n in files.DIAMETERS), F.lit(""), F.lit("measured by hand")).alias("value")))
 
 
 @query(_CI + "SELECT die_id AS data_id, side, round(p, 9) AS p, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high FROM hist", "rolls_by_flag")
@@ -158,6 +206,22 @@ def stream_snapshot(spark, sf_dir):
     return seen.join(seen.agg(F.max("batch").alias("batch")), "batch").select("die_id", "side", "n")
 
 
+@query(
+    """WITH a AS (SELECT user_id AS rig, event_id AS "at", event_id // 4000 AS run, event_type <> 'error' AS ok FROM events),
+    f AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY rig, run ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS failed FROM a),
+    n AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY rig ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS number FROM f WHERE failed < 3)
+    SELECT rig, "at", CASE WHEN ok THEN number END AS number, CASE WHEN ok THEN lpad(CAST(number AS VARCHAR), 5, '0') || '.JPG' END AS file FROM n WHERE number < 40"""
+)
+def acquisition_run(spark, sf_dir):
+    """Events as attempts of rigs: numbered photos, until a run has three failures or a rig has forty photos."""
+    events = live.event_stream(spark, _read(spark, sf_dir, "events").schema, f"{sf_dir}/events.parquet*")
+    attempts = events.select(F.col("user_id").alias("rig"), F.col("event_id").alias("at"), F.floor(F.col("event_id") / 4000).cast("long").alias("run"), (F.col("event_type") != "error").alias("ok"))
+    at = _place(spark, "acquired")
+    taken = live.acquire(attempts, rolls=40, errors=3)
+    taken.writeStream.format("parquet").option("checkpointLocation", _place(spark, "stream")).trigger(availableNow=True).start(at).awaitTermination()
+    return spark.read.schema(taken.schema).parquet(at)
+
+
 # --- maps between photos -------------------------------------------------------------------
 
 _MAP = "[1 + p_size / 50.0, 0.1, 3.0, 0.05, 1 - p_size / 200.0, 2.0, p_size / 10000.0, 0.0, 1.0]::DOUBLE[]"

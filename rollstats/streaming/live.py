@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.files import _die, parse_labels
 
@@ -49,3 +53,37 @@ def photo_stream(spark: SparkSession, folder: str) -> DataFrame:
 def event_stream(spark: SparkSession, schema, path: str) -> DataFrame:
     """Rows of Parquet files as they are dropped."""
     return spark.readStream.schema(schema).parquet(path)
+
+
+#: Photos of a run, and failed ones after which it ends.
+ROLLS, ERRORS = 3000, 10
+
+
+def acquire(attempts: DataFrame, rolls: int = ROLLS, errors: int = ERRORS) -> DataFrame:
+    """``(rig, at, number, file)`` of ``attempts(rig, at, run, ok)``, a stream: what a rig does with its photos.
+
+    A good photo gets the next number, which is its file's name; a failed one has neither.  After ``errors``
+    failures a run takes no more, and after ``rolls`` numbers nor does the rig.  A new ``run`` starts without
+    failures and goes on at the next number.  State is three numbers a rig, kept with the query's checkpoint, so a query
+    that starts again goes on where it was.  Attempts of a rig come in the order of ``at`` from batch to batch; in a batch they are sorted.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, failed, run = state.get if state.exists else (0, 0, -1)
+        out = []
+        # A rig's rows of one batch: the source's limits bound them.
+        for at, of, ok in pd.concat(batches).sort_values("at")[["at", "run", "ok"]].itertuples(index=False):
+            if of != run:
+                failed, run = 0, int(of)
+            if number >= rolls or failed >= errors:
+                continue
+            out.append((key[0], at, number if ok else None, f"{number:05d}.JPG" if ok else None))
+            number, failed = number + bool(ok), failed + (not ok)
+        state.update((number, failed, run))
+        frame = pd.DataFrame(out, columns=["rig", "at", "number", "file"])
+        yield frame.astype({"number": "Int64"})
+
+    kind = dict(attempts.dtypes)["rig"]
+    return attempts.select("rig", "at", "run", "ok").groupBy("rig").applyInPandasWithState(
+        step, f"rig {kind}, at long, number long, file string", "number long, failed long, run long", "append", GroupStateTimeout.NoTimeout
+    )

@@ -176,3 +176,25 @@ def test_groupings_of_a_member_a_line(spark, tmp_path):
     # Any list of lists reads as before, on one line or several.
     whole = files.read_groups(spark, str(tmp_path / "out" / "*" / "summary.json"))
     assert sorted(map(tuple, whole.collect())) == got
+
+
+def test_acquisition_goes_on_after_a_restart(spark, tmp_path):
+    schema = "rig string, at long, run long, ok boolean"
+
+    def put_and_run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = live.acquire(stream, rolls=6, errors=2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        query.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        out = spark.read.parquet(str(tmp_path / "out")).collect()
+        return sorted((r.rig, r.at, r.number, r.file) for r in out)
+
+    first = put_and_run([("a", 3, 1, True), ("a", 1, 1, True), ("a", 2, 1, False), ("b", 1, 1, False), ("b", 2, 1, False), ("b", 3, 1, True)])
+    assert first == [("a", 1, 0, "00000.JPG"), ("a", 2, None, None), ("a", 3, 1, "00001.JPG"), ("b", 1, None, None), ("b", 2, None, None)]
+    # The same run of rig a goes on at number 2 with one failure, rig b's stays at its end; both start anew in run 2.
+    second = put_and_run([("a", 4, 1, True), ("a", 5, 1, False), ("a", 6, 1, True), ("b", 4, 1, True), ("a", 7, 2, True), ("b", 5, 2, True)])
+    assert second[: len(first) - 2] == first[:3]
+    new = [r for r in second if r not in first]
+    assert new == [("a", 4, 2, "00002.JPG"), ("a", 5, None, None), ("a", 7, 3, "00003.JPG"), ("b", 5, 0, "00000.JPG")]
+    third = put_and_run([("a", k, 2, True) for k in range(8, 20)])
+    assert [r[2] for r in third if r[0] == "a" and r[1] > 7] == [4, 5]  # six photos, then no more
