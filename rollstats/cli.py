@@ -11,11 +11,13 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
 from .functions.storage import stored
 from .operators import charts, grouping, imaging, labeling, rolls, stats
+from .operators.ordered import running_total
 from .session import session
 from .sources import files, sinks
 
@@ -49,7 +51,14 @@ def label(spark, args) -> None:
     """Labels for the groups of one summary; writes the label sequence."""
     groups = files.read_groups(spark, args.summary_data)
     given = spark.createDataFrame(list(enumerate(args.values)), "group_idx int, label int")
-    labelled = labeling.assign_labels(groups, given, args.repeat)
+    try:
+        labelled = labeling.assign_labels(groups, given, args.repeat)
+    except ValueError as e:
+        # What the groups look like: the first four members of each, beside its label.
+        few = groups.where("member_idx < 4").groupBy("group_idx").agg(F.array_join(F.array_sort(F.collect_list("file")), " ").alias("some"))
+        for r in few.join(given, "group_idx", "left").orderBy("group_idx").toLocalIterator():
+            print(f"{'-' if r.label is None else r.label}: {r.some}")
+        raise SystemExit(str(e)) from None
     for r in labeling.missing_labels(labelled).orderBy("label").collect():
         print(f"no file has label {r.label}")
     sequence = labeling.label_sequence(labelled, "die_id")
@@ -58,7 +67,8 @@ def label(spark, args) -> None:
 
 def crop(spark, args) -> None:
     """Finds the die in every new photo of a folder; writes boxes and squares, prints what was found."""
-    reference = files.read_images(spark, f"{args.folder}/{args.reference}").first()
+    named = files.list_images(spark, args.folder).where(F.lower("file") == args.reference.lower()).first()  # its name in any case
+    reference = files.read_images(spark, f"{args.folder}/{named.file}").first() if named else None
     if reference is None:
         raise SystemExit(f"no reference photo {args.reference} in {args.folder}")
     photos = files.read_images(spark, args.folder)
@@ -74,7 +84,7 @@ def crop(spark, args) -> None:
     )
     found = stored(imaging.crop_bounds(found, reference.width, reference.height, args.crop_size))
     found.write.mode("overwrite" if args.force else "append").parquet(args.out)
-    skipped = names.join(todo, "file", "left_anti").withColumns({"skipped": F.lit(True), "not_found": F.lit(None).cast("string")})
+    skipped = (names.limit(0) if args.force else names.join(done.select("file"), "file", "left_semi")).withColumns({"skipped": F.lit(True), "not_found": F.lit(None).cast("string")})
     results = skipped.unionByName(found.select("file", "not_found").withColumn("skipped", F.lit(False)))
     for r in labeling.run_tallies(results).orderBy("status").collect():
         print(f"{r.status}: {r.n}")
@@ -83,7 +93,9 @@ def crop(spark, args) -> None:
 
 
 def group(spark, args) -> None:
-    """Groups the photos of a folder by their number of pips; writes (file, num_pips)."""
+    """Groups photos: by their number of pips, or with --matches by the matches of their descriptors."""
+    if args.matches:
+        return group_matches(spark, args)
 
     def greys(batches):
         for b in batches:
@@ -97,6 +109,35 @@ def group(spark, args) -> None:
         print(f"{r.num_pips} pips: {r['size']} files, first {r.rep}")
 
 
+def group_matches(spark, args) -> None:
+    """Leaders and their members from candidates(item, leader, inliers, scale, features_a, features_b) of the folder's photos.
+
+    Small groups move to the first large one that matches; groups are written largest first, a member a line, and at
+    most ``--summary-max-members`` of each to the overview's tiles.
+    """
+    photos = files.list_images(spark, args.folder).select(F.col("file").alias("item"))
+    complete = grouping.complete_matches(spark.read.parquet(args.matches), args.match_count_threshold, args.scale_threshold, args.feature_threshold)
+    complete = stored(complete.select("item", F.col("leader").alias("other"), "inliers"))
+    led = stored(grouping.leaders(photos, complete))
+    best = complete.groupBy("item").agg(F.max("inliers").alias("match_count"))
+    members = led.where("item != leader").join(best, "item", "left").select(F.col("leader").alias("rep"), F.col("item").alias("member"), "match_count")
+    die = F.lit("summary").alias("die_id")
+    groups = led.where("item = leader").select(F.col("item").alias("rep")).join(members, "rep", "left").select(die, "rep", "member", F.coalesce("match_count", F.lit(0)).alias("match_count"))
+    moved = grouping.reparent(groups, complete.select(die, "item", "other")).select("rep", "new_rep")
+    final = stored(led.join(moved, F.col("leader") == F.col("rep")).select(F.col("new_rep").alias("rep"), F.col("item").alias("file")))
+    sizes = final.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    order = Window.orderBy(F.desc("size"), "rep")  # a row a group
+    numbered = final.join(sizes.select("rep", "size", (F.row_number().over(order) - 1).alias("group_idx")), "rep")
+    # The representative first, then members by name: numbered over all tasks.
+    first = (F.col("file") != F.col("rep")).cast("int")
+    numbered = running_total(numbered.withColumn("after", first), ["group_idx"], ["after", "file"], F.lit(1).cast("long"), "member_idx")
+    written = stored(numbered.select(die, "group_idx", F.col("member_idx").cast("int"), "file", "rep", "size"))
+    sinks.write_groups(written.select("die_id", "group_idx", "member_idx", "file"), args.out, args.summary_data)
+    sinks.tiles(written, args.summary_max_members).write.mode("overwrite").parquet(f"{args.out}/tiles")
+    for r in sizes.orderBy(F.desc("size"), "rep").toLocalIterator():
+        print(f"{r['size']} files, first {r.rep}")
+
+
 def index(spark, args) -> None:
     """Builds the report page of a chart index over histogram files."""
     shown = files.read_chart_index(spark, args.index).withColumn("data_ids", F.transform("filenames", lambda f: F.regexp_replace(f, r"\.csv$", "")))
@@ -105,8 +146,11 @@ def index(spark, args) -> None:
         raise SystemExit(f"chart {r.chart_id}: no histogram {r.data_id}")
     for r in charts.name_mismatches(shown).collect():
         raise SystemExit(f"chart {r.chart_id}: names and series differ in number")
+    page = sinks.report(shown, data, args.title)
+    for text in sinks.unfilled(page):
+        print(f"not filled in: {text}")
     with open(args.out, "w", encoding="utf-8") as f:  # a small page, on the machine that runs the command
-        f.write(sinks.report(shown, data, args.title))
+        f.write(page)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -141,6 +185,12 @@ def parser() -> argparse.ArgumentParser:
     g = sub.add_parser("group", help=group.__doc__)
     g.add_argument("folder")
     g.add_argument("out")
+    g.add_argument("--matches", help="Parquet table of candidates: item, leader, inliers, scale, features_a, features_b")
+    g.add_argument("--match-count-threshold", "-m", type=int, default=32)
+    g.add_argument("--scale-threshold", type=float, default=float("inf"))
+    g.add_argument("--feature-threshold", type=float, default=1.2)
+    g.add_argument("--summary-data", "-d", default="summary.json", help="name of the file of groups")
+    g.add_argument("--summary-max-members", type=int, default=35)
     g.set_defaults(run=group)
     ix = sub.add_parser("index", help=index.__doc__)
     ix.add_argument("index", help="chart index, JSON by chart")

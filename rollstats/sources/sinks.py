@@ -126,6 +126,11 @@ def _script(value) -> str:
     return json.dumps(value).replace("</", "<\\/")
 
 
+def unfilled(page: str) -> list[str]:
+    """Texts with a ``$`` outside of scripts, which a template should have filled in."""
+    return re.findall(r"[^\n<>]*\$[^\n<>]*", re.sub(r"(?s)<script\b.*?</script>", "", page))
+
+
 def report_data(page: str) -> dict:
     """The histograms of a :func:`report` page, by data id."""
     return json.loads(re.search(r"const data = (.*?); const charts = ", page, re.S)[1])

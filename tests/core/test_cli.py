@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 
 from rollstats import cli
 from rollstats.sources import sinks
@@ -14,7 +15,7 @@ def test_label_then_summarize_then_combine(spark, tmp_path, capsys):
     (tmp_path / "die" / "summary.json").write_text(json.dumps(names))
     cli.main(["label", str(tmp_path / "die" / "summary.json"), str(tmp_path / "labels"), "1", "2", "4"])
     assert "no file has label 3" in capsys.readouterr().out
-    cli.main(["summarize", str(tmp_path / "labels" / "*" / "*.txt"), "--csv", str(tmp_path / "csv"), "--sequence-graph", str(tmp_path / "grey"), "--resamples", "50"])
+    cli.main(["summarize", str(tmp_path / "labels" / "*" / "labels.csv"), "--csv", str(tmp_path / "csv"), "--sequence-graph", str(tmp_path / "grey"), "--resamples", "50"])
     out = capsys.readouterr().out
     assert "N=200" in out and "fair=0.333" in out and out.count("o") >= 3
     assert spark.read.parquet(str(tmp_path / "grey")).count() == 16
@@ -64,3 +65,34 @@ def test_group_by_pips_and_index(spark, tmp_path, capsys):
     cli.main(["index", str(tmp_path / "index.json"), str(tmp_path / "h.csv"), str(tmp_path / "page.html"), "--title", "My <dice>"])
     page = (tmp_path / "page.html").read_text()
     assert "My &lt;dice&gt;" in page and sinks.report_data(page)["h"][1]["p"] == 0.5
+
+
+def test_group_by_matches(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    names = [f"{k:02}.jpg" for k in range(20)]
+    for n in names:
+        (tmp_path / "in" / n).write_bytes(b"x")
+    # Photos of one face match the first two of that face; 18 matches photo 2 only, and 19 photo 0 with another number of features: too weak at first.
+    rows = [(n, names[o], 40 + k, 1.0, 100, 110) for k, n in enumerate(names[:18]) for o in (k % 2, k % 2 + 2) if o < k]
+    rows += [("18.jpg", "02.jpg", 20, 1.0, 100, 110), ("19.jpg", "00.jpg", 99, 1.0, 100, 130)]
+    schema = "item string, leader string, inliers int, scale double, features_a int, features_b int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "m"))
+    cli.main(["group", str(tmp_path / "in"), str(tmp_path / "out"), "--matches", str(tmp_path / "m"), "--summary-max-members", "3"])
+    assert capsys.readouterr().out.splitlines()[:2] == ["9 files, first 00.jpg", "9 files, first 01.jpg"]
+    lists = json.loads((tmp_path / "out" / "die_id=summary" / "summary.json").read_text())
+    assert lists == [names[0:18:2], names[1:18:2], ["18.jpg"], ["19.jpg"]]
+    assert spark.read.parquet(str(tmp_path / "out" / "tiles")).count() == 8
+    cli.main(["group", str(tmp_path / "in"), str(tmp_path / "out2"), "--matches", str(tmp_path / "m"), "-m", "20", "--feature-threshold", "1.4"])
+    assert json.loads((tmp_path / "out2" / "die_id=summary" / "summary.json").read_text()) == [[*names[0:18:2], "18.jpg", "19.jpg"], names[1:18:2]]
+
+
+def test_label_shows_members_when_numbers_differ(spark, tmp_path, capsys):
+    (tmp_path / "die").mkdir()
+    (tmp_path / "die" / "summary.json").write_text(json.dumps([[f"{k}.jpg" for k in range(9)], ["x.jpg"]]))
+    with pytest.raises(SystemExit, match="2 groups but 1 labels"):
+        cli.main(["label", str(tmp_path / "die" / "summary.json"), str(tmp_path / "labels"), "7"])
+    assert capsys.readouterr().out.splitlines() == ["7: 0.jpg 1.jpg 2.jpg 3.jpg", "-: x.jpg"]
+
+
+def test_what_a_page_leaves_unfilled():
+    assert sinks.unfilled("<p>costs $name</p><script>a = '$x'</script><b>fine</b>\n$") == ["costs $name", "$"]
