@@ -40,6 +40,23 @@ def chi_square(rolls: DataFrame) -> DataFrame:
     return out.withColumn("p", chi2_survival(F.col("statistic"), F.col("dof")))
 
 
+def rolled_up(rolls: DataFrame, dice: DataFrame, levels: list[str]) -> DataFrame:
+    """Fairness at every level of a hierarchy of ``dice(die_id, *levels)``, down to all dice: one row a group of the roll-up.
+
+    ``(*levels, level, dice, n, statistic, dof, p, stddev)``: chi-square statistics of independent dice
+    add up, as do their degrees of freedom; ``stddev`` is the mean over dice of the deviation of normalised frequencies.  ``level`` tells
+    how many of the last levels are summed over; there these columns are null.  An extension: the dice are not
+    compared by maker elsewhere.
+    """
+    per_die = chi_square(rolls).drop("p").join(normalized_stddev(rolls), "die_id").join(label_counts(rolls).groupBy("die_id").agg(F.sum("n").alias("n")), "die_id")
+    named = per_die.join(dice.select("die_id", *levels), "die_id")
+    sums = named.rollup(*levels).agg(
+        F.grouping_id().alias("id"), F.count(F.lit(1)).alias("dice"), F.sum("n").alias("n"), F.sum("statistic").alias("statistic"), F.sum("dof").alias("dof"), F.avg("stddev").alias("stddev")
+    )
+    level = F.bit_count("id").cast("int").alias("level")
+    return sums.select(*levels, level, "dice", "n", "statistic", "dof", chi2_survival(F.col("statistic"), F.col("dof")).alias("p"), "stddev")
+
+
 #: Sides that are drawn together: resamples times so many numbers are in memory at once.
 BLOCK_SIDES, BLOCK_NUMBERS = 512, 1 << 21
 

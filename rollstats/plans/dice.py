@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import charts, rolls, stats
 from ..sources import files
-from .views import rolls_by_flag, rolls_by_supplier, rolls_by_user, with_views
+from .views import _read, rolls_by_flag, rolls_by_supplier, rolls_by_user, with_views
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -87,6 +87,22 @@ def chi2_pvalue(spark, sf_dir):
     return stats.chi_square(rolls_by_supplier(spark, sf_dir)).select("die_id", F.round("p", 8).alias("p"))
 
 
+@query(
+    _SUPPLIER + """, e AS (SELECT *, avg(n) OVER (PARTITION BY die_id) AS e FROM c),
+    x AS (SELECT die_id, sum(n) AS n, sum((n - e) ** 2 / e) AS x, count(*) - 1 AS dof, stddev_pop(n / e) AS s FROM e GROUP BY die_id),
+    d AS (SELECT CAST(s_suppkey AS VARCHAR) AS die_id, n_regionkey AS region, s_nationkey AS maker FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+    SELECT region, maker, CAST(grouping(region) + grouping(maker) AS INTEGER) AS level, count(*) AS dice, CAST(sum(n) AS BIGINT) AS n, round(sum(x), 6) AS statistic, CAST(sum(dof) AS BIGINT) AS dof,
+    round(avg(s), 9) AS stddev FROM x JOIN d USING (die_id) GROUP BY ROLLUP (region, maker)""",
+    "rolls_by_supplier",
+)
+def fairness_rollup(spark, sf_dir):
+    """Suppliers as dice, their nations as makers, by region: fairness of a maker, a region and all."""
+    nations = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("maker"), F.col("n_regionkey").alias("region"))
+    dice = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("die_id"), F.col("s_nationkey").alias("maker")).join(nations, "maker")
+    out = stats.rolled_up(rolls_by_supplier(spark, sf_dir), dice, ["region", "maker"]).drop("p")
+    return out.withColumns({"statistic": F.round("statistic", 6), "stddev": F.round("stddev", 9)})
+
+
 @query(
     """, c AS (SELECT die_id, side, count(*) AS n FROM rolls_by_supplier GROUP BY ALL), t AS (SELECT die_id, unnest(range(0, greatest(max(side), 9) + 1)) AS side FROM c GROUP BY die_id)
     SELECT die_id, CAST(t.side AS INTEGER) AS side, coalesce(n, 0) AS n FROM t LEFT JOIN c USING (die_id, side)""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import grouping, labeling
+from ..operators import grouping, labeling, tiles
 from .views import _read, descriptors, grouped_files, regions, with_views
 
 QUERIES: dict = {}
@@ -244,3 +244,34 @@ def square_bounds(spark, sf_dir):
     r = regions(spark, sf_dir)
     box = scalars.squared(F.col("x_min"), F.col("x_min") + F.col("dx"), F.lit(160), F.lit(44))
     return r.withColumn("b", box).select(*_keys("b.low", "b.high"))
+
+
+# --- regions of pixels --------------------------------------------------------------
+
+_PIXELS = """WITH px AS (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS image, 2 * (l_suppkey % 40) AS y, (l_partkey * 7 + l_orderkey) % 3000 AS x FROM lineitem) """
+
+
+def _pixels(spark, sf_dir) -> DataFrame:
+    """Line items as pixels of seven images: rows with a free row between them, so that regions are runs."""
+    x = (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 3000
+    return _read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("image"), (2 * (F.col("l_suppkey") % 40)).alias("y"), x.alias("x"))
+
+
+@query(
+    _PIXELS + """, r AS (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS run FROM px)
+    SELECT image, y AS region_y, min(x) AS region_x, count(*) AS npx, y AS y_min, y AS y_max, min(x) AS x_min, max(x) AS x_max FROM r GROUP BY image, y, run"""
+)
+def tiled_regions(spark, sf_dir):
+    """Regions found in tiles of 64 pixels and joined across their borders."""
+    return tiles.boxes(tiles.regions(_pixels(spark, sf_dir), tile=64))
+
+
+@query(
+    """WITH k AS (SELECT DISTINCT l_partkey % 400 AS y FROM lineitem), g AS (SELECT y, y - row_number() OVER (ORDER BY y) AS run FROM k)
+    SELECT count(DISTINCT run) AS regions, count(*) * 30 AS npx FROM g"""
+)
+def tiled_bands(spark, sf_dir):
+    """Whole rows of pixels wherever a line item's part falls: regions are bands over many rows and tiles."""
+    rows = _read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 400).alias("y")).distinct()
+    pixels = rows.select(F.lit(1).alias("image"), "y", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("x"))
+    return tiles.boxes(tiles.regions(pixels, tile=16)).agg(F.count(F.lit(1)).alias("regions"), F.sum("npx").alias("npx"))

@@ -529,3 +529,41 @@ def test_reparenting_in_rounds_equals_the_loop(spark):
     pairs = spark.createDataFrame(relation, "die_id string, item string, other string")
     assert {(r.die_id, r.rep): r.new_rep for r in grouping.reparent(groups, pairs, tries=3).collect()} == want
     assert sum(k[1] != v for k, v in want.items()) > 5
+
+
+@pytest.mark.parametrize("tile", [1, 4, 7, 256])
+def test_regions_across_tiles_equal_the_plain_fill(spark, tile):
+    from rollstats.operators import tiles
+
+    rng = random.Random(tile)
+    pixels = {(image, rng.randint(-5, 40), rng.randint(-5, 40)) for image in (1, 2) for _ in range(700)}
+    pixels |= {(3, k, k) for k in range(60)} | {(3, k, 59 - k) for k in range(20)} | {(3, 10, k) for k in range(40, 59)}  # pieces that meet at corners, and not
+    left, want = set(pixels), {}
+    for start in sorted(pixels):
+        todo = [start] if start in left else []
+        left.discard(start)
+        while todo:
+            i, y, x = todo.pop()
+            want[i, y, x] = start[1:]
+            for n in [(i, y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
+                if n in left:
+                    left.discard(n)
+                    todo.append(n)
+    got = tiles.regions(spark.createDataFrame(sorted(pixels) + [(1, *k[1:]) for k in pixels if k[0] == 1], "image int, y int, x int"), tile)
+    assert {(r.image, r.y, r.x): (r.region_y, r.region_x) for r in got.collect()} == want
+    assert got.count() == len(pixels)
+
+
+def test_rolled_up_fairness(spark):
+    df = dice(spark, a=[1, 2, 2], b=[1, 1, 2, 3], c=[5, 5])
+    names = spark.createDataFrame([("a", "x", 6), ("b", "x", 8), ("c", "y", 6)], "die_id string, maker string, sides int")
+    one = {r.die_id: r for r in stats.chi_square(df).collect()}
+    rows = {(r.maker, r.sides, r.level): r for r in stats.rolled_up(df, names, ["maker", "sides"]).collect()}
+    assert set(rows) == {("x", 6, 0), ("x", 8, 0), ("y", 6, 0), ("x", None, 1), ("y", None, 1), (None, None, 2)}
+    x, whole = rows["x", None, 1], rows[None, None, 2]
+    assert (x.dice, x.n, x.dof) == (2, 7, 3) and abs(x.statistic - one["a"].statistic - one["b"].statistic) < 1e-12
+    assert (whole.dice, whole.n, whole.dof) == (3, 9, 3) and abs(x.p - scalars_p(spark, x.statistic, 3)) < 1e-12
+
+
+def scalars_p(spark, x, dof):
+    return spark.range(1).select(scalars.chi2_survival(F.lit(x), F.lit(dof))).first()[0]
