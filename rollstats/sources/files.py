@@ -77,7 +77,9 @@ def read_histograms(spark: SparkSession, pattern: str) -> DataFrame:
     path = F.col("_metadata.file_path")
     # A folder a die, as the writer makes them, names the die; else the file does.
     name = F.coalesce(F.nullif(F.regexp_extract(path, r"/die_id=([^/]*)/[^/]*$", 1), F.lit("")), F.regexp_extract(path, r"([^/]*)\.csv$", 1))
-    named = rows.select(name.alias("name"), "*", F.monotonically_increasing_id().alias("at"))
+    # The order of lines: file, split, and the task's own order inside a split; splits are not dealt in order.
+    at = F.struct(path.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    named = rows.select(name.alias("name"), "*", at.alias("at"))
     last = named.groupBy("name", "side").agg(F.max_by(F.struct("p", "ci_low", "ci_high"), "at").alias("v"))
     return last.select("name", "side", "v.*")
 

@@ -198,3 +198,14 @@ def test_acquisition_goes_on_after_a_restart(spark, tmp_path):
     assert new == [("a", 4, 2, "00002.JPG"), ("a", 5, None, None), ("a", 7, 3, "00003.JPG"), ("b", 5, 0, "00000.JPG")]
     third = put_and_run([("a", k, 2, True) for k in range(8, 20)])
     assert [r[2] for r in third if r[0] == "a" and r[1] > 7] == [4, 5]  # six photos, then no more
+
+
+def test_the_last_of_repeated_sides_counts_over_splits(spark, tmp_path):
+    lines = ["side,p,ci_low,ci_high", *(f"{k % 7},{k / 1000},0.0,1.0" for k in range(3000))]
+    at = put(tmp_path / "h.csv", "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = {r.side: round(r.p * 1000) for r in files.read_histograms(spark, at).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k % 7: k for k in range(2993, 3000)}
