@@ -19,13 +19,15 @@ below it, if it has no upper node in common, if its shared bits differ in more t
 
 :func:`first_of_each_group`, which the pipeline uses, searches twice: for what the
 contract links (2 bits), and by 256-bit fingerprints of five-word shingles for a
-similarity of about 0.8.  There upper nodes are 20 masks of 12 bits, which two such texts
-share with a high probability (see ``BANDS``).  Both searches see all documents, and
+similarity of about 0.8.  There the number of masks and their bits follow from the number of
+fingerprints (see :func:`wide_shape`): nodes get smaller as there are more, and there are as many masks as
+keep the probability that two such texts meet.  Both searches see all documents, and
 the components are those of both searches' links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +47,12 @@ WIDE_SIZE = 5
 #: Differing bits of 256 up to which two documents count as similar; the median is 35 at a similarity of 0.8
 #: and 39 at 0.75 to 0.8 (measured on the smaller check tables).
 MAX_WIDE = 47
-#: Upper nodes of the wide index: masks of so many bits, so many in each 64-bit word. At a similarity of 0.8 a bit differs with
-#: probability 0.15, so a mask agrees with 0.139 and one of 20 with 0.95; at 0.85 it is 0.986, at 0.9 0.999.
-BANDS, BAND_BITS = 5, 12
-#: A crowded node of the wide index is factored by so many masks of so many further bits (0.9 of its pairs at 0.8 stay together).
-SUB_BANDS, SUB_BITS = 5, 6
+#: Share of the bits in which two texts of similarity 0.8 differ, and the share of such pairs that may meet below no upper node.
+DIFFER, MISSED = 0.15, 0.04
+#: Comparisons a row, if the patterns were spread evenly, that the wide index allows before its masks take another bit.
+COMPARED = 1024
+#: A crowded node of the wide index is factored by so many masks of so many bits (0.997 of its pairs at 0.8 meet again).
+SUB_BANDS, SUB_BITS = 12, 6
 #: Fingerprints of a leaf, children of a tree node, and pairs of nodes that are looked at together.
 LEAF, FAN, _PAIRS = 16, 4, 2048
 _MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -326,38 +329,92 @@ def similar(fps: DataFrame, radius: int = 2, leaf_rows: int = 4096) -> DataFrame
     return links
 
 
-def _bits(word: int, shift: int, bits: int) -> Column:
-    return F.shiftrightunsigned(F.col(WIDE[word]), shift).bitwiseAND((1 << bits) - 1)
+def wide_shape(rows: int, compared: int = COMPARED) -> tuple[int, int]:
+    """Bits a mask and number of masks of the wide index over so many fingerprints.
 
+    The fewest bits with which a row meets ``compared`` others by chance at most, over all masks; and as many
+    masks as let a pair at a similarity of 0.8 miss all with a probability of ``MISSED``, whatever the bits.
+    """
+    bits, masks = 0, 1
+    while masks * rows > compared << bits:
+        bits += 1
+        masks = math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFER) ** bits)))
+    return bits, masks
+
+
+def wide_masks(bits: int, masks: int, level: int = 0) -> list[np.ndarray]:
+    """The places of each mask's bits, drawn without repeats until all 256 are used up."""
+    rng = np.random.default_rng([level, bits])
+    each, out = max(1, 256 // max(1, bits)), []
+    while len(out) < masks:
+        order = rng.permutation(256)
+        out += [np.sort(order[k * bits : (k + 1) * bits]) for k in range(each)]
+    return out[:masks]
+
+
+def _wide_nodes(masks: list[np.ndarray], sizes_only: bool):
+    """Each row below one node a mask: ``(node, above, fp, words)``; or ``(node, above, n)``, added up inside a batch.
+
+    A node's key is a hash of the node above it, the mask and the pattern; two nodes with one key are compared as one.
+    """
+    weights = [np.uint64(1) << np.arange(len(m), dtype=np.uint64) for m in masks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = lambda c: b.column(c).to_numpy(zero_copy_only=False)
+            codes = np.stack([column(w) for w in WIDE], axis=1)
+            bits = np.unpackbits(codes.view(np.uint8).reshape(len(codes), 32), axis=1, bitorder="little")
+            over = column("node").view(np.uint64)
+            for k, (mask, weight) in enumerate(zip(masks, weights)):
+                pattern = bits[:, mask].astype(np.uint64) @ weight + np.uint64(k + 1) * np.uint64(1 << 48)
+                key = _remixed(_remixed(over, _MIXERS[0]) ^ pattern, _MIXERS[1]).view(np.int64)
+                if sizes_only:
+                    node, first, n = np.unique(key, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(column("above")[first]), pa.array(n)], names=["node", "above", "n"])
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key), *(b.column(c) for c in ("above", "fp", *WIDE))], names=["node", "above", "fp", *WIDE]
+                    )
+
+    return run
 
-def similar_wide(fps: DataFrame, max_wide: int = MAX_WIDE, leaf_rows: int = 4096) -> DataFrame:
+
+def similar_wide(fps: DataFrame, max_wide: int = MAX_WIDE, leaf_rows: int = 4096, compared: int = COMPARED) -> DataFrame:
     """``(a, b)``: links between the ``fp`` of rows whose 256 bits differ in ``max_wide`` places at most.
 
     ``fps`` holds distinct ``(fp, w0, w1, w2, w3)``.  Rows meet below the upper nodes of
-    ``4 * BANDS`` masks; a node of more than ``leaf_rows`` is factored once more, and
-    what is below a factored node is compared whatever its size.
+    :func:`wide_shape`, all of them if there are at most ``compared``.  A node of more than ``leaf_rows`` is factored
+    again and again, while every level leaves a quarter of the node above at most.  Nodes that further bits don't divide
+    hold near copies: they are cut into blocks, and every pair of blocks is compared in a group of its own.
     """
-    places = [(w, k) for w in range(4) for k in range(BANDS)]
-    band = lambda w, k: F.struct(F.lit(w * BANDS + k).cast("long").alias("mask"), _bits(w, BAND_BITS * k, BAND_BITS).alias("pattern"))
-    nodes = fps.select(F.explode(F.array(*(band(w, k) for w, k in places))).alias("at"), "fp", *WIDE).select("at.*", "fp", *WIDE)
-    crowded = saved(nodes.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows).select("mask", "pattern"))
-
-    def links(rows: DataFrame) -> DataFrame:
-        ordered = rows.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
-        return ordered.mapInArrow(_leaf_links(max_wide, ("mask", "pattern"), WIDE), "a long, b long")
-
-    if crowded.isEmpty():
-        return links(nodes)
-    inside = nodes.join(F.broadcast(crowded), ["mask", "pattern"], "left_semi")  # at most 4 * BANDS << BAND_BITS rows
-    # Further bits come from other words than the node's own.
-    sub = lambda w, k, c: F.struct(F.lit(c + 1).alias("c"), _bits((w + 1 + c % 3) % 4, SUB_BITS * (2 * k + c // 3), SUB_BITS).alias("more"))
-    more = F.array().cast("array<struct<c:int,more:bigint>>")
-    for w, k in places:
-        more = F.when(F.col("mask") == w * BANDS + k, F.array(*(sub(w, k, c) for c in range(SUB_BANDS)))).otherwise(more)
-    finer = inside.select("mask", "pattern", F.explode(more).alias("m"), "fp", *WIDE).select(
-        (F.col("mask") + 4 * BANDS * F.col("m.c")).alias("mask"), (F.col("pattern") * (1 << SUB_BITS) + F.col("m.more")).alias("pattern"), "fp", *WIDE
-    )
-    return links(nodes.join(F.broadcast(crowded), ["mask", "pattern"], "left_anti").select("mask", "pattern", "fp", *WIDE).union(finer))
+    rows = fps.count()
+    bits, masks = wide_shape(rows, compared)
+    at, level = fps.select(F.lit(0).cast("long").alias("node"), F.lit(rows).cast("long").alias("above"), "fp", *WIDE), 0
+    columns = ["node", "above", "fp", *WIDE]
+
+    def links(nodes: DataFrame) -> DataFrame:
+        ordered = nodes.select("node", "fp", *WIDE).repartition("node").sortWithinPartitions("node")
+        return ordered.mapInArrow(_leaf_links(max_wide, ("node",), WIDE), "a long, b long")
+
+    found = None
+    while True:
+        places = wide_masks(bits, masks, level)
+        nodes = at.mapInArrow(_wide_nodes(places, False), ", ".join(f"{c} long" for c in columns))
+        sizes = at.mapInArrow(_wide_nodes(places, True), "node long, above long, n long").groupBy("node").agg(F.max("above").alias("above"), F.sum("n").alias("n"))
+        tight = (F.lit(level > 0) & (4 * F.col("n") > F.col("above"))).alias("tight")
+        crowded = saved(sizes.where(F.col("n") > leaf_rows).select("node", "n", tight))
+        if crowded.isEmpty():
+            new = links(nodes)
+            return new if found is None else found.union(new)
+        few = bounded(crowded)
+        blocks = F.ceil(F.col("n") / (4 * leaf_rows))
+        own = F.pmod(F.xxhash64("fp", *WIDE), blocks)
+        pairs = nodes.join(few.where("tight"), "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        pairs = pairs.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+        new = links(nodes.join(few.select("node"), "node", "left_anti").select(columns).union(pairs.select(columns)))
+        found = new if found is None else found.union(new)
+        at = saved(nodes.join(few.where("not tight"), "node").select("node", F.col("n").alias("above"), "fp", *WIDE))
+        bits, masks, level = SUB_BITS, SUB_BANDS, level + 1
 
 
 def _grouped(fps: DataFrame, radius: int, leaf_rows: int) -> DataFrame:

@@ -536,6 +536,37 @@ def test_recall_by_similarity(spark, leaf_rows):
     assert share["same"] >= 0.97 and share["near"] >= 0.88 and share["other"] <= 0.02, share
 
 
+def test_wide_shape_keeps_recall_and_comparisons():
+    """From a thousand to ten billion rows: the same probability to meet, and comparisons by chance that stay level."""
+    for rows in (0, 1, 1000, 1025, 50_000, 500_000, 10**8, 10**10):
+        bits, masks = simhash.wide_shape(rows)
+        assert 1 - (1 - 0.85**bits) ** masks >= 0.96 and masks * rows / 2**bits <= simhash.COMPARED
+        assert rows < 2000 or masks * rows / 2**bits >= simhash.COMPARED / 3
+        places = simhash.wide_masks(bits, min(masks, 600))
+        assert all(len(set(m.tolist())) == bits for m in places) and len({tuple(m) for m in places}) == min(masks, 600)
+
+
+@pytest.mark.parametrize("leaf_rows, compared", [(4096, 1 << 20), (4096, 8), (16, 64), (16, 1 << 20), (4, 1 << 20)])
+def test_wide_recall_whether_no_node_or_every_node_is_factored(spark, stored, leaf_rows, compared):
+    """Pairs at a share of 0.15 differing bits, strangers, and 300 near copies that no bits divide, over several blocks."""
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (900, 256), dtype=np.uint8)
+    other = bits[:600] ^ (rng.random((600, 256)) < 0.15).astype(np.uint8)
+    copies = bits[899] ^ (rng.random((300, 256)) < 0.02).astype(np.uint8)
+    codes = np.packbits(np.concatenate([bits, other, copies]), axis=1, bitorder="little").view(np.int64)
+    rows = [(k, *map(int, c)) for k, c in enumerate(codes)]
+    fps = stored(spark.createDataFrame(rows, "fp long, w0 long, w1 long, w2 long, w3 long").repartition(4))
+    links = [(r.a, r.b) for r in simhash.similar_wide(fps, 47, leaf_rows, compared).collect()]
+    far = lambda a, b: int(np.bitwise_count((codes[a] ^ codes[b]).view(np.uint64)).sum())
+    want = [k for k in range(600) if far(k, 900 + k) <= 47]
+    got = components(range(len(codes)), links)
+    assert sum(got[k] == got[900 + k] for k in want) >= 0.95 * len(want)
+    assert len({got[k] for k in range(1500, 1800)}) == 1
+    assert all(got[k] == k or k >= 899 for k in range(899)), "strangers stay apart"
+    if compared >= len(codes) and leaf_rows >= len(codes):
+        assert all(got[k] == got[900 + k] for k in want)
+
+
 def test_row_numbers_do_not_depend_on_the_parallelism(spark, tmp_path):
     """Other splits of the same files between two jobs, as when executors come or go."""
     src = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(12)
