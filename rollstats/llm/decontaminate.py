@@ -13,7 +13,7 @@ words themselves; one With Every Word Capitalised is not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, columns_of, fresh, saved, table
@@ -30,6 +30,8 @@ COVERAGE = 0.5
 WORDS = 0.6
 #: Or the words of an unbroken passage of an item.
 RUN = 13
+#: Equal windows that follow each other at so many words at most are one chain: lists of numbers, rows of one template.
+CHAIN_GAP = 4 * WINDOW
 
 _NAME = "\u0002"
 _UNITS = (
@@ -108,7 +110,7 @@ def _window_size(n: Column, window: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(hash, size, item, place, windows)``: every window of every item, and how many the item has.
+    """``(hash, value, size, item, place, windows)``: every window of every item, as template and as written, and how many the item has.
 
     A window is there with its names as placeholders and as words (a copy in lower or upper
     case shows no names, and holds the second form), and with a capitalised first word as a
@@ -121,15 +123,57 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     forms = F.array(F.col("_words"), F.transform("_words", lambda t: F.replace(t, F.lit(_NAME), F.lit(""))), named)
     short = F.size("_words") < LEAST
     items = items.select("item", F.explode(F.when(short, F.array(F.col("_words"))).otherwise(forms)).alias("_words"))
-    items = items.select("item", F.when(short, _hashed(F.col("_words"), as_written)).otherwise(_hashed(F.col("_words"), canonical)).alias("_hashes"))
+    values = _hashed(F.col("_words"), as_written)
+    items = items.select("item", values.alias("_values"), F.when(short, values).otherwise(_hashed(F.col("_words"), canonical)).alias("_hashes"))
     items = items.withColumn("size", _window_size(F.size("_hashes"), window))
     lengths = list(range(1, max(window, SHORT_WINDOW) + 1))
-    items, sized = with_windows(items, "_hashes", lengths, "_w_"), F.when(F.lit(False), F.array().cast("array<bigint>"))
-    for size in lengths:
-        sized = sized.when(F.col("size") == size, F.col(f"_w_{size}"))
-    return items.select("item", "size", sized.alias("_w")).select(
-        "item", "size", F.size("_w").alias("windows"), F.posexplode("_w").alias("place", "hash")
-    ).distinct()
+    items = with_windows(with_windows(items, "_hashes", lengths, "_w_"), "_values", lengths, "_v_")
+
+    def sized(prefix: str) -> Column:
+        out = F.when(F.lit(False), F.array().cast("array<bigint>"))
+        for size in lengths:
+            out = out.when(F.col("size") == size, F.col(f"{prefix}{size}"))
+        return out
+
+    each = items.select("item", "size", F.posexplode(F.arrays_zip(sized("_w_").alias("hash"), sized("_v_").alias("value"))).alias("place", "w"), F.size(sized("_w_")).alias("windows"))
+    return each.select("item", "size", "windows", "place", "w.hash", "w.value").distinct()
+
+
+def chained(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Adds ``first`` and ``last``: a row's number from the start and from the end of its chain.
+
+    A chain holds the rows of equal ``keys`` whose places follow each other within ``CHAIN_GAP``.
+    """
+    order = Window.partitionBy(*keys).orderBy(place)
+    starts = F.coalesce(F.col(place) - F.lag(place).over(order) > CHAIN_GAP, F.lit(True))
+    rows = rows.withColumn("chain", F.sum(starts.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(*keys, "chain")
+    return rows.withColumns({
+        "first": F.row_number().over(inside.orderBy(place)), "last": F.row_number().over(inside.orderBy(F.col(place).desc())),
+    }).drop("chain")
+
+
+def matched(seen: DataFrame, keys: DataFrame) -> DataFrame:
+    """Hits of the windows ``seen(row, at, hash)`` in items' windows ``keys(hash, size, item, place, windows)``.
+
+    A window that an item holds once is hit wherever it is seen.  One that it holds several times, as a list of numbers
+    does, is hit where its number within its chain, from the start or from the end, is that of the window seen within
+    its own: as many hits as windows, where all pairs would be their product.
+    """
+    out = ["row", "item", "size", "windows", "place", (F.col("at") - F.col("place")).alias("shift")]
+    own = ["item", "size", "hash"]
+    keys = keys.distinct()
+    many = keys.groupBy(*own).agg((F.count_distinct("place") > 1).alias("many"))
+    keys = saved(chained(keys.join(many, own), own, "place"))
+    found = saved(seen.join(bounded(saved(keys.groupBy("hash").agg(F.bool_or("many").alias("any_many")))), "hash"))
+    hits = found.join(bounded(saved(keys.where(~F.col("many")))).drop("first", "last"), "hash").select(*out)
+    again = saved(keys.where("many"))
+    if again.isEmpty():
+        return hits
+    placed = saved(chained(found.where("any_many").select("row", "at", "hash").distinct(), ["row", "hash"], "at"))
+    for number in ("first", "last"):
+        hits = hits.union(placed.join(bounded(again), ["hash", number]).select(*out))
+    return hits
 
 
 def contaminated(
@@ -143,7 +187,8 @@ def contaminated(
     A text holds an item if it has at least
     ``coverage`` of the item's windows, in one alignment, in neighbouring ones or wherever they stand,
     or if windows of one alignment or neighbouring ones cover ``WORDS`` of its words, or one of its
-    passages of ``RUN`` words, and the slots of these are consistent.  Items of fewer than ``LEAST`` words must
+    passages of ``RUN`` words, and the slots of these are consistent.  Of a list longer than the item's (numbers only, rows of
+    one template) its first and last part count, and whatever has the item's own values.  Items of fewer than ``LEAST`` words must
     be there word for word.  Null and empty texts and items hold nothing; equal texts are one, repeated items
     count once; null ids of items are left out; an empty benchmark or table gives no rows.
     """
@@ -152,7 +197,6 @@ def contaminated(
     texts = docs.select(text_key(F.col(text_col)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not sizes:
         return texts.select(F.col("row").alias("text_key"), F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("coverage")).where(F.lit(False))
-    keys = bench.select("hash", "size", "item", "place", "windows")
     hashed = texts.withColumn("_words", tokens(F.col("text"))).withColumn("_hashes", _hashed(F.col("_words"), canonical))
     short, other = [s for s in sizes if s < LEAST], [s for s in sizes if s >= LEAST]
     if short:
@@ -162,7 +206,16 @@ def contaminated(
     runs = [F.col(f"_w_{s}" if s < LEAST else f"_t_{s}") for s in sizes]
     # Places run on from size to size; only differences within one alignment matter.
     seen = hashed.select("row", F.posexplode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("at", "hash"))
-    hits = seen.join(bounded(keys), "hash").select("row", "item", "size", "windows", "place", (F.col("at") - F.col("place")).alias("shift"))
+    keys = bench.select("hash", "size", "item", "place", "windows")
+    hits = matched(seen, keys)
+    # Windows that an item's template repeats are looked up as written, too: a copy of them counts wherever it stands in a longer list.
+    repeated = bench.groupBy("item", "size", "hash").agg(F.count_distinct("place").alias("n")).where("n > 1").drop("n")
+    written = saved(bench.join(repeated, ["item", "size", "hash"], "left_semi").select(F.col("value").alias("hash"), "size", "item", "place", "windows"))
+    if not written.isEmpty():
+        lists = bounded(saved(hits.join(bounded(saved(written.select("item").distinct())), "item", "left_semi").select("row").distinct()))
+        again = texts.join(lists, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text")).select("row", _hashed(tokens(F.col("text")), as_written).alias("_values"))
+        again = with_windows(again, "_values", sizes, "_v_")
+        hits = hits.union(matched(again.select("row", F.posexplode(F.concat(*(F.col(f"_v_{s}") for s in sizes))).alias("at", "hash")), written))
     hits = saved(hits.distinct())  # equal texts have equal hits
     groups = saved(_held_groups(hits, window, coverage))
     items = _items(benchmark, item_col, item_text_col)
@@ -237,7 +290,8 @@ def _consistent(hits: DataFrame, doubtful: DataFrame, texts: DataFrame, items: D
     Every parameter of the item must stand for one value, and every value for one
     parameter, so a copy of the item's own words is always consistent.
     A passage alone must also have as many plain words as slots, or the item's own
-    values: thirteen numbers in a row are the template of any others.  Only these candidates' texts are read again, once, and only matched words compared.
+    values: thirteen numbers in a row are the template of any others.  Other groups must have one plain
+    word, or the item's own values.  Only these candidates' texts are read again, once, and only matched words compared.
     """
     rows = bounded(saved(doubtful.select("row").distinct()))
     # Equal texts are read as one: the first of each is as good as any.
@@ -267,7 +321,7 @@ def _consistent(hits: DataFrame, doubtful: DataFrame, texts: DataFrame, items: D
     one_way = slots.groupBy(*keys, "theirs").count().where("count > 1").select(keys)
     other = slots.groupBy(*keys, "ours").count().where("count > 1").select(keys)
     strange = lower.groupBy(keys).agg(F.avg(F.col("slot").cast("double")).alias("share"), F.bool_or(F.col("slot") & (F.col("theirs") != F.col("ours"))).alias("other"))
-    strange = doubtful.where("passage").join(strange.where("share > 0.5 and other"), keys, "left_semi").select(keys)
+    strange = doubtful.join(strange.where("other"), keys).where((F.col("share") == 1) | (F.col("passage") & (F.col("share") > 0.5))).select(keys)
     return doubtful.join(one_way.union(other).union(strange).distinct(), keys, "left_anti")
 
 

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from rollstats.llm import htmlmain, pii
+from rollstats.llm import decontaminate, htmlmain, pii
 
 
 @pytest.mark.parametrize("fold, block", [(256, 512), (3, 5)])
@@ -82,3 +82,41 @@ def test_a_page_of_very_many_lines(spark):
     out = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert time.time() - began < 60
     assert out == {k: "\n".join(f"own line {k} {j}" for j in range(n // 5)) for k in range(2)}
+
+
+def test_lists_of_numbers(spark):
+    """An item of 60 numbers and one of 40 rows of a template, and texts of up to 200,000 numbers."""
+    rng = random.Random(4)
+    numbers = [str(rng.randrange(1000, 9999)) for _ in range(60)]
+    rows = [f"{x} of them cost {y} in all" for x, y in zip(rng.sample(range(100, 999), 40), rng.sample(range(1000, 9999), 40))]
+    bench = spark.createDataFrame([(1, " ".join(numbers)), (2, ". ".join(rows))], "item_id long, text string")
+    other = lambda n: " ".join(str(rng.randrange(10000, 99999)) for _ in range(n))
+    texts = {
+        "long": other(200_000), "middle": f"{other(3000)} {' '.join(numbers)} {other(3000)}", "half": f"{other(500)} {' '.join(numbers[9:45])} {other(500)}",
+        "few": " ".join(numbers[:7]), "none": "no numbers here at all, and nothing else that is known",
+        "rows": ". ".join(f"{k} of them cost {k + 5000} in all" for k in range(100, 140)), "copy": f"{other(900)} {'. '.join(rows)} {other(900)}",
+        "many rows": ". ".join(f"{k} of them cost {k + 50_000} in all" for k in range(10_000)), "equal": "7 of them cost 7 in all. " * 5000,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "name string, text string").repartition(4)
+    at = time.monotonic()
+    found = decontaminate.contaminated(docs, bench).withColumnRenamed("text_key", "key")
+    named = docs.select("name", decontaminate.text_key(F.col("text")).alias("key"))
+    got = {(r.name, r.item) for r in named.join(found, "key").collect()}
+    assert time.monotonic() - at < 60
+    assert got == {("middle", 1), ("half", 1), ("rows", 2), ("copy", 2), ("many rows", 2)}
+
+
+def test_chains_against_a_plain_loop(spark):
+    rng = random.Random(9)
+    rows = [(t, h, at) for t in range(20) for h in range(3) for at in sorted(rng.sample(range(600), rng.randint(0, 40)))]
+    got = decontaminate.chained(spark.createDataFrame(rows, "row int, hash int, at int"), ["row", "hash"], "at").collect()
+    want = []
+    for t in range(20):
+        for h in range(3):
+            chains = []
+            for _, _, at in (r for r in rows if r[:2] == (t, h)):
+                if not chains or at - chains[-1][-1] > decontaminate.CHAIN_GAP:
+                    chains.append([])
+                chains[-1].append(at)
+            want += [(t, h, at, k + 1, len(c) - k) for c in chains for k, at in enumerate(c)]
+    assert sorted((r.row, r.hash, r.at, r.first, r.last) for r in got) == sorted(want)
