@@ -64,6 +64,15 @@ def grey(n: Column, most: Column) -> Column:
     return F.coalesce(F.floor(F.try_divide((n * 254).cast("double"), most)).cast("int"), F.lit(0))
 
 
+# Cells above this grey have darker text, others lighter text, by so much.
+TEXT_ABOVE, TEXT_STEP = 100, 40
+
+
+def text_grey(cell: Column) -> Column:
+    """Grey of the text in a heatmap cell of grey ``cell``, so that it can be read on it."""
+    return cell + F.when(cell > TEXT_ABOVE, -TEXT_STEP).otherwise(TEXT_STEP)
+
+
 def verdict(p: Column, fair: Column) -> Column:
     """How a bar differs from the fair line."""
     return F.when(F.abs(p - fair) < 0.001, "within").when(p > fair, "more frequent").otherwise("less frequent")

@@ -179,6 +179,17 @@ def transition_grey(spark, sf_dir):
     return cells.join(most, "die_id").select("die_id", "from_side", "to_side", scalars.grey(F.col("n"), F.col("most")).alias("grey"))
 
 
+@query(_DENSE + """, c AS (SELECT *, CAST(coalesce(floor(n * 254 / nullif(max(n) OVER (PARTITION BY die_id), 0)), 0) AS INTEGER) AS grey FROM m)
+SELECT die_id, from_side, to_side, from_side || '->' || to_side AS move, n || 'x' AS times, CASE WHEN grey > 100 THEN grey - 40 ELSE grey + 40 END AS text_grey FROM c""", "rolls_by_user")
+def transition_texts(spark, sf_dir):
+    cells = rolls.dense_transitions(rolls_by_user(spark, sf_dir))
+    most = cells.groupBy("die_id").agg(F.max("n").alias("most"))
+    return cells.join(most, "die_id").select(
+        "die_id", "from_side", "to_side", F.concat_ws("->", "from_side", "to_side").alias("move"), F.concat(F.col("n").cast("string"), F.lit("x")).alias("times"),
+        scalars.text_grey(scalars.grey(F.col("n"), F.col("most"))).alias("text_grey"),
+    )
+
+
 @query(_DENSE + "SELECT die_id, max(n) AS most FROM m GROUP BY die_id", "rolls_by_user")
 def transition_max(spark, sf_dir):
     return rolls.dense_transitions(rolls_by_user(spark, sf_dir)).groupBy("die_id").agg(F.max("n").alias("most"))

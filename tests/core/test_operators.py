@@ -567,3 +567,8 @@ def test_rolled_up_fairness(spark):
 
 def scalars_p(spark, x, dof):
     return spark.range(1).select(scalars.chi2_survival(F.lit(x), F.lit(dof))).first()[0]
+
+
+def test_text_of_heatmap_cells(spark):
+    cells = spark.createDataFrame([(0,), (100,), (101,), (254,), (None,)], "grey int")
+    assert [r.t for r in cells.select(scalars.text_grey(F.col("grey")).alias("t")).collect()] == [40, 140, 61, 214, None]
