@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,6 +152,6 @@ def histogram_line(side: Column, p: Column, low: Column, high: Column, fair: Col
 
 def sign_code(vector: Column, start: int = 1, bits: int = 32) -> Column:
     """Signs of ``bits`` components from ``start`` (1-based) as an integer."""
-    picked = F.slice(vector, start, bits)
-    weight = F.transform(picked, lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i)).otherwise(0.0).cast("long"))
-    return F.aggregate(weight, F.lit(0).cast("long"), lambda s, x: s + x)
+    # A term a bit: compiled, where functions of arrays are interpreted.
+    terms = (F.when(F.get(vector, F.lit(start - 1 + i)) > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(bits))
+    return F.when(vector.isNotNull(), reduce(Column.bitwiseOR, terms))

@@ -401,6 +401,30 @@ def test_leaders_in_blocks_equal_the_loop(spark, seed, kind):
     assert dict(map(tuple, grouping.leaders(frame, edges, set_edges=len(match) // 6).collect())) == want
 
 
+def test_blocks_after_the_first_hold_open_items_only(spark, monkeypatch):
+    """A dense set of 40 blocks of matches takes a few rounds: what the first leaders match is gone before the next block is cut."""
+    rng, rounds = random.Random(5), []
+    match = [(i, j) for i in range(400) for j in range(i) if rng.random() < 0.1]
+    decide = grouping._decided_in_order
+    monkeypatch.setattr(grouping, "_decided_in_order", lambda *a: rounds.append(a[0]) or decide(*a))
+    items = spark.createDataFrame([(k,) for k in range(400)], "item long")
+    got = grouping.leaders(items, spark.createDataFrame(match, "item long, other long"), set_edges=len(match) // 40)
+    assert dict(map(tuple, got.collect())) == plain_leaders(range(400), match)
+    assert rounds.count("component") <= 10
+
+
+@pytest.mark.parametrize("set_items", [16, 1 << 14])
+def test_leaders_of_codes_equal_the_loop(spark, set_items):
+    rng = random.Random(set_items)
+    rows = [(k % 3, k, rng.getrandbits(12), rng.getrandbits(12)) for k in range(240)]
+    rows += [(rng.randrange(3), 240 + k, *rng.choice(rows)[2:]) for k in range(200)] + [(None, 500, 1, 1), (None, 501, 1, 1), (1, 502, None, 1)]
+    near = lambda a, b: None not in (*a, *b) and a[0] == b[0] and ((a[2] ^ b[2]).bit_count() + (a[3] ^ b[3]).bit_count()) <= 7
+    want = plain_leaders([r[1] for r in rows], [(a[1], b[1]) for a in rows for b in rows if b[1] < a[1] and near(a, b)])
+    frame = spark.createDataFrame(rows, "image int, item long, hi long, lo long")
+    assert dict(map(tuple, grouping.leaders_of_codes(frame, 7, set_items).collect())) == want
+    assert grouping.leaders_of_codes(frame.limit(0), 7).count() == 0
+
+
 def test_running_totals_over_ranges(spark):
     from rollstats.operators.ordered import running_total
 
