@@ -124,8 +124,8 @@ def chi2_survival(x: Column, dof: Column) -> Column:
 
 
 def chi2_line(n: Column, p: Column) -> Column:
-    """The published wording of a chi-square test's result."""
-    return F.format_string("N=%d p=%f (%d%% chance the data is from a random source)", n, p, percent(p))
+    """The published wording of a chi-square test's result; ``p`` is rounded as C does, by its exact binary value (``%f`` here rounds the shortest decimal)."""
+    return F.format_string("N=%d p=%s (%d%% chance the data is from a random source)", n, F.format_number(p, 6), percent(p))
 
 
 def histogram_line(side: Column, p: Column, low: Column, high: Column, fair: Column) -> Column:
