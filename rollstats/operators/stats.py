@@ -152,8 +152,8 @@ def bootstrap_deterministic(rolls: DataFrame, resamples: int = 20, seed: str = "
     )
 
 
-#: Rows that a task holds before it passes them on.
-HELD = 1 << 18
+#: Rows that a task holds before it passes them on; at most twice as many, and a batch, are held at once.
+HELD = 1 << 17
 
 
 def smallest_hashes(rolls: DataFrame, sizes: list[int], seed: str) -> DataFrame:
@@ -181,7 +181,7 @@ def smallest_hashes(rolls: DataFrame, sizes: list[int], seed: str) -> DataFrame:
             if rows > max(HELD, 2 * limit):
                 held = [cut(pd.concat(held))]
                 rows = limit = len(held[0])
-                if rows > 4 * HELD:
+                if rows > HELD:
                     yield held[0]
                     held, rows, limit = [], 0, 0
         if held:
