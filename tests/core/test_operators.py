@@ -633,3 +633,12 @@ def test_smallest_hashes_hold_twice_the_limit_at_most(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(ids) == 6000 and max(ids[:1200]) < 1200  # the first rows leave before the later ones are read
+
+
+def test_ranges_of_running_totals_are_cut_by_rows(spark, monkeypatch):
+    from rollstats.operators import ordered
+
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    rows = spark.range(3000).select(F.lit("a").alias("die"), (F.col("id") * 7 % 3000).alias("k"))
+    got = ordered.running_total(rows, ["die"], ["k"], F.lit(1).cast("long"), "before").withColumn("task", F.spark_partition_id()).collect()
+    assert all(r.before == r.k for r in got) and len({r.task for r in got}) > 8  # not the few that their bytes ask for
