@@ -353,7 +353,7 @@ def wide_masks(bits: int, masks: int, level: int = 0) -> list[np.ndarray]:
 
 
 def _wide_nodes(masks: list[np.ndarray], sizes_only: bool):
-    """Each row below one node a mask: ``(node, above, fp, words)``; or ``(node, above, n)``, added up inside a batch.
+    """Each row below one node a mask: ``(node, above, fp, words)``; or a row each with all its nodes, ``(nodes, above)``.
 
     A node's key is a hash of the node above it, the mask and the pattern; two nodes with one key are compared as one.
     """
@@ -364,17 +364,20 @@ def _wide_nodes(masks: list[np.ndarray], sizes_only: bool):
             column = lambda c: b.column(c).to_numpy(zero_copy_only=False)
             codes = np.stack([column(w) for w in WIDE], axis=1)
             bits = np.unpackbits(codes.view(np.uint8).reshape(len(codes), 32), axis=1, bitorder="little")
-            over = column("node").view(np.uint64)
+            over, keys = column("node").view(np.uint64), []
             for k, (mask, weight) in enumerate(zip(masks, weights)):
                 pattern = bits[:, mask].astype(np.uint64) @ weight + np.uint64(k + 1) * np.uint64(1 << 48)
                 key = _remixed(_remixed(over, _MIXERS[0]) ^ pattern, _MIXERS[1]).view(np.int64)
                 if sizes_only:
-                    node, first, n = np.unique(key, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(column("above")[first]), pa.array(n)], names=["node", "above", "n"])
+                    keys.append(key)
                 else:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key), *(b.column(c) for c in ("above", "fp", *WIDE))], names=["node", "above", "fp", *WIDE]
                     )
+            if sizes_only:
+                ends = pa.array(np.arange(len(codes) + 1) * len(masks), pa.int32())
+                nodes = pa.ListArray.from_arrays(ends, pa.array(np.stack(keys, axis=1).ravel()))
+                yield pa.RecordBatch.from_arrays([nodes, b.column("above")], names=["nodes", "above"])
 
     return run
 
@@ -400,7 +403,8 @@ def similar_wide(fps: DataFrame, max_wide: int = MAX_WIDE, leaf_rows: int = 4096
     while True:
         places = wide_masks(bits, masks, level)
         nodes = at.mapInArrow(_wide_nodes(places, False), ", ".join(f"{c} long" for c in columns))
-        sizes = at.mapInArrow(_wide_nodes(places, True), "node long, above long, n long").groupBy("node").agg(F.max("above").alias("above"), F.sum("n").alias("n"))
+        each = at.mapInArrow(_wide_nodes(places, True), "nodes array<long>, above long").select(F.explode("nodes").alias("node"), "above")
+        sizes = each.groupBy("node").agg(F.max("above").alias("above"), F.count(F.lit(1)).alias("n"))
         tight = (F.lit(level > 0) & (4 * F.col("n") > F.col("above"))).alias("tight")
         crowded = saved(sizes.where(F.col("n") > leaf_rows).select("node", "n", tight))
         if crowded.isEmpty():
