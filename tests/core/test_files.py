@@ -209,3 +209,29 @@ def test_the_last_of_repeated_sides_counts_over_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == {k % 7: k for k in range(2993, 3000)}
+
+
+def test_short_dice_are_written_whole_by_tasks(spark, tmp_path, monkeypatch):
+    """Parts that the driver joins are those of a range's ends and of long dice, however many dice there are."""
+    odd = ["a b", "x/y", "q=1", "100%", "it's", "é", "{z}", "[w]", "^", 'say "x"', "c:\\d", "#1", "\x7f\t", "", None]
+    rows = [(die, k, k % 6 + 1) for die in [f"d{n:04d}" for n in range(600)] + odd for k in range(3)] + [("long", k, k) for k in range(500)]
+    df = spark.createDataFrame(rows, "die_id string, seq long, label int").repartition(5)
+    monkeypatch.setattr(sinks, "HELD_BYTES", 2000, raising=False)
+    joined, join = [], sinks.join_parts
+
+    def watched(session, path, name):
+        joined.extend({f.parent.name for f in (tmp_path / "one").glob("*/part-*")})
+        join(session, path, name)
+
+    monkeypatch.setattr(sinks, "join_parts", watched)
+    sinks.write_labels(df, str(tmp_path / "one"), "made")
+    sinks.write_labels(df, str(tmp_path / "parts"), "made", label_file=None)
+    assert "die_id=long" in joined and len(joined) <= 2 * 8 + 1
+    folders = sorted(f.name for f in (tmp_path / "parts").glob("die_id=*"))
+    assert folders == sorted(f.name for f in (tmp_path / "one").glob("die_id=*")) and len(folders) == 600 + len(odd)
+    for folder in folders:
+        text = "".join(f.read_text() for f in sorted((tmp_path / "parts" / folder).glob("part-*")))
+        assert [f.name for f in (tmp_path / "one" / folder).iterdir() if f.name[0] != "."] == ["labels.csv"]
+        assert (tmp_path / "one" / folder / "labels.csv").read_text() == text.removesuffix("\n")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_labels(df, str(tmp_path / "one"), "made")
