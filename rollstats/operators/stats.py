@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import chi2_survival
 from ..functions.storage import stored
+from .ordered import running_total
 from .rolls import first_ranked, label_counts, normalized, relative
 
 
@@ -125,21 +126,39 @@ def hash_number(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+#: Draws start in rows of so many rolls; a task makes, and another counts, about so many draws.
+DRAW_CHUNK, TASK_DRAWS = 1 << 11, 1 << 21
+
+
+def draw_counts(sizes: DataFrame, resamples: int, seed: str) -> DataFrame:
+    """``(size, k, hits)``: how often each resample of ``size`` rolls draws roll ``k``, an array by resample; rolls that none draws are left out.
+
+    Draws depend on the number of rolls only, so dice of one size share them.  Tasks get the same number
+    of draws whatever the sizes are, and nothing multiplies behind a shuffle.
+    """
+    distinct = stored(sizes.select("size").distinct())
+    tasks = 1 + (distinct.agg(F.sum("size")).first()[0] or 0) * resamples // TASK_DRAWS
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(DRAW_CHUNK).cast("bigint")))
+    chunks = distinct.select("size", start.alias("start")).repartition(tasks, "size", "start")
+    draws = chunks.select("size", F.explode(F.sequence("start", F.least(F.col("start") + DRAW_CHUNK, "size") - 1)).alias("i"))
+    draws = draws.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    k = F.pmod(hash_number(seed, F.col("b").cast("string"), F.col("i").cast("string")), F.col("size"))
+    drawn = draws.select("size", k.alias("k"), "b").repartition(tasks, "size", "k")
+    return drawn.groupBy("size", "k").agg(F.array(*(F.count_if(F.col("b") == b) for b in range(resamples))).alias("hits"))
+
+
 def bootstrap_deterministic(rolls: DataFrame, resamples: int = 20, seed: str = "7") -> DataFrame:
     """The bootstrap with a hash as its random numbers, so that any engine can repeat it draw by draw.
 
-    Draw i of resample b takes roll number md5(seed-b-i) mod n.  For checking; costs n draws a resample.
+    Draw i of resample b takes roll number md5(seed-b-i) mod n.  For checking; costs n draws a resample for each different n.
+    A roll meets its hits in all resamples as one row, and dice are added up by side.
     """
-    die = Window.partitionBy("die_id")
-    ranked = rolls.select("die_id", "side", (F.row_number().over(die.orderBy("seq")) - 1).alias("k"))
-    sizes = rolls.groupBy("die_id").agg(F.count(F.lit(1)).alias("size"))
-    draws = ranked.select("die_id", F.col("k").alias("i")).join(sizes, "die_id")
-    draws = draws.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.withColumn("k", F.pmod(hash_number(seed, F.col("b").cast("string"), F.col("i").cast("string")), F.col("size")))
-    counts = draws.join(ranked, ["die_id", "k"]).groupBy("die_id", "b", "side").agg(F.count(F.lit(1)).alias("n"))
-    # A side that a resample missed counts 0: counts are padded to the number of resamples.
-    by_side = counts.groupBy("die_id", "side").agg(F.array_sort(F.collect_list("n")).alias("ns"))
-    padded = F.concat(F.array_repeat(F.lit(0).cast("bigint"), resamples - F.size("ns")), F.col("ns"))
+    sizes = stored(rolls.groupBy("die_id").agg(F.count(F.lit(1)).alias("size")))
+    ranked = running_total(rolls.select("die_id", "seq", "side"), ["die_id"], ["seq"], F.lit(1).cast("bigint"), "k").join(sizes, "die_id")
+    drawn = ranked.select("die_id", "size", "k", "side").join(draw_counts(sizes, resamples, seed), ["size", "k"])
+    # A side that a resample missed counts 0 there.
+    sums = [F.sum(F.get("hits", F.lit(b))) for b in range(resamples)]
+    by_side = drawn.groupBy("die_id", "size", "side").agg(F.array_sort(F.array(*sums)).alias("all"))
 
     def at(q: float) -> Column:
         place = q * (resamples - 1)
@@ -147,9 +166,7 @@ def bootstrap_deterministic(rolls: DataFrame, resamples: int = 20, seed: str = "
         a, b = F.element_at("all", low + 1), F.element_at("all", min(low + 2, resamples))
         return a + (b - a) * part
 
-    return by_side.withColumn("all", padded).join(sizes, "die_id").select(
-        "die_id", "side", (at(0.05) / F.col("size")).alias("ci_low"), (at(0.95) / F.col("size")).alias("ci_high")
-    )
+    return by_side.select("die_id", "side", (at(0.05) / F.col("size")).alias("ci_low"), (at(0.95) / F.col("size")).alias("ci_high"))
 
 
 #: Rows that a task holds before it passes them on; at most twice as many, and a batch, are held at once.

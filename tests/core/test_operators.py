@@ -659,3 +659,28 @@ def test_nearest_two_in_parts_with_copies(spark, monkeypatch):
     assert {(r.pair, r.desc_id): (r.d1, r.d2) for r in got.collect()} == want
     # Parts: a task a group of parts, where the join made one group a pair.
     assert "FlatMapCoGroups" in got._jdf.queryExecution().toString()
+
+
+def test_dice_of_one_size_share_their_draws(spark, monkeypatch):
+    """As many rows of draws as the different sizes have rolls, in tasks of like numbers of draws; equal to the plain loop."""
+    import hashlib
+
+    monkeypatch.setattr(stats, "DRAW_CHUNK", 7)
+    monkeypatch.setattr(stats, "TASK_DRAWS", 500)
+    rng = random.Random(3)
+    rolled = {f"d{k:02d}": [rng.randint(1, 6) for _ in range((5, 12)[k % 2])] for k in range(40)} | {"hot": [rng.randint(1, 50) for _ in range(300)], "one": [4]}
+    df = dice(spark, **rolled)
+    sizes = df.groupBy("die_id").agg(F.count(F.lit(1)).alias("size"))
+    draws = stats.draw_counts(sizes, 20, "7")
+    counts = draws.withColumn("task", F.spark_partition_id()).collect()
+    assert len(counts) <= 5 + 12 + 300 + 1 and sum(sum(r.hits) for r in counts) == 20 * (5 + 12 + 300 + 1)
+    assert len({r.task for r in counts}) > 6
+    want = {}
+    for die, sides in rolled.items():
+        n = len(sides)
+        drawn = [[sides[int(hashlib.md5(f"7-{b}-{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)] for b in range(20)]
+        for side in {s for d in drawn for s in d}:
+            ns = sorted(d.count(side) for d in drawn)
+            want[die, side] = tuple((ns[at] + (ns[at + 1] - ns[at]) * part) / n for at, part in ((0, 0.95), (18, 0.05)))
+    got = {(r.die_id, r.side): (r.ci_low, r.ci_high) for r in stats.bootstrap_deterministic(df.repartition(3)).collect()}
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-12 for k in want for x, y in zip(got[k], want[k]))
