@@ -155,7 +155,8 @@ def bootstrap_deterministic(rolls: DataFrame, resamples: int = 20, seed: str = "
     """
     sizes = stored(rolls.groupBy("die_id").agg(F.count(F.lit(1)).alias("size")))
     ranked = running_total(rolls.select("die_id", "seq", "side"), ["die_id"], ["seq"], F.lit(1).cast("bigint"), "k").join(sizes, "die_id")
-    drawn = ranked.select("die_id", "size", "k", "side").join(draw_counts(sizes, resamples, seed), ["size", "k"])
+    # Spark can't tell how many rows come from few sizes: without the hint any number of them would be broadcast.
+    drawn = ranked.select("die_id", "size", "k", "side").join(draw_counts(sizes, resamples, seed).hint("merge"), ["size", "k"])
     # A side that a resample missed counts 0 there.
     sums = [F.sum(F.get("hits", F.lit(b))) for b in range(resamples)]
     by_side = drawn.groupBy("die_id", "size", "side").agg(F.array_sort(F.array(*sums)).alias("all"))

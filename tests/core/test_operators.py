@@ -684,3 +684,6 @@ def test_dice_of_one_size_share_their_draws(spark, monkeypatch):
             want[die, side] = tuple((ns[at] + (ns[at + 1] - ns[at]) * part) / n for at, part in ((0, 0.95), (18, 0.05)))
     got = {(r.die_id, r.side): (r.ci_low, r.ci_high) for r in stats.bootstrap_deterministic(df.repartition(3)).collect()}
     assert got.keys() == want.keys() and all(abs(x - y) < 1e-12 for k in want for x, y in zip(got[k], want[k]))
+    # Draws of a long die are as many as its rolls: they are not broadcast.
+    plan = stats.bootstrap_deterministic(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [size" in plan
